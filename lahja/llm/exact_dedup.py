@@ -8,8 +8,8 @@ text never moves. Digits grow eightfold, so that rounds grow with the logarithm
 Bytes are compared, never digests.
 
 Every round is an aggregation with map-side combine and a join with the groups that are not settled:
-a group of a million copies is one row per task, and the join's hot keys are split by AQE. The planner
-broadcasts those groups only where their written table is below spark.sql.autoBroadcastJoinThreshold.
+a group of a million copies is one row per task, and the join's hot keys are split by AQE. The groups grow
+with the corpus, so they are never broadcast: every size runs the same merge joins.
 
 Defined results: a null text equals nothing, itself included. Empty texts are equal. The lowest id stays,
 null ids come last; among rows that share both id and text any one stays. An empty table gives an empty
@@ -39,14 +39,14 @@ def _settle(docs: DataFrame, id_col: str, text_col: str, first_bytes: int, growt
     heads = io.write(docs.where(body.isNotNull()).groupBy(digit.alias("digit"), ended.alias("ended")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), body.alias("body"), F.col(f"`{id_col}`").alias("id"))
     digit, ended = _digit(F.col("body"), first_bytes)
-    found = packed.where("body is not null").withColumns({"digit": digit, "ended": ended}).join(heads, ["digit", "ended"])
+    found = packed.where("body is not null").withColumns({"digit": digit, "ended": ended}).join(heads.hint("merge"), ["digit", "ended"])
     # written once: the numbers stay what they are when an executor is lost
     together = io.write(found.withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "row", "digit", "ended", "body"))
     state = together.select("uid", "id", F.lit(0).cast("bigint").alias("gid"), "digit", "ended", F.expr(f"substring(body, {first_bytes + 1})").alias("rest"))
     width, done, before = first_bytes, [], None
     while True:
         groups = io.write(state.groupBy("gid", "digit", "ended").agg(F.min("uid").alias("next"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-        table = io.write(state.join(groups, ["gid", "digit", "ended"]).select("uid", "id", F.col("next").alias("gid"), "ended", F.when(~F.col("ended"), F.col("rest")).alias("rest")))
+        table = io.write(state.join(groups.hint("merge"), ["gid", "digit", "ended"]).select("uid", "id", F.col("next").alias("gid"), "ended", F.when(~F.col("ended"), F.col("rest")).alias("rest")))
         io.drop(groups, *([before] if before is not None else []))
         done.append(table.where("ended").select("uid", "id", "gid"))
         if table.where("not ended").isEmpty():
@@ -60,7 +60,7 @@ def _settle(docs: DataFrame, id_col: str, text_col: str, first_bytes: int, growt
         same = same.union(t)
     rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))
     best = same.groupBy("gid").agg(F.min(rank).alias("best"))
-    removed = io.write(same.join(best, "gid").where(F.col("uid") != F.col("best.uid")).select("uid", F.col("id").alias("id"), F.col("best.id").alias("keep")))
+    removed = io.write(same.join(best.hint("merge"), "gid").where(F.col("uid") != F.col("best.uid")).select("uid", F.col("id").alias("id"), F.col("best.id").alias("keep")))
     return heads, together, removed, io
 
 
@@ -77,6 +77,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digit, ended = _digit(body, first_bytes)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), F.coalesce(digit, F.lit(b"")).alias("digit"), ended.alias("ended"))
-    alone = packed.join(heads, (packed.digit == heads.digit) & (packed.ended == heads.ended), "left_anti").select("row")
+    alone = packed.join(heads.hint("merge"), (packed.digit == heads.digit) & (packed.ended == heads.ended), "left_anti").select("row")
     kept = alone.union(together.join(removed.select("uid"), "uid", "left_anti").select("row"))
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
