@@ -22,9 +22,46 @@ WHERE d.doc_id <> k.keep_id
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Every alignment of every document with every item, by brute force.
+OP3_SQL = r"""
+WITH d AS (SELECT rid, doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
+           FROM (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
+b AS (SELECT bid, item_id, len(w) AS n, least(16, len(w)) AS span, unnest(w) AS word, unnest(range(len(w))) AS pos
+      FROM (SELECT row_number() OVER () AS bid, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 8),
+m AS (SELECT rid, doc_id, bid, item_id, span, d.pos - b.pos AS shift, b.pos AS pos FROM d JOIN b ON d.word = b.word),
+c AS (SELECT doc_id, item_id, span, count(*) OVER (PARTITION BY rid, bid, shift ORDER BY pos RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS n FROM m)
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS matched FROM c WHERE n >= span - (3 * span) // 16 GROUP BY doc_id, item_id
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op3_decontaminate": op3_decontaminate,
+        "op9_language_id": op9_language_id,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL}
