@@ -1,13 +1,14 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another: insult, contempt, dehumanising, then toxic. Each is a logistic
-regression over the presence of chosen words and the probabilities of the categories before it. The later
+regression over the presence of chosen words and word beginnings (3 to 6 characters, so that inflected and
+compound words of any language share features) and the probabilities of the categories before it. The later
 models are trained with out-of-fold probabilities of the earlier ones, as they will meet at prediction.
 
 The labels name only ``toxic``; a category's label is ``toxic`` and a seed word of the category in the text.
 Everything is fitted on a bounded sample: the ``per_class`` toxic and as many clean labelled documents of up
-to ``max_chars`` characters whose ids hash lowest, near copies among them left out (same lowest n-gram hash),
-and the ``features`` words that tell the classes apart best. What is broadcast has a fixed size. Prediction
+to ``max_chars`` characters whose ids hash lowest (an id that is labelled twice counts as clean if one label says so), near copies among them left out (same lowest n-gram hash),
+and the ``features`` words and beginnings that tell the classes apart best. What is broadcast has a fixed size. Prediction
 reads whole texts in one scan without a shuffle; only the text column goes to Python.
 
 Defined results: a null text, or one without words, has the probabilities of no feature, and is never toxic.
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, batches, grams, string_hash
+from ._text import Words, batches, grams, hash_spans, mix, string_hash
 from .langid import lookup
 
 CATEGORIES = {
@@ -33,34 +34,51 @@ CATEGORIES = {
     "dehumanising": ("scum", "trash"),
 }
 CHAIN = (*CATEGORIES, "toxic")
-PER_CLASS, MAX_CHARS, FEATURES, FOLDS = 3000, 20_000, 512, 5
+PER_CLASS, MAX_CHARS, FEATURES, FOLDS = 2000, 20_000, 384, 5
 #: A feature word is in at least so many sampled documents of one class.
 MIN_DOCS = 8
 RESULT = "struct<" + ",".join(f"{c}:double" for c in CHAIN) + ">"
 
 
+#: Lengths of the word beginnings.
+BEGINNINGS = (3, 4, 5, 6)
+
+
+def presence(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, hash) of every word and word beginning; repeats stay."""
+    size = words.end - words.start
+    docs, hashes = [words.doc], [words.hash]
+    for n in BEGINNINGS:
+        own = np.flatnonzero(size >= n)
+        docs.append(words.doc[own])
+        hashes.append(mix(hash_spans(words.cp, words.start[own], words.start[own] + n) + np.uint64(n)))
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, steps: int = 250) -> np.ndarray:
     """Weights, the last one the bias: accelerated gradient descent on the mean log loss, with a ridge on all but the bias."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x1.shape[1], np.float64)
+    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    y = y.astype(np.float32)
+    w = np.zeros(x1.shape[1], np.float32)
     prev = w.copy()
-    ridge = np.full(len(w), l2)
+    ridge = np.full(len(w), l2, np.float32)
     ridge[-1] = 0
-    norm = np.ones(x1.shape[1]) / np.sqrt(x1.shape[1])
+    norm = np.full(x1.shape[1], 1 / np.sqrt(x1.shape[1]), np.float32)
+    top = 1.0
     for _ in range(20):  # largest eigenvalue by power iteration, for the step
         norm = x1.T @ (x1 @ norm)
-        top = np.linalg.norm(norm)
-        norm /= top
-    step = 1 / (0.25 * top / len(x) + l2)
+        top = float(np.linalg.norm(norm))
+        norm /= np.float32(top)
+    step = np.float32(1 / (0.25 * 1.05 * top / len(x) + l2))
     for t in range(steps):
-        ahead = w + t / (t + 3) * (w - prev)
-        grad = x1.T @ (_sigmoid(x1 @ ahead) - y) / len(x) + ridge * ahead
+        ahead = w + np.float32(t / (t + 3)) * (w - prev)
+        grad = x1.T @ (_sigmoid(x1 @ ahead) - y) / np.float32(len(x)) + ridge * ahead
         prev, w = w, ahead - step * grad
-    return w
+    return w.astype(np.float64)
 
 
 @dataclass
@@ -68,14 +86,21 @@ class Chain:
     keys: np.ndarray  # ascending hashes of the feature words
     weights: dict[str, np.ndarray]  # features, then the earlier categories, then the bias
 
+    def __post_init__(self):
+        self.bits = np.zeros(1 << 16, bool)  # most words are no feature
+        self.bits[self.keys >> np.uint64(48)] = True
+
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities by text and category."""
         out = np.zeros((len(texts), len(CHAIN)))
         if not self.weights:
             return out
         words = Words(texts)
-        at, known = lookup(self.keys, words.hash)
-        pairs = np.unique(words.doc[known] * len(self.keys) + at[known])
+        doc, h = presence(words)
+        may = self.bits[h >> np.uint64(48)]
+        doc, h = doc[may], h[may]
+        at, known = lookup(self.keys, h)
+        pairs = np.unique(doc[known] * len(self.keys) + at[known])
         doc, feature = pairs // max(len(self.keys), 1), pairs % max(len(self.keys), 1)
         some = np.diff(words.first) > 0
         for k, c in enumerate(CHAIN):
@@ -88,18 +113,23 @@ class Chain:
 def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, folds: int = FOLDS) -> Chain:
     if not len(texts) or len(set(toxic.tolist())) < 2:
         return Chain(np.zeros(0, np.uint64), {})
-    keep, seen, doc_words = [], set(), []
+    keep, seen, doc_words, seeded = [], set(), [], []
+    wanted = {c: np.array([string_hash(s) for s in seeds], np.uint64) for c, seeds in CATEGORIES.items()}
     for a, b in batches(texts):
         words = Words(texts[a:b])
         d, g = grams(words, 3)
         low = np.full(b - a, np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(low, d, g)
+        doc, h = presence(words)
+        order = np.argsort(doc, kind="stable")
+        h, cut = h[order], np.searchsorted(doc[order], np.arange(b - a + 1))
         for i in range(b - a):
             mark = (int(low[i]), int(toxic[a + i]))
             if mark not in seen:
                 seen.add(mark)
                 keep.append(a + i)
-                doc_words.append(np.unique(words.hash[words.first[i] : words.first[i + 1]]))
+                doc_words.append(np.unique(h[cut[i] : cut[i + 1]]))
+                seeded.append([bool(np.isin(doc_words[-1], w).any()) for w in wanted.values()])
     y = toxic[keep].astype(np.float64)
     flat = np.concatenate(doc_words)
     owner = np.repeat(np.arange(len(keep)), [len(w) for w in doc_words])
@@ -114,11 +144,7 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, folds: in
     x = np.zeros((len(keep), len(keys)), np.float32)
     at, known = lookup(keys, flat)
     x[owner[known], at[known]] = 1
-    labels = {}
-    for c, seeds in CATEGORIES.items():
-        wanted = np.array([string_hash(s) for s in seeds], np.uint64)
-        labels[c] = y * np.array([np.isin(w, wanted).any() for w in doc_words])
-    labels["toxic"] = y
+    labels = {c: y * np.array(seeded)[:, k] for k, c in enumerate(CATEGORIES)} | {"toxic": y}
     fold = np.arange(len(keep)) % folds
     weights, before = {}, np.zeros((len(keep), 0), np.float32)
     for c in CHAIN:
@@ -136,15 +162,18 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, folds: in
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Chain:
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where((F.length("text") > 0) & (F.length("text") <= max_chars))
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
-    chosen = None
-    for v in (1, 0):
-        # more than are needed, as some are longer than max_chars or have no document
-        part = named.where(F.col("toxic") == v).groupBy("id", "toxic").count().drop("count").orderBy(F.xxhash64("id"), "id").limit(2 * per_class)
-        chosen = part if chosen is None else chosen.union(part)
+    named = named.groupBy("id").agg(F.min("toxic").alias("toxic"))
+    count = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
+    # a hash threshold lets through little more than is taken: some are longer than max_chars or have no document
+    share = F.lit(0.0)
+    for v, n in count.items():
+        share = F.when(F.col("toxic") == v, F.lit(min(1.0, 1.5 * per_class / n + 20 / n))).otherwise(share)
+    h = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    chosen = named.where(h < share)
     rows: dict[int, list[str]] = {0: [], 1: []}
-    for r in own.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").toLocalIterator():
-        if len(rows[r["toxic"]]) < per_class:
-            rows[r["toxic"]].append(r["text"])
+    for t, _, _, text in sorted((r["toxic"], r["h"], r["id"], r["text"]) for r in own.join(F.broadcast(chosen), "id").select("toxic", F.xxhash64("id").alias("h"), "id", "text").toLocalIterator(prefetchPartitions=True)):
+        if len(rows[t]) < per_class:
+            rows[t].append(text)
     texts = rows[1] + rows[0]
     y = np.array([1] * len(rows[1]) + [0] * len(rows[0]))
     order = np.random.default_rng(0).permutation(len(texts))
