@@ -22,6 +22,13 @@ WHERE d.doc_id <> k.keep_id
 """
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that decoding gives back."""
+    from . import bpe
+
+    return bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -57,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_byte_bpe": op2_byte_bpe,
         "op3_decontaminate": op3_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
