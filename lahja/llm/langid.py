@@ -147,16 +147,20 @@ def fit(samples: dict[str, list[str]], max_words: int = MAX_WORDS, max_grams: in
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_chars: int) -> dict[str, list[str]]:
     """The labelled sample, by language."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    found = sorted(r["lang"] for r in own.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    ok = own.where((F.length("text") <= max_chars) & (F.length("text") > 0)).withColumn("h", F.xxhash64("id"))
+    count = {r["lang"]: r["count"] for r in own.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not count:
+        return {}
+    # a hash threshold for each language lets through little more than is taken, whatever the number of partitions
+    share = F.lit(0.0)
+    for lang, n in count.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n + 20 / n))).otherwise(share)
+    h = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    chosen = own.where((F.length("text") > 0) & (F.length("text") <= max_chars)).withColumn("h", h).where(F.col("h") < share)
+    rows = sorted((r["lang"], r["h"], r["text"]) for r in chosen.select("lang", "h", "text").toLocalIterator(prefetchPartitions=True))
     out: dict[str, list[str]] = {}
-    if found:
-        parts = [ok.where(F.col("lang") == lang).orderBy("h", "id", "text").limit(per_language).select("lang", "text") for lang in found]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.union(p)
-        for r in union.toLocalIterator():
-            out.setdefault(r["lang"], []).append(r["text"])
+    for lang, _, text in rows:
+        if len(own := out.setdefault(lang, [])) < per_language:
+            own.append(text)
     return out
 
 
