@@ -27,7 +27,14 @@ class Scratch:
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        # a written table needs its shuffles no more; they go when the write ends, not when the driver collects garbage
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, "false")
+        self.spark.conf.set(name, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lahja_path = path
         return out

@@ -47,6 +47,25 @@ SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS matched FROM c WHERE n >= spa
 """
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_pairs
+
+    return near_pairs(_table(spark, sf_dir, "documents"))
+
+
+#: All pairs of distinct gram sets by brute force, and the star of each set's copies.
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS grams FROM w WHERE len(w) > 0),
+c AS (SELECT min(doc_id) AS low, grams, len(grams) AS n FROM g GROUP BY grams),
+x AS (SELECT low, n, unnest(grams) AS gram FROM c),
+p AS (SELECT a.low AS la, b.low AS lb, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.gram = b.gram AND a.low < b.low GROUP BY ALL)
+SELECT la AS id_a, lb AS id_b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.5
+UNION ALL
+SELECT c.low, g.doc_id, 1.0 FROM g JOIN c ON g.grams = c.grams WHERE g.doc_id <> c.low
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -66,10 +85,11 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_decontaminate": op3_decontaminate,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
