@@ -262,6 +262,39 @@ def _stream(f, a, b):
     return f(a, b)
 
 
+def encode_local(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[bytes, int] | None = None, words: int = 1 << 20) -> DataFrame:
+    """(doc_id, token_ids) in one scan without a shuffle, for operators that need ids as input; a task keeps the ids of the last ``words`` distinct words or so."""
+    table = docs.sparkSession.sparkContext.broadcast(ranks if ranks is not None else load_ranks())
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(source: Iterator[pa.RecordBatch]):
+        enc, known = encoding(table.value), {}
+        for batch in source:
+            texts = batch.column(1).to_pylist()
+            for a, b in batches(texts):
+                cp, start, end, first = pretokens([t or "" for t in texts[a:b]])
+                codes, uniq = pd.factorize(hash_spans(cp, start, end))
+                seen = np.full(len(uniq), len(codes), np.int64)
+                np.minimum.at(seen, codes, np.arange(len(codes)))
+                if len(known) > words:
+                    known = {}
+                found = []
+                for h, k in zip(uniq.tolist(), seen.tolist()):
+                    ids = known.get(h)
+                    if ids is None:
+                        ids = known[h] = enc._encode_single_piece(cp[start[k] : end[k]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"))
+                    found.append(ids)
+                size = np.array([len(x) for x in found], np.int64)
+                flat = np.array([i for x in found for i in x], np.int32)
+                n = size[codes]
+                out = flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(size) - size)[codes], n)]
+                offsets = np.concatenate([[0], np.cumsum(n)])[first].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([t is None for t in texts[a:b]] + [False])), pa.array(out, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [id_col, "token_ids"])
+
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>")
+
+
 def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "text", ranks: dict[bytes, int] | None = None) -> DataFrame:
     """The frame with the texts of its token ids."""
     own = ranks if ranks is not None else load_ranks()

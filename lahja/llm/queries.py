@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ._spark import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +70,57 @@ SELECT c.low, g.doc_id, 1.0 FROM g JOIN c ON g.grams = c.grams WHERE g.doc_id <>
 """
 
 
+def op5_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with the replies of its later half replaced by its first reply."""
+    from . import chat
+
+    turns = _table(spark, sf_dir, "conversations")
+    own = W.partitionBy("conv_id")
+    reply = F.col("role") == "assistant"
+    first = F.min_by(F.when(reply, F.col("text")), F.when(reply, F.col("turn"))).over(own)
+    worse = turns.withColumn("text", F.when(reply & (2 * F.col("turn") >= F.max("turn").over(own)), first).otherwise(F.col("text")))
+    pairs = chat.preferences(turns, worse)
+    return pairs.withColumns({c: chat.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+OP5_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, max(turn) AS top, arg_min(text, turn) FILTER (role = 'assistant') AS reply FROM t GROUP BY conv_id),
+s AS (SELECT t.*, CASE WHEN role = 'assistant' AND 2 * turn >= top THEN reply ELSE text END AS other FROM t JOIN a USING (conv_id)),
+d AS (SELECT conv_id, min(turn) AS apart FROM s WHERE text <> other GROUP BY conv_id),
+x AS (SELECT s.*, apart, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || role || chr(10) || other || '<|im_end|>' || chr(10) AS r FROM s JOIN d USING (conv_id)),
+y AS (SELECT *, coalesce(sum(len(c)) FILTER (turn >= apart) OVER w, 0) - 22 + 13 + len(role) AS c0, coalesce(sum(len(r)) FILTER (turn >= apart) OVER w, 0) - 22 + 13 + len(role) AS r0
+      FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, CAST(count(*) FILTER (turn < apart) AS INTEGER) AS n_common,
+  coalesce(string_agg(c, '' ORDER BY turn) FILTER (turn < apart), '') || '<|im_start|>assistant' || chr(10) AS prompt,
+  substr(string_agg(c, '' ORDER BY turn) FILTER (turn >= apart), 23) AS chosen, substr(string_agg(r, '' ORDER BY turn) FILTER (turn >= apart), 23) AS rejected,
+  string_agg(CAST(c0 AS BIGINT) || ':' || CAST(c0 + len(text) + 10 AS BIGINT), ' ' ORDER BY turn) FILTER (turn >= apart AND role = 'assistant') AS chosen_mask,
+  string_agg(CAST(r0 AS BIGINT) || ':' || CAST(r0 + len(other) + 10 AS BIGINT), ' ' ORDER BY turn) FILTER (turn >= apart AND role = 'assistant') AS rejected_mask
+FROM y GROUP BY conv_id
+"""
+
+
+def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the token ids of every document, and the ids that decoding gives back."""
+    from . import bpe, huffman
+
+    ids = Scratch(spark, "huffman").write(bpe.encode_local(_table(spark, sf_dir, "documents")))
+    code = huffman.Code.of(huffman.count_ids(ids))
+    return huffman.decode(huffman.encode(ids, code), code)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import near_lines
+
+    return near_lines(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import spans
+
+    return spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -86,10 +141,14 @@ def queries() -> dict:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_decontaminate": op3_decontaminate,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_chat_preferences": op5_chat_preferences,
+        "op6_token_huffman": op6_token_huffman,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_pii": op8_pii,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_ngram_jaccard": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_chat_preferences": OP5_SQL}
