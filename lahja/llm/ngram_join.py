@@ -44,7 +44,7 @@ from ._spark import Scratch, partitions
 from ._text import Words, batches, grams, mix
 
 N, THRESHOLD, RARE = 3, 0.5, 16
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 _U = np.uint64
 
 
@@ -251,8 +251,12 @@ def _reduce(t: float, rare: int):
     return run
 
 
-def _candidates(t: float):
-    """Pairs of classes that share a signature, each once in a partition."""
+GROUPS = "part int, names binary, sizes binary, members binary, counts binary"
+
+
+def _groups(parts: int):
+    """The classes that share each signature, sent to the partition of their lowest fingerprint, so that the many
+    signatures that a pair of classes shares meet there; lists that repeat are sent once."""
 
     def run(source: Iterator[pa.RecordBatch]):
         sig, fp, size = [], [], []
@@ -262,37 +266,73 @@ def _candidates(t: float):
             size.append(batch.column(2).to_numpy())
         if not sig:
             return
-        sig, fp, size = np.concatenate(sig), np.concatenate(fp), np.concatenate(size).astype(np.int64)
-        order = np.argsort(sig, kind="stable")
+        sig, fp, size = np.concatenate(sig), np.concatenate(fp), np.concatenate(size)
+        order = np.lexsort((fp, sig))
         sig, fp, size = sig[order], fp[order], size[order]
-        names, local = np.unique(fp, return_inverse=True)
-        count = np.diff(np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)))
-        left = np.repeat(np.cumsum(count), count) - np.arange(len(sig)) - 1  # rows after this one in its group
-        found, held = [], 0
+        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        count = np.diff(np.append(begin, len(sig)))
+        many = np.repeat(count > 1, count)
+        fp, size, count = fp[many], size[many], count[count > 1]
+        if not len(count):
+            return
+        begin = np.cumsum(count) - count
+        mark = np.add.reduceat(mix(fp.view(_U)), begin) + count.astype(_U)
+        first = np.sort(np.unique(mark, return_index=True)[1])
+        rows = np.arange(int(count[first].sum())) - np.repeat(np.cumsum(count[first]) - count[first], count[first]) + np.repeat(begin[first], count[first])
+        fp, size, count = fp[rows], size[rows], count[first]
+        part = _part(mix(fp[np.cumsum(count) - count].view(_U)), parts)
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(parts + 1))
+        begin = np.cumsum(count) - count
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            own = order[edge[k] : edge[k + 1]]
+            n = count[own]
+            rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
+            names, at, local = np.unique(fp[rows], return_index=True, return_inverse=True)
+            yield _batch([(k, names.astype("<i8").tobytes(), pack(size[rows][at], "<u4"), pack(local, "<u4"), pack(n, "<u4"))], GROUPS)
+
+    return run
 
-        def settle():
-            return [np.unique(np.concatenate(found))] if found else []
 
-        at = np.flatnonzero(left > 0)
-        d = 1
+def _candidates(t: float):
+    """Pairs of classes within a group, each once in a partition."""
+
+    def run(source: Iterator[pa.RecordBatch]):
+        parts = [r for batch in source for r in batch.to_pylist()]
+        if not parts:
+            return
+        names = np.unique(np.concatenate([np.frombuffer(r["names"], "<i8") for r in parts]))
+        sizes = np.zeros(len(names), np.int64)
+        members, counts = [], []
+        for r in parts:
+            place = np.searchsorted(names, np.frombuffer(r["names"], "<i8"))
+            sizes[place] = unpack(r["sizes"], "<u4")
+            members.append(place[unpack(r["members"], "<u4")].astype(np.uint32))
+            counts.append(unpack(r["counts"], "<u4"))
+        del parts
+        member, count = np.concatenate(members), np.concatenate(counts).astype(np.int64)
+        del members, counts
+        left = (np.repeat(np.cumsum(count), count) - np.arange(len(member)) - 1).astype(np.int32)  # rows after this one in its group
+        found, held = [], 0
+        at, d = np.flatnonzero(left > 0), 1
         while len(at):
-            a, b = local[at], local[at + d]
-            lo, hi = np.minimum(size[at], size[at + d]), np.maximum(size[at], size[at + d])
-            ok = (lo >= t * hi - 1e-9) & (a != b)
-            pair = (np.minimum(a, b)[ok].astype(_U) << _U(32)) | np.maximum(a, b)[ok].astype(_U)
-            found.append(pair)
-            held += len(pair)
-            if held > 1 << 23:
-                found = settle()
-                held = len(found[0])
-                if held > 1 << 22:  # the rest can only repeat these
-                    yield _pairs(names, found[0])
-                    found, held = [], 0
+            for k in range(0, len(at), 1 << 20):
+                own = at[k : k + (1 << 20)]
+                a, b = member[own], member[own + d]  # ascending within a group
+                lo, hi = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+                ok = lo >= t * hi - 1e-9
+                found.append(np.unique((a[ok].astype(_U) << _U(32)) | b[ok].astype(_U)))
+                held += len(found[-1])
+                if held > 1 << 22:
+                    found = [np.unique(np.concatenate(found))]
+                    held = len(found[0])
+                    if held > 1 << 21:  # the rest can only repeat these
+                        yield _pairs(names, found[0])
+                        found, held = [], 0
             d += 1
             at = at[left[at] >= d]
-        for pair in settle():
-            if len(pair):
-                yield _pairs(names, pair)
+        if held:
+            yield _pairs(names, np.unique(np.concatenate(found)))
 
     return run
 
@@ -337,7 +377,8 @@ def near_classes(docs: DataFrame, io: Scratch, text_col: str = "text", n: int =
     shared = blocks.repartitionById(parts, F.col("part")).mapInArrow(_frequencies(parts), SHARED)
     reduced = io.write(shared.repartitionById(parts, F.col("part")).mapInArrow(_reduce(threshold, rare), REDUCED))
     sigs = reduced.select(F.explode("sigs").alias("sig"), "fp", "size").repartition(parts, "sig")
-    pairs = io.write(sigs.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct())
+    groups = sigs.mapInArrow(_groups(parts), GROUPS).repartitionById(parts, F.col("part"))
+    pairs = io.write(groups.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct())
     # cells
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
     anchor = both.groupBy("x").agg(F.least(F.min("x"), F.min("y")).alias("anchor"))
