@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import queries as _own
+from .plans import reports as _reports  # noqa: F401  (registers its queries)
+
 FLAGSHIP = "triage_verdicts"
 
 
 def queries() -> dict:
-    return {}
+    return dict(_own.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_own.SQL)
