@@ -62,3 +62,10 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of no more rows than this, from here on in the session: the default suits narrow rows, not documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -35,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions
+from ._spark import partitions, small_batches
 from ._text import batches, hash_spans, pretokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a block; its words and index arrays are held by one task.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
+#: Pre-tokens of a part of a block; a longer document is a part of its own.
+PART_TOKENS = 1 << 19
 #: Buckets for each shuffle partition.
 BUCKETS = 4
 
@@ -60,7 +62,8 @@ def encoding(ranks: dict[bytes, int]):
 class Block:
     """Documents in order, as indexes into the list of their distinct words."""
 
-    def __init__(self) -> None:
+    def __init__(self, places: bool = True) -> None:
+        self.places = places  # whether the positions are wanted, or the words only
         self.ids: list = []
         self.sizes: list[int] = []  # pre-tokens of each document, -1: null text
         self.index: list[np.ndarray] = []
@@ -84,16 +87,19 @@ class Block:
             for k, x in enumerate(uniq.tolist()):
                 at = get.get(x)
                 if at is None:
-                    at = get[x] = len(words)
-                    words.append(b"")
+                    at = get[x] = len(get)
+                    if not self.places:
+                        words.append(b"")
                     fresh.append(k)
                 place[k] = at
             if fresh:
                 self.hashes.append(uniq[fresh])
-                self._fill(cp, start[seen[fresh]], end[seen[fresh]], place[fresh])
-            self.index.append(place[codes].astype(np.uint32))
-            self.sizes += [-1 if t is None else n for t, n in zip(part, np.diff(first).tolist())]
-            self.ids += ids[a:b]
+                if not self.places:
+                    self._fill(cp, start[seen[fresh]], end[seen[fresh]], place[fresh])
+            if self.places:
+                self.index.append(place[codes].astype(np.uint32))
+                self.sizes += [-1 if t is None else n for t, n in zip(part, np.diff(first).tolist())]
+                self.ids += ids[a:b]
             self.chars += len(cp)
 
     def _fill(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> None:
@@ -113,8 +119,8 @@ class Block:
         return f"{TaskContext.get().partitionId()}-{number}-{int(np.bitwise_xor.reduce(h)) if len(h) else 0:x}-{len(h)}"
 
 
-def _blocks(source: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[str, Block]]:
-    block, number = Block(), 0
+def _blocks(source: Iterator[pa.RecordBatch], block_chars: int, places: bool) -> Iterator[tuple[str, Block]]:
+    block, number = Block(places), 0
     for batch in source:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         size = pc.utf8_length(texts).fill_null(0).to_numpy()
@@ -123,8 +129,8 @@ def _blocks(source: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tupl
             block.add(ids[a:b], texts.slice(a, b - a).to_pylist())
             if block.chars >= block_chars:
                 yield block.name(number), block
-                block, number = Block(), number + 1
-    if block.ids:
+                block, number = Block(places), number + 1
+    if block.chars or block.ids:
         yield block.name(number), block
 
 
@@ -153,6 +159,7 @@ DOCS = "block string, part int, docs binary, sizes binary, places binary"
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[bytes, int] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, token_ids, n_tokens), a row for each row."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     buckets = n * BUCKETS
     table = spark.sparkContext.broadcast(ranks if ranks is not None else load_ranks())
@@ -162,7 +169,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     own = own.select(F.col("id").cast("bigint" if id_type == pa.int64() else "string").alias("id"), "text")
 
     def words(source):
-        for name, block in _blocks(source, block_chars):
+        for name, block in _blocks(source, block_chars, False):
             h = block.all_hashes()
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -194,12 +201,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.binary()))], ["block", "place", "sizes", "ids"])
 
     def index(source):
-        for name, block in _blocks(source, block_chars):
-            # no part of a block nears the limits of a row
+        for name, block in _blocks(source, block_chars, True):
+            # a part is what the co-group assembles at a time
             places = np.concatenate(block.index) if block.index else np.zeros(0, np.uint32)
             sizes = np.array(block.sizes, np.int64)
             ends = np.cumsum(np.maximum(sizes, 0))
-            cut = np.unique(ends // (4 << 20), return_index=True)[1].tolist()
+            cut = np.unique(ends // PART_TOKENS, return_index=True)[1].tolist()
             for k, (a, b) in enumerate(zip(cut, [*cut[1:], len(sizes)])):
                 lo = int(ends[a - 1]) if a else 0
                 names = pa.array(block.ids[a:b], id_type)
@@ -244,8 +251,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(null, False)), pa.array(out, pa.int32()))
                 n_tokens = pa.array(np.diff(offsets).astype(np.int32), mask=null)
                 doc_ids = pa.ipc.open_stream(zstandard.decompress(r["docs"])).read_all().column(0).combine_chunks()
-                for a in range(0, len(null), 4096):
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 4096), lists.slice(a, 4096), n_tokens.slice(a, 4096)], names)
+                yield pa.RecordBatch.from_arrays([doc_ids, lists, n_tokens], names)
 
     sent = own.mapInArrow(words, WORDS).repartition(n, "bucket").mapInArrow(to_ids, IDS)
     placed = own.mapInArrow(index, DOCS)
