@@ -15,8 +15,9 @@ their set, so that hot copies cost one row. Two classes are near if |x & y| / |x
    combination of their prefixes (pigeonhole), so recall is 1. The number of token classes follows the size
    level (powers of 1/t); a set is indexed under its own level and the next, where sizes within the threshold meet.
    Sets too small for token classes index every gram alone.
-3. Candidates within the size ratio are verified on the whole sets. A pair goes to a cell of its smallest
-   neighbour, cut into blocks where a neighbourhood is large, and a set is sent once to each cell's task.
+3. The sets under a signature meet in the partition of their lowest fingerprint, so that the many signatures of a pair
+   are dealt with at one place; large groups are cut into chunks of which every two meet somewhere. Candidates within
+   the size ratio are verified there on the whole sets, which are sent once to each such place.
 
 Result: (id_a, id_b, jaccard), id_a < id_b. Members of a class are linked to its lowest id with 1.0, classes by
 their lowest ids: every pair of the full join is found by expanding classes (``expand=True`` does), but the result
@@ -92,7 +93,7 @@ def class_of(docs: DataFrame, text_col: str, n: int):
 
 
 BLOCKS = "part int, grams binary, owner binary, fps binary, sizes binary"
-SHARED = "part int, fps binary, sizes binary, counts binary, grams binary, dfs binary"
+SHARED = "part int, source int, fps binary, sizes binary, counts binary, grams binary, dfs binary"
 REDUCED = "fp bigint, size int, grams binary, sigs array<bigint>"
 
 
@@ -148,9 +149,10 @@ def _frequencies(parts: int):
     """Of one partition of the grams: those of two classes or more, by class."""
 
     def run(source: Iterator[pa.RecordBatch]):
-        gs, fs, ss = [], [], []
+        gs, fs, ss, here = [], [], [], 0
         for batch in source:
             for r in batch.to_pylist():
+                here = r["part"]
                 local = unpack(r["owner"], "<u4")
                 gs.append(np.cumsum(unpack(r["grams"], "<u8")))
                 fs.append(np.frombuffer(r["fps"], "<u8")[local])
@@ -167,15 +169,16 @@ def _frequencies(parts: int):
         df = np.diff(np.append(begin, len(g)))
         df = np.repeat(df, df)
         keep = df > 1
-        g, f, s, df = g[keep], f[keep], s[keep], df[keep]
+        # from here on a gram is its number among those of this partition that are shared: half the bytes
+        g, f, s, df = (np.cumsum(np.append(True, g[keep][1:] != g[keep][:-1])) - 1 if keep.any() else g[keep]), f[keep], s[keep], df[keep]
         part = _part(f, parts)
-        order = np.lexsort((f, part))
+        order = np.lexsort((g, f, part))
         g, f, s, df, part = g[order], f[order], s[order], df[order], part[order]
         edge = np.searchsorted(part, np.arange(parts + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():
             own = slice(edge[k], edge[k + 1])
             at = np.flatnonzero(np.append(True, f[own][1:] != f[own][:-1]))
-            yield _batch([(k, f[own][at].astype("<u8").tobytes(), pack(s[own][at], "<u4"), pack(np.diff(np.append(at, len(f[own]))), "<u4"), g[own].astype("<u8").tobytes(), pack(df[own], "<u4"))], SHARED)
+            yield _batch([(k, here, f[own][at].astype("<u8").tobytes(), pack(s[own][at], "<u4"), pack(np.diff(np.append(at, len(f[own]))), "<u4"), pack(g[own], "<u4"), pack(df[own], "<u4"))], SHARED)
 
     return run
 
@@ -227,7 +230,7 @@ def _reduce(t: float, rare: int):
         for batch in source:
             for r in batch.to_pylist():
                 count = unpack(r["counts"], "<u4").astype(np.int64)
-                parts.append((np.repeat(np.frombuffer(r["fps"], "<u8"), count), np.repeat(unpack(r["sizes"], "<u4").astype(np.int64), count), np.frombuffer(r["grams"], "<u8"), unpack(r["dfs"], "<u4").astype(np.int64)))
+                parts.append((np.repeat(np.frombuffer(r["fps"], "<u8"), count), np.repeat(unpack(r["sizes"], "<u4").astype(np.int64), count), unpack(r["grams"], "<u4").astype(_U) + (_U(r["source"]) << _U(32)), unpack(r["dfs"], "<u4").astype(np.int64)))
         if not parts:
             return
         f, s, g, df = (np.concatenate(x) for x in zip(*parts))
@@ -251,7 +254,33 @@ def _reduce(t: float, rare: int):
     return run
 
 
-GROUPS = "part int, names binary, sizes binary, members binary, counts binary"
+GROUPS = "part int, names binary, sizes binary, members binary, counts binary, firsts binary"
+#: A group of more classes is cut into chunks of which every two meet somewhere.
+CHUNK = 1024
+
+
+def _cut(fp: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, count, first, key) of the lists to send for groups of rows that follow each other: a group as it is
+    (first 0), or every chunk with itself and with each other one (first: rows of the former). A list's key tells where it goes."""
+    begin = np.cumsum(count) - count
+    leader = mix(fp[begin].view(_U)) if len(count) else np.zeros(0, _U)
+    whole = count <= CHUNK
+    rows = [np.flatnonzero(np.repeat(whole, count))]
+    counts, firsts, keys = [count[whole]], [np.zeros(int(whole.sum()), np.int64)], [leader[whole]]
+    for g in np.flatnonzero(~whole).tolist():
+        own = np.arange(begin[g], begin[g] + count[g])
+        n = 1 << int(np.ceil(np.log2(count[g] / CHUNK)))
+        chunk = (mix(fp[own].view(_U) + _U(7)) % _U(n)).astype(np.int64)
+        lists = [own[chunk == i] for i in range(n)]
+        for i in range(n):
+            for j in range(i, n):
+                both = lists[i] if i == j else np.concatenate([lists[i], lists[j]])
+                if len(both) > 1:
+                    rows.append(both)
+                    counts.append(np.array([len(both)]))
+                    firsts.append(np.array([0 if i == j else len(lists[i])]))
+                    keys.append(mix(leader[g : g + 1] + _U((n << 40) + (i << 20) + j)))
+    return np.concatenate(rows), np.concatenate(counts), np.concatenate(firsts), np.concatenate(keys)
 
 
 def _groups(parts: int):
@@ -280,7 +309,9 @@ def _groups(parts: int):
         first = np.sort(np.unique(mark, return_index=True)[1])
         rows = np.arange(int(count[first].sum())) - np.repeat(np.cumsum(count[first]) - count[first], count[first]) + np.repeat(begin[first], count[first])
         fp, size, count = fp[rows], size[rows], count[first]
-        part = _part(mix(fp[np.cumsum(count) - count].view(_U)), parts)
+        rows, count, first, key = _cut(fp, count)
+        fp, size = fp[rows], size[rows]
+        part = _part(key, parts)
         order = np.argsort(part, kind="stable")
         edge = np.searchsorted(part[order], np.arange(parts + 1))
         begin = np.cumsum(count) - count
@@ -289,57 +320,66 @@ def _groups(parts: int):
             n = count[own]
             rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
             names, at, local = np.unique(fp[rows], return_index=True, return_inverse=True)
-            yield _batch([(k, names.astype("<i8").tobytes(), pack(size[rows][at], "<u4"), pack(local, "<u4"), pack(n, "<u4"))], GROUPS)
+            yield _batch([(k, names.astype("<i8").tobytes(), pack(size[rows][at], "<u4"), pack(local, "<u4"), pack(n, "<u4"), pack(first[own], "<u4"))], GROUPS)
 
     return run
 
 
 def _candidates(t: float):
-    """Pairs of classes within a group, each once in a partition."""
+    """(a, b, cell): pairs of classes within a group, each once in a partition, which is its cell."""
 
     def run(source: Iterator[pa.RecordBatch]):
         parts = [r for batch in source for r in batch.to_pylist()]
         if not parts:
             return
+        cell = parts[0]["part"]
         names = np.unique(np.concatenate([np.frombuffer(r["names"], "<i8") for r in parts]))
         sizes = np.zeros(len(names), np.int64)
-        members, counts = [], []
+        members, counts, firsts = [], [], []
         for r in parts:
             place = np.searchsorted(names, np.frombuffer(r["names"], "<i8"))
             sizes[place] = unpack(r["sizes"], "<u4")
             members.append(place[unpack(r["members"], "<u4")].astype(np.uint32))
             counts.append(unpack(r["counts"], "<u4"))
+            firsts.append(unpack(r["firsts"], "<u4"))
         del parts
-        member, count = np.concatenate(members), np.concatenate(counts).astype(np.int64)
-        del members, counts
-        left = (np.repeat(np.cumsum(count), count) - np.arange(len(member)) - 1).astype(np.int32)  # rows after this one in its group
+        member, count, first = np.concatenate(members), np.concatenate(counts).astype(np.int64), np.concatenate(firsts).astype(np.int64)
+        del members, counts, firsts
+        place = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
+        count, first = np.repeat(count, count), np.repeat(first, count)
+        # partners of a row: so many places ahead, from near to far
+        near = np.where(first > 0, first - place, 1).astype(np.int32)
+        far = np.where((first > 0) & (place >= first), 0, count - place - 1).astype(np.int32)
+        del place, count, first
         found, held = [], 0
-        at, d = np.flatnonzero(left > 0), 1
+        at, d = np.flatnonzero(far > 0), 1
         while len(at):
-            for k in range(0, len(at), 1 << 20):
-                own = at[k : k + (1 << 20)]
-                a, b = member[own], member[own + d]  # ascending within a group
+            now = at[near[at] <= d]
+            for k in range(0, len(now), 1 << 20):
+                own = now[k : k + (1 << 20)]
+                a, b = member[own], member[own + d]
                 lo, hi = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
                 ok = lo >= t * hi - 1e-9
-                found.append(np.unique((a[ok].astype(_U) << _U(32)) | b[ok].astype(_U)))
+                a, b = a[ok], b[ok]
+                found.append(np.unique((np.minimum(a, b).astype(_U) << _U(32)) | np.maximum(a, b).astype(_U)))
                 held += len(found[-1])
                 if held > 1 << 22:
                     found = [np.unique(np.concatenate(found))]
                     held = len(found[0])
                     if held > 1 << 21:  # the rest can only repeat these
-                        yield _pairs(names, found[0])
+                        yield _pairs(names, found[0], cell)
                         found, held = [], 0
             d += 1
-            at = at[left[at] >= d]
+            at = at[far[at] >= d]
         if held:
-            yield _pairs(names, np.unique(np.concatenate(found)))
+            yield _pairs(names, np.unique(np.concatenate(found)), cell)
 
     return run
 
 
-def _pairs(names: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+def _pairs(names: np.ndarray, pair: np.ndarray, cell: int) -> pa.RecordBatch:
     a, b = names[(pair >> _U(32)).astype(np.int64)], names[(pair & _U(0xFFFFFFFF)).astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cell, np.int32))], ["a", "b", "cell"])
 
 
 def _verify(t: float):
@@ -378,15 +418,9 @@ def near_classes(docs: DataFrame, io: Scratch, text_col: str = "text", n: int =
     reduced = io.write(shared.repartitionById(parts, F.col("part")).mapInArrow(_reduce(threshold, rare), REDUCED))
     sigs = reduced.select(F.explode("sigs").alias("sig"), "fp", "size").repartition(parts, "sig")
     groups = sigs.mapInArrow(_groups(parts), GROUPS).repartitionById(parts, F.col("part"))
-    pairs = io.write(groups.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct())
-    # cells
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
-    anchor = both.groupBy("x").agg(F.least(F.min("x"), F.min("y")).alias("anchor"))
-    load = pairs.join(anchor, pairs.a == anchor.x).select("a", "b", "anchor")
-    weight = load.groupBy("anchor").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / 1e6)).alias("cut"))
-    cell = F.pmod(F.xxhash64("anchor", F.pmod("a", "cut"), F.pmod("b", "cut")), F.lit(parts)).cast("int")
-    placed = load.join(weight, "anchor").select(cell.alias("cell"), "a", "b")
-    placed = io.write(placed)
+    # a pair of which several partitions know is verified in one of them
+    found = groups.mapInArrow(_candidates(threshold), "a bigint, b bigint, cell int")
+    placed = io.write(found.groupBy("a", "b").agg(F.min("cell").alias("cell")))
     wanted = placed.select("cell", F.col("a").alias("fp")).union(placed.select("cell", "b")).distinct()
     sent = wanted.join(reduced.select("fp", "size", "grams"), "fp").select(F.lit(0).alias("kind"), "cell", F.col("fp").alias("a"), F.lit(None).cast("bigint").alias("b"), "size", "grams")
     asked = placed.select(F.lit(1).alias("kind"), "cell", "a", "b", F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("grams"))
@@ -408,8 +442,11 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         star = members.join(lowest, "fp").where("id <> low").select(F.col("low").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("jaccard"))
         left, right = lowest.select(F.col("fp").alias("a"), F.col("low").alias("x")), lowest.select(F.col("fp").alias("b"), F.col("low").alias("y"))
         pairs = star.union(near.join(left, "a").join(right, "b").select("x", "y", "jaccard"))
+    pairs = pairs.where("x <> y")
+    if members.groupBy("id").count().where("count > 1").isEmpty():
+        return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.round("jaccard", 6).alias("jaccard"))
     # ids that several classes share may repeat a pair
-    return pairs.where("x <> y").groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    return pairs.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
 def components(edges: DataFrame, io: Scratch) -> DataFrame:
