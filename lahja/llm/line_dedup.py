@@ -7,7 +7,8 @@ as a substring. The substrings that a partner of each length has to probe are ch
 have moved by no more than i edits to its left and tau - i to its right. Keys name length, segment number and
 substring and travel in packed sorted parts, by hash; the pairs found are verified with a banded bit-parallel edit
 distance, a word operation for each column, all pairs of a batch at once, after common ends are cut off.
-Recall is 1: every row is a query and nothing is capped.
+Recall is 1: every row is a query and nothing is capped. All sides of the joins grow with the corpus, so they are merge joins at
+every size.
 
 A line is removed if an earlier line is equal to it or, both being long enough, within tau of it; it names the
 earliest such line. Lines are ordered by (document id, line number), null ids last.
@@ -236,19 +237,19 @@ def _removed(docs: DataFrame, key: Column, text_col: str, tau: int, min_chars: i
     packed = lines.select("uid", "line").where(F.length("line") >= min_chars).mapInArrow(_keys(tau, min_chars, parts), PACKED)
     pairs = io.write(packed.repartitionById(parts, F.col("part")).mapInArrow(_matches, "a bigint, b bigint").distinct())
     wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    texts = io.write(lines.select("uid", "line", "first").join(wanted, "uid"))
+    texts = io.write(lines.select("uid", "line", "first").join(wanted.hint("merge"), "uid"))
 
     @F.pandas_udf("int")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(distances(x.tolist(), y.tolist(), tau).astype(np.int32))
 
     x, y = (texts.select(F.col("uid").alias(c), F.col("line").alias(f"l{c}"), F.col("first").alias(f"f{c}")) for c in "ab")
-    near = pairs.join(x, "a").join(y, "b").withColumn("distance", distance("la", "lb")).where(F.col("distance") <= tau)
+    near = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").withColumn("distance", distance("la", "lb")).where(F.col("distance") <= tau)
     late = F.col("fa") > F.col("fb")
     best = near.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("uid"), F.struct(F.least("fa", "fb").alias("first"), "distance").alias("near")).groupBy("uid").agg(F.min("near").alias("near"))
-    goal = lines.select("fp", "first", "n", "uid").join(io.write(best), "uid", "left").where("n > 1 or near is not null")
+    goal = lines.select("fp", "first", "n", "uid").join(io.write(best).hint("merge"), "uid", "left").where("n > 1 or near is not null")
     goal = goal.select("fp", F.coalesce("near.first", "first").alias("keep"), F.coalesce("near.distance", F.lit(0)).alias("distance"))
-    return own.select("fp", "at").join(goal, "fp").where("at <> keep").select("at", "keep", "distance")
+    return own.select("fp", "at").join(goal.hint("merge"), "fp").where("at <> keep").select("at", "keep", "distance")
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
