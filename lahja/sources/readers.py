@@ -145,7 +145,7 @@ def read_documents(spark: SparkSession, path: str, field: str = "text") -> DataF
     if not file_system.exists(fs):
         raise FileNotFoundError(path)
     if file_system.getFileStatus(fs).isDirectory():
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,TXT,MD}").text(path).select(F.col("_metadata.file_path").alias("p"), "value")
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,TXT,MD}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value")
         return files.select(F.col("p").alias("pos"), F.regexp_extract("p", "([^/]+)$", 1).alias("id"), F.col("value").alias("text"))
     kind = path.rpartition(".")[2].lower()
     if kind not in ("jsonl", "csv", "txt"):
