@@ -268,37 +268,73 @@ def _stream(f, a, b):
     return f(a, b)
 
 
-def encode_local(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[bytes, int] | None = None, words: int = 1 << 20) -> DataFrame:
-    """(doc_id, token_ids) in one scan without a shuffle, for operators that need ids as input; a task keeps the ids of the last ``words`` distinct words or so."""
+class Known:
+    """Ids of words seen before, by hash, in flat arrays: a few dozen bytes a word."""
+
+    def __init__(self, enc, most: int):
+        self.enc, self.most = enc, most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.int32)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+
+    def ids(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, one after another, number of ids of each piece)."""
+        codes, uniq = pd.factorize(hash_spans(cp, start, end))
+        if len(self.keys) > self.most:
+            self._reset()
+        _, there = self._find(uniq)
+        new = np.flatnonzero(~there)
+        if len(new):
+            seen = np.empty(len(uniq), np.int64)
+            seen[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the first piece of each code
+            own = seen[new]
+            n = end[own] - start[own]
+            text = cp[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)].tobytes().decode("utf-32-le", "surrogatepass")
+            found, at, encode = [], 0, self.enc._encode_single_piece
+            for k in n.tolist():
+                found.append(encode(text[at : at + k].encode("utf-8", "replace")))
+                at += k
+            size = np.fromiter(map(len, found), np.int32, len(found))
+            begin = np.cumsum(size, dtype=np.int64) - size + len(self.flat)
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))])
+            keys = np.concatenate([self.keys, uniq[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.start, self.size = keys[order], np.concatenate([self.start, begin])[order], np.concatenate([self.size, size])[order]
+        at, _ = self._find(uniq)
+        n = self.size[at][codes].astype(np.int64)
+        first = self.start[at][codes] - (np.cumsum(n) - n)
+        return self.flat[np.arange(int(n.sum())) + np.repeat(first, n)], n
+
+
+def encode_local(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[bytes, int] | None = None, words: int = 1 << 20, packed: bool = False) -> DataFrame:
+    """(doc_id, token_ids) in one scan without a shuffle, for operators that need ids as input; a task keeps the ids of
+    about ``words`` distinct words. ``packed``: the ids of a document as one binary, little-endian, 4 bytes each."""
+    small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(ranks if ranks is not None else load_ranks())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]):
-        enc, known = encoding(table.value), {}
+        known = Known(encoding(table.value), words)
         for batch in source:
             texts = batch.column(1).to_pylist()
             for a, b in batches(texts):
                 cp, start, end, first = pretokens([t or "" for t in texts[a:b]])
-                codes, uniq = pd.factorize(hash_spans(cp, start, end))
-                seen = np.full(len(uniq), len(codes), np.int64)
-                np.minimum.at(seen, codes, np.arange(len(codes)))
-                if len(known) > words:
-                    known = {}
-                found = []
-                for h, k in zip(uniq.tolist(), seen.tolist()):
-                    ids = known.get(h)
-                    if ids is None:
-                        ids = known[h] = enc._encode_single_piece(cp[start[k] : end[k]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"))
-                    found.append(ids)
-                size = np.array([len(x) for x in found], np.int64)
-                flat = np.array([i for x in found for i in x], np.int32)
-                n = size[codes]
-                out = flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(size) - size)[codes], n)]
+                out, n = known.ids(cp, start, end)
                 offsets = np.concatenate([[0], np.cumsum(n)])[first].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([t is None for t in texts[a:b]] + [False])), pa.array(out, pa.int32()))
+                null = pa.array([t is None for t in texts[a:b]] + [False]).to_numpy(zero_copy_only=False)
+                if packed:
+                    lists = pa.Array.from_buffers(pa.binary(), b - a, [pa.array(~null[:-1]).buffers()[1], pa.py_buffer(offsets * 4), pa.py_buffer(out.astype("<i4"))])
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=null), pa.array(out, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [id_col, "token_ids"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, token_ids {'binary' if packed else 'array<int>'}")
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "text", ranks: dict[bytes, int] | None = None) -> DataFrame:

@@ -22,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
+
 MAX_BITS, BLOCK_TOKENS, STRIDE = 20, 1 << 16, 128
 #: Ids that are decoded together.
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -64,14 +67,14 @@ class Code:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray):
         self.ids, self.lengths = np.asarray(ids, np.int64), np.asarray(lengths, np.int64)
         self.bits = int(self.lengths.max(initial=1))
-        self._tables = None
+        self._tables = self._direct = None
 
     def __getstate__(self):
         return self.ids, self.lengths, self.bits
 
     def __setstate__(self, state):
         self.ids, self.lengths, self.bits = state
-        self._tables = None
+        self._tables = self._direct = None
 
     @classmethod
     def of(cls, counts: dict[int, int], limit: int = MAX_BITS) -> Code:
@@ -93,12 +96,28 @@ class Code:
             self._tables = codes, place, size
         return self._tables
 
+    def _places(self, ids: np.ndarray) -> np.ndarray:
+        """Index of each id in self.ids; from a table, if ids are small."""
+        if self._direct is None and len(self.ids) and self.ids[0] >= 0 and self.ids[-1] < 1 << 22:
+            self._direct = np.full(int(self.ids[-1]) + 1, -1, np.int32)
+            self._direct[self.ids] = np.arange(len(self.ids))
+        if not len(ids):
+            return np.zeros(0, np.int64)
+        if self._direct is not None:
+            inside = ids.min() >= 0 and ids.max() < len(self._direct)
+            at = self._direct[ids] if inside else np.array([-1])
+            if at.min() >= 0:
+                return at
+        else:
+            at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
+            if len(self.ids) and (self.ids[at] == ids).all():
+                return at
+        raise ValueError("an id has no code")
+
     def encode(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(payloads, bits of each, bit offset of every id in its block) of blocks ids[cuts[i]:cuts[i + 1]]."""
         codes = self.tables()[0]
-        at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
-        if len(ids) and (not len(self.ids) or (self.ids[at] != ids).any()):
-            raise ValueError("an id has no code")
+        at = self._places(ids)
         size = self.lengths[at] if len(ids) else np.zeros(0, np.int64)
         end = np.concatenate([[0], np.cumsum(size)])
         n_bits = end[cuts[1:]] - end[cuts[:-1]]
@@ -114,8 +133,8 @@ class Code:
         body = words.astype(">u4").tobytes()
         return [body[4 * w : 4 * w + -(-b // 8)] for w, b in zip(word.tolist(), n_bits.tolist())], n_bits, offset
 
-    def decode(self, payloads: list[bytes], counts: np.ndarray, checkpoints: list[np.ndarray], stride: int) -> np.ndarray:
-        """Ids of all blocks, one after another."""
+    def decode(self, payloads: list[bytes], counts: np.ndarray, checkpoints: np.ndarray, stride: int) -> np.ndarray:
+        """Ids of all blocks, one after another; checkpoints likewise, each from its block's first bit."""
         _, place, size = self.tables()
         total = int(counts.sum())
         if not total:
@@ -123,8 +142,8 @@ class Code:
         body = np.frombuffer(b"".join(payloads) + b"\0" * 8, np.uint8).astype(np.uint32)
         window = (body[:-3] << np.uint32(24)) | (body[1:-2] << np.uint32(16)) | (body[2:-1] << np.uint32(8)) | body[3:]
         begin = np.cumsum([0] + [len(p) for p in payloads[:-1]])
-        pos = np.concatenate([8 * b + np.asarray(c, np.int64) for b, c in zip(begin, checkpoints)])
         stretches = -(-counts // stride)
+        pos = np.repeat(8 * np.asarray(begin, np.int64), stretches) + np.asarray(checkpoints, np.int64)
         which = np.repeat(np.arange(len(counts)), stretches)
         step = (np.arange(len(which)) - np.repeat(np.cumsum(stretches) - stretches, stretches)) * stride
         left = np.minimum(stride, counts[which] - step)
@@ -144,17 +163,29 @@ class Code:
         return self.ids[out]
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all rows, number of ids of each, whether it is null) of lists or of packed binaries."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    if pa.types.is_binary(column.type):
+        size = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        body = column.buffers()[2]
+        flat = np.frombuffer(body, "<i4", (int(offsets[-1]) - int(offsets[0])) // 4, int(offsets[0])) if body is not None and len(column) else np.zeros(0, np.int32)
+        return flat, size, null
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("null token id")
+    return flat.to_numpy(zero_copy_only=False), np.where(null, 0, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64), null
+
+
 def count_ids(df: DataFrame, ids_col: str = "token_ids") -> dict[int, int]:
-    """How often each id occurs in the whole table."""
+    """How often each id occurs in the whole table; ids as lists, or packed as ``bpe.encode_local`` does."""
 
     def run(source: Iterator[pa.RecordBatch]):
         total = np.zeros(0, np.int64)
         rest: dict[int, int] = {}
         for batch in source:
-            column = batch.column(0)
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            if ids.dtype.kind == "f":
-                raise ValueError("null token id")
+            ids, _, _ = _lists(batch.column(0))
             if not len(ids):
                 continue
             if ids.min() >= 0 and ids.max() < 1 << 20:
@@ -168,40 +199,42 @@ def count_ids(df: DataFrame, ids_col: str = "token_ids") -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), *rest], pa.int64()), pa.array([*total[some].tolist(), *rest.values()], pa.int64())], ["id", "n"])
 
-    own = df.select(F.col(f"`{ids_col}`").cast("array<bigint>").alias("ids")).where("ids is not null").mapInArrow(run, "id bigint, n bigint")
+    own = df.select(F.col(f"`{ids_col}`").alias("ids")).where("ids is not null").mapInArrow(run, "id bigint, n bigint")
     return {r["id"]: r["n"] for r in own.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
+BLOCK = "block int, n_tokens int, n_bits bigint, payload binary, checkpoints array<int>"
+
+
 def encode(df: DataFrame, code: Code, id_col: str = "doc_id", ids_col: str = "token_ids", block_tokens: int = BLOCK_TOKENS, stride: int = STRIDE) -> DataFrame:
     """(doc_id, block, n_tokens, n_bits, payload, checkpoints), a row for each block."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(code)
 
     def run(source: Iterator[pa.RecordBatch]):
         for batch in source:
-            lists = batch.column(1)
-            null = lists.is_null().to_numpy(zero_copy_only=False)
-            size = np.where(null, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            if lists.flatten().null_count:
-                raise ValueError("null token id")
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, size, null = _lists(batch.column(1))
             blocks = np.maximum(-(-size // block_tokens), 1)
             doc = np.repeat(np.arange(len(size)), blocks)
             number = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             n = np.minimum(block_tokens, size[doc] - number * block_tokens)
+            lo = 0
             for a, b in _runs(n):
-                lo = int(n[:a].sum())
                 cuts = np.concatenate([[0], np.cumsum(n[a:b])])
                 payloads, n_bits, offset = shared.value.encode(ids[lo : lo + int(cuts[-1])], cuts)
-                marks = [offset[s:e:stride].astype(np.int32) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                lo += int(cuts[-1])
+                # places of the checkpoints: every stride-th id of each block
+                marks = -(-n[a:b] // stride)
+                spot = np.repeat(cuts[:-1], marks) + (np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)) * stride
                 mask = null[doc[a:b]]
+                ends = np.concatenate([[0], np.cumsum(marks)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(doc[a:b])), pa.array(number[a:b].astype(np.int32)), pa.array(n[a:b].astype(np.int32), mask=mask), pa.array(n_bits, pa.int64(), mask=mask),
-                    pa.array([None if m else p for p, m in zip(payloads, mask)], pa.binary()), pa.array([None if m else c for c, m in zip(marks, mask)], pa.list_(pa.int32())),
+                    pa.array([None if m else p for p, m in zip(payloads, mask)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(mask, False)), pa.array(offset[spot].astype(np.int32))),
                 ], [id_col, "block", "n_tokens", "n_bits", "payload", "checkpoints"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    own = df.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`").cast("array<bigint>"))
-    return own.mapInArrow(run, f"`{id_col}` {kind}, block int, n_tokens int, n_bits bigint, payload binary, checkpoints array<int>")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`")).mapInArrow(run, f"`{id_col}` {kind}, {BLOCK}")
 
 
 def _runs(n: np.ndarray):
@@ -216,18 +249,19 @@ def _runs(n: np.ndarray):
 def decode(blocks: DataFrame, code: Code, out_col: str = "token_ids", stride: int = STRIDE) -> DataFrame:
     """The blocks with the ids that they hold."""
     shared = blocks.sparkSession.sparkContext.broadcast(code)
+    names = [*blocks.columns, out_col]
+    at = [blocks.columns.index(c) for c in ("n_tokens", "payload", "checkpoints")]
 
-    @F.pandas_udf("array<int>")
-    def run(n_tokens, payload, checkpoints):
-        import pandas as pd
-
-        n = n_tokens.fillna(0).to_numpy().astype(np.int64)
-        body, marks, out = payload.tolist(), checkpoints.tolist(), [None] * len(n)
-        for a, b in _runs(n):
-            some = [i for i in range(a, b) if body[i] is not None]
-            ids = shared.value.decode([body[i] for i in some], n[some], [marks[i] for i in some], stride).astype(np.int32)
-            for i, part in zip(some, np.split(ids, np.cumsum(n[some])[:-1]) if some else []):
-                out[i] = part
-        return pd.Series(out, dtype=object)
-
-    return blocks.withColumn(out_col, run("n_tokens", "payload", "checkpoints"))
+    def run(source: Iterator[pa.RecordBatch]):
+        for batch in source:
+            n = batch.column(at[0]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in _runs(n):
+                own = batch.slice(a, b - a)
+                null = own.column(at[1]).is_null().to_numpy(zero_copy_only=False)
+                marks = own.column(at[2]).flatten().to_numpy(zero_copy_only=False)
+                ids = shared.value.decode([p or b"" for p in own.column(at[1]).to_pylist()], n[a:b], marks, stride)
+                ends = np.concatenate([[0], np.cumsum(n[a:b])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(null, False)), pa.array(ids.astype(np.int32)))], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
+    return blocks.mapInArrow(run, f"{schema}, `{out_col}` array<int>")

@@ -104,7 +104,7 @@ def op6_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of the token ids of every document, and the ids that decoding gives back."""
     from . import bpe, huffman
 
-    ids = Scratch(spark, "huffman").write(bpe.encode_local(_table(spark, sf_dir, "documents")))
+    ids = Scratch(spark, "huffman").write(bpe.encode_local(_table(spark, sf_dir, "documents"), packed=True))
     code = huffman.Code.of(huffman.count_ids(ids))
     return huffman.decode(huffman.encode(ids, code), code)
 

@@ -221,12 +221,15 @@ def test_huffman_round_trip_and_checkpoints(spark):
         if r["doc_id"] not in (0, None):
             got[r["doc_id"]] = None if r["payload"] is None else (got.get(r["doc_id"]) or []) + r["token_ids"]
     assert got == {i: x for i, x in rows if i not in (0, None)}
+    plain, flat = df.where("doc_id is not null"), F.udf(lambda x: None if x is None else np.array(x, "<i4").tobytes(), "binary")
+    same = huffman.encode(plain.withColumn("token_ids", flat("token_ids")), code).select("doc_id", "block", "payload")
+    assert same.exceptAll(huffman.encode(plain, code).select("doc_id", "block", "payload")).isEmpty() and huffman.count_ids(plain.withColumn("token_ids", flat("token_ids"))) == huffman.count_ids(plain)
     big = max(out, key=lambda r: r["n_tokens"] or 0)  # a stretch decodes alone
     k = 5
-    part = code.decode([big["payload"]], np.array([16]), [np.array([big["checkpoints"][k]])], 16)
+    part = code.decode([big["payload"]], np.array([16]), np.array([big["checkpoints"][k]]), 16)
     assert part.tolist() == big["token_ids"][16 * k : 16 * k + 16]
     one = huffman.Code.of({7: 3})
-    assert one.decode(*(lambda p, b, o: (p, np.array([3]), [o[:1]], 128))(*one.encode(np.array([7, 7, 7]), np.array([0, 3])))).tolist() == [7, 7, 7]
+    assert one.decode(*(lambda p, b, o: (p, np.array([3]), o[:1], 128))(*one.encode(np.array([7, 7, 7]), np.array([0, 3])))).tolist() == [7, 7, 7]
     assert huffman.encode(df.limit(0), huffman.Code.of(huffman.count_ids(df.limit(0)))).count() == 0
 
 
