@@ -16,8 +16,9 @@ from ..functions.translit import FRENCH, STOPWORDS
 
 _AR = "[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]"
 _LA = "[A-Za-z\\x{C0}-\\x{FF}0-9']"
-RUN = f"{_AR}+(?:[\\s\\x{{064B}}-\\x{{065F}}]+{_AR}+)*|{_LA}+(?:[ \\t]+{_LA}+)*|[^\\s]+"
-SMOOTH = "(?:^u+)?(?:(?:fu*)+|(?:au*)+)|^u+$"
+#: Possessive loops: Java's regex recurses on others, and a run may have any number of words.
+RUN = f"{_AR}++(?:[\\s\\x{{064B}}-\\x{{065F}}]+{_AR}++)*+|{_LA}++(?:[ \\t]++{_LA}++)*+|[^\\s]++"
+SMOOTH = "(?:^u++)?(?:(?:fu*+)++|(?:au*+)++)|^u++$"
 ACCENT = "[àâäçéèêëîïôöùûüÿœæ]"
 LETTER_DIGIT = "[a-zà-ÿ][2-9]|[2-9]'?[a-zà-ÿ]"
 LANGS = ("ar", "fr", "arabizi", "unknown")

@@ -95,6 +95,17 @@ def test_segments(spark):
     assert S.extract(df, "id", "t", "fr").where("id = 2").first()["fragments"] == ["le service", "disponible"] or S.extract(df, "id", "t", "fr").where("id = 2").count() == 1
 
 
+def test_long_runs(spark):
+    """Runs of very many words, which a recursive match would not survive."""
+    long = "كلمة " * 50_000 + "le mot " * 50_000
+    p = one(spark, S.profile, long)[0]
+    assert p["ar"] == 0.3333 and p["fr"] == 0.6667
+    df = spark.createDataFrame([(1, "mot " * 20_000 + "le " + "ken " * 3)], "id int, t string")
+    assert [r["lang"] for r in S.segments(df, "id", "t").orderBy("start").collect()] == ["fr", "arabizi"]
+    for f in (N.normalize, C.strip_wikitext, C.clean_social, C.strip_punctuation, T.to_arabic, T.to_arabizi):
+        assert one(spark, f, long)[0]
+
+
 def test_markers(spark):
     cases = {"ماناكلش الخبز": True, "ما تبعدش على الدار": True, "ماتبعدش": True, "ما بقاش": True, "ما شاء الله كان": False, "ما هذا الا بشر": False}
     got = one(spark, lambda t: F.regexp_count(t, F.lit(M.pattern("negation_ma_sh"))) > 0, *cases)
