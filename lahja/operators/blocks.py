@@ -26,34 +26,30 @@ def lines_of(text: Column) -> Column:
 
 def pieces(text: Column, target: int = TARGET) -> Column:
     """Lines; those of more than ``target`` words are cut every ``target`` words."""
+    rx = f"(?U)[^\\s\\x1C-\\x1F]++(?:[\\s\\x1C-\\x1F]++[^\\s\\x1C-\\x1F]++){{0,{target - 1}}}+"
 
     def cut(line: Column) -> Column:
-        words = F.filter(F.split(line, WHITE), lambda w: w != "")
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(target))
-        return F.when(F.size(words) <= target, F.array(line)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(target)), " ")))
+        parts = F.regexp_extract_all(line, F.lit(rx), F.lit(0))
+        return F.when(F.size(parts) <= 1, F.array(line)).otherwise(F.transform(parts, lambda p: F.regexp_replace(p, WHITE, " ")))
 
     return F.flatten(F.transform(lines_of(text), cut))
 
 
 def document_blocks(text: Column, target: int = TARGET) -> Column:
-    """array<string>: the blocks of one document, as written; words are counted without NFKC, which lambdas can't hold."""
-    own = pieces(F.coalesce(text, F.lit("")), target)
-    sized = F.filter(F.transform(own, lambda t: F.struct(t.alias("t"), count_words(t, compose=False).alias("n"))), lambda x: x["n"] > 0)
-    # block number of each piece: blocks ended before it
-    zero = F.struct(F.lit(0).alias("held"), F.lit(0).alias("block"), F.array().cast("array<int>").alias("of"))
+    """array<string>: the blocks of one document, as written; words are counted without NFKC, which lambdas can't hold.
+
+    One fold over the pieces."""
+    sized = F.transform(pieces(F.coalesce(text, F.lit("")), target), lambda t: F.struct(t.alias("t"), count_words(t, compose=False).alias("n")))
+    zero = F.struct(F.lit(0).alias("held"), F.lit("").alias("buffer"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         held = a["held"] + x["n"]
+        now = F.when(a["held"] == 0, x["t"]).otherwise(F.concat(a["buffer"], F.lit("\n"), x["t"]))
         full = held >= target
-        return F.struct(F.when(full, 0).otherwise(held).alias("held"), (a["block"] + full.cast("int")).alias("block"), F.concat(a["of"], F.array(a["block"])).alias("of"))
-
-    folded = F.aggregate(sized, zero, step)
-    numbered = F.arrays_zip(F.transform(sized, lambda x: x["t"]).alias("t"), folded["of"].alias("b"))
-    last = folded["block"] + (folded["held"] >= target // 2).cast("int")  # blocks that count
-    return F.when(
-        last > 0,
-        F.transform(F.sequence(F.lit(0), last - 1), lambda k: F.array_join(F.transform(F.filter(numbered, lambda x: x["b"] == k), lambda x: x["t"]), "\n")),
-    ).otherwise(F.array().cast("array<string>"))
+        some = F.struct(F.when(full, 0).otherwise(held).alias("held"), F.when(full, F.lit("")).otherwise(now).alias("buffer"), F.when(full, F.concat(a["out"], F.array(now))).otherwise(a["out"]).alias("out"))
+        return F.when(x["n"] > 0, some).otherwise(a)
+
+    return F.aggregate(sized, zero, step, lambda a: F.when(a["held"] >= target // 2, F.concat(a["out"], F.array(a["buffer"]))).otherwise(a["out"]))
 
 
 def _walk(n: np.ndarray, held: int, target: int) -> tuple[np.ndarray, int, int]:

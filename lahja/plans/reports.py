@@ -190,9 +190,9 @@ def verdicts(spark, sf, m=None):
     return TR.reply_verdicts(replies(spark, sf), m or model(spark, sf))
 
 
-@query(f"WITH {_VERDICTS} SELECT prompt_id, model, condition, script, n_words, scorable, score, above_classifier, n_markers, transliterated FROM vd")
+@query(f"WITH {_VERDICTS} SELECT prompt_id, model, condition, script, n_words, scorable, score, coalesce(above_classifier, false) AS above_classifier, coalesce(n_markers, -1) AS n_markers, transliterated FROM vd")
 def reply_verdicts(spark, sf):
-    return verdicts(spark, sf).select("prompt_id", "model", "condition", "script", "n_words", "scorable", "score", "above_classifier", "n_markers", "transliterated")
+    return verdicts(spark, sf).select("prompt_id", "model", "condition", "script", "n_words", "scorable", "score", F.coalesce("above_classifier", F.lit(False)).alias("above_classifier"), F.coalesce("n_markers", F.lit(-1)).alias("n_markers"), "transliterated")
 
 
 @query(f"""WITH {_VERDICTS}, a AS (SELECT model, condition, script, count(*) AS n, CAST(count(error) AS BIGINT) AS n_errors FROM replies GROUP BY ALL),
