@@ -15,7 +15,12 @@ WIKI_HEAD, WIKI_TAIL = "{{a {{b}} c}} [[File:x.png|t]] [[p|q]] [[plain]] [http:/
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; one that has fewer splits than the cluster has cores (a file of one row group) is spread first, as text functions are bound by CPU."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def arabic(spark: SparkSession, sf: str) -> DataFrame:
