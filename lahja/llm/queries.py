@@ -54,7 +54,7 @@ SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS matched FROM c WHERE n >= spa
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_pairs
 
-    return near_pairs(_table(spark, sf_dir, "documents"))
+    return near_pairs(_table(spark, sf_dir, "documents"), expand=True)
 
 
 #: All pairs of distinct gram sets by brute force, and the star of each set's copies.
