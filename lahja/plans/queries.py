@@ -141,8 +141,10 @@ segs AS (SELECT sb.doc_id, substr(sv.text, CAST(a AS BIGINT) + 1, CAST(b - a AS
 
 
 def _mixed(spark, sf):
+    """Each document, and behind its whole Arabic view again; the second text's id is farther off than any two ids are apart, so that none clash."""
     own = docs(spark, sf).select("doc_id", "text")
-    both = arabic(spark, sf).select("doc_id", "t").join(own, "doc_id").select((F.col("doc_id") + 1000000).alias("doc_id"), F.concat(F.substring("t", 1, 200), F.lit(" "), F.col("text")).alias("text"))
+    step = own.agg(((F.floor((F.max("doc_id") - F.least(F.min("doc_id"), F.lit(0))) / 1000000) + 1) * 1000000).alias("step"))
+    both = arabic(spark, sf).select("doc_id", "t").join(own, "doc_id").crossJoin(F.broadcast(step)).select((F.col("doc_id") + F.col("step")).alias("doc_id"), F.concat("t", F.lit(" "), "text").alias("text"))
     return own.union(both)
 
 
