@@ -210,7 +210,8 @@ def paired_shift(spark, sf):
 
 @query(f"WITH {_VERDICTS} SELECT model, condition, category, count(*) AS n, round(median(score), 3) AS median FROM vd WHERE score IS NOT NULL GROUP BY ALL")
 def by_register(spark, sf):
-    return report.by_register(verdicts(spark, sf), prompts(spark, sf))
+    known = replies(spark, sf).select(F.col("prompt_id").alias("id"), "category").distinct()
+    return report.by_register(verdicts(spark, sf), known)
 
 
 @query(f"WITH {_PROMPTS}, {REPLIES_SQL} SELECT id AS prompt_id, model, condition, script FROM pm, (VALUES ('m0'), ('m1'), ('m2')) AS m(model), (VALUES ('implicite'), ('explicite')) AS c(condition) WHERE (id, model, condition) NOT IN (SELECT (prompt_id, model, condition) FROM replies)")

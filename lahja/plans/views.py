@@ -45,11 +45,16 @@ WIKI_SQL = f"v AS (SELECT page_id, {_sql(WIKI_HEAD)} || html || {_sql(WIKI_TAIL)
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """(pos, prompt_id, model, condition, script, category, reply, error): first and second replies of each conversation."""
+    """(pos, prompt_id, model, condition, script, category, reply, error): all replies of each conversation, in pairs of a first and a second one.
+
+    The first pair has the conversation's id as its prompt, the pair k after it id-k. Positions follow conversation and turn."""
     turns = table(spark, sf, "conversations").where("role = 'assistant'")
-    own = turns.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))).where("r <= 2")
+    own = turns.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
+    step = turns.groupBy("conv_id").count().agg(F.greatest(F.lit(2), F.max("count")).alias("step"))
+    own = own.crossJoin(F.broadcast(step)).withColumn("pair", F.floor((F.col("r") + 1) / 2).cast("int"))
     c = F.col("conv_id")
-    return own.select((c * 2 + F.col("r")).alias("pos"), c.cast("string").alias("prompt_id"), F.concat(F.lit("m"), (c % 3).cast("string")).alias("model"), F.when(F.col("r") == 1, "implicite").otherwise("explicite").alias("condition"), F.when(c % 5 == 0, "arabizi").otherwise("arabe").alias("script"), F.concat(F.lit("c"), (c % 7).cast("string")).alias("category"), F.col("text").alias("reply"), F.when(c % 17 == 0, F.lit("429 refused")).alias("error"))
+    prompt = F.when(F.col("pair") == 1, c.cast("string")).otherwise(F.concat_ws("-", c.cast("string"), F.col("pair").cast("string")))
+    return own.select((c * F.col("step") + F.col("r")).alias("pos"), prompt.alias("prompt_id"), F.concat(F.lit("m"), (c % 3).cast("string")).alias("model"), F.when(F.col("r") % 2 == 1, "implicite").otherwise("explicite").alias("condition"), F.when(c % 5 == 0, "arabizi").otherwise("arabe").alias("script"), F.concat(F.lit("c"), (c % 7).cast("string")).alias("category"), F.col("text").alias("reply"), F.when(c % 17 == 0, F.lit("429 refused")).alias("error"))
 
 
 REPLIES_SQL = """r0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant'),

@@ -43,3 +43,32 @@ def test_report_of_whole_texts(spark, long_texts):
     profile = {r["doc_id"]: r for r in catalogue.queries()["lang_profile"](spark, long_texts).collect()}
     assert len(report) == 6 and report.keys() == profile.keys()
     assert all(report[k][f"lang_{x}"] == profile[k][x] for k in report for x in ("ar", "fr", "arabizi", "unknown"))
+
+
+@pytest.fixture(scope="module")
+def long_talks(spark, tmp_path_factory):
+    """Conversations of one to seven replies, of 30 words each."""
+    sf = str(tmp_path_factory.mktemp("talks"))
+    turns = [(c, 2 * k + side, ("user", "assistant")[side], f"r{c} t{k} " + "mot et autre " * 10) for c in range(1, 40) for k in range(1 + c % 7) for side in (0, 1)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    words = ("le chat dort dans la maison blanche ", "el perro duerme en la casa grande ")
+    spark.createDataFrame([(i, words[i % 2] * 8, ("fr", "es")[i % 2], "s") for i in range(40)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    return sf, [t for t in turns if t[2] == "assistant"]
+
+
+def test_every_reply_is_judged_and_counted(spark, long_talks):
+    from lahja.plans import views
+
+    sf, said = long_talks
+    own = views.replies(spark, sf).collect()
+    assert sorted(r["reply"] for r in own) == sorted(t[3] for t in said)
+    assert [r["reply"] for r in sorted(own, key=lambda r: r["pos"])] == [t[3] for t in sorted(said)]
+    assert len({r["pos"] for r in own}) == len({(r["prompt_id"], r["condition"]) for r in own}) == len(said)
+    ran = sum(t[0] % 17 > 0 for t in said)
+    run = lambda name: catalogue.queries()[name](spark, sf).collect()
+    assert len(run("reply_verdicts")) == ran
+    assert sum(r["n"] for r in run("bench_cells")) == len(said)
+    assert sum(r["n"] for r in run("by_register")) == ran
+    assert sum(r["n_pairs"] for r in run("paired_shift")) == sum((1 + c % 7) // 2 for c in range(1, 40) if c % 17)
+    assert len(run("split_by_prompt")) == len(said)
+    assert sum(r["calls"] for r in run("abandon_replay")) == len(said)
