@@ -114,7 +114,7 @@ def group_documents(spark, sf):
 def score_by_source(spark, sf):
     m = model(spark, sf)
     own = B.chunk_lines(lines(spark, sf), "source", ["doc_id", "li"], "line")
-    return report.score_by_source(own, K.score_texts(own, ["source", "block"], "text", m), m.threshold)
+    return report.score_by_source(own, K.score_texts(own, ["source", "block"], "text", m), m.threshold, limit=None)
 
 
 @query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source AS worst, above_threshold, above_threshold >= 0.9 AS passes FROM (SELECT source, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt WHERE block < 4000 GROUP BY source) ORDER BY above_threshold, source LIMIT 1")

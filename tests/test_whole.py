@@ -72,3 +72,11 @@ def test_every_reply_is_judged_and_counted(spark, long_talks):
     assert sum(r["n_pairs"] for r in run("paired_shift")) == sum((1 + c % 7) // 2 for c in range(1, 40) if c % 17)
     assert len(run("split_by_prompt")) == len(said)
     assert sum(r["calls"] for r in run("abandon_replay")) == len(said)
+
+
+def test_every_block_of_a_source_counts(spark, tmp_path):
+    words = ("le chat dort dans la maison blanche " * 9, "el perro duerme en la casa grande " * 9)  # 63 words: a block each
+    own = [(i, words[i > 4100], ("fr", "es")[i > 4100], "hot" if i <= 4100 else "cold") for i in range(1, 4151)]
+    spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: r["n"] for r in catalogue.queries()["score_by_source"](spark, str(tmp_path)).collect()}
+    assert got == {"hot": 4100, "cold": 50}
