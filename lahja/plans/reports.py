@@ -344,7 +344,7 @@ def poem_dedup(spark, sf):
 
 @query(f"WITH {_PARSED}, ix AS (SELECT md5(text) AS fp, arg_max('u' || doc_id, doc_id) AS uid FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT md5(text) AS text_md5, uid FROM en LEFT JOIN ix ON ix.fp = md5(text)")
 def poem_uid_join(spark, sf):
-    index = docs(spark, sf).where("doc_id % 3 = 0").select(F.col("doc_id").alias("pos"), F.md5("text").alias("fingerprint"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("uid"))
+    index = docs(spark, sf).select(F.col("doc_id").alias("pos"), F.md5("text").alias("fingerprint"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("uid"))
     return poems.attach_uids(poems.from_examples(examples(spark, sf)), index, F.md5).select(F.md5("text").alias("text_md5"), "uid")
 
 

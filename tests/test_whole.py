@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -80,3 +82,19 @@ def test_every_block_of_a_source_counts(spark, tmp_path):
     spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["source"]: r["n"] for r in catalogue.queries()["score_by_source"](spark, str(tmp_path)).collect()}
     assert got == {"hot": 4100, "cold": 50}
+
+
+def test_every_text_is_indexed(spark, tmp_path):
+    own = [(i, f"text {max(i, 3)}", "fr", "s") for i in range(1, 11)]
+    spark.createDataFrame(own, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["text_md5"]: r["uid"] for r in catalogue.queries()["poem_uid_join"](spark, str(tmp_path)).collect()}
+    assert got == {hashlib.md5(t.encode()).hexdigest(): f"u{i}" for i, t, _, _ in own[2:]}
+
+
+def test_texts_that_are_not_indexed_have_no_uid(spark):
+    from lahja.operators import poems
+
+    entries = spark.createDataFrame([("a", None), ("b", None), ("c", "own")], "text string, uid string")
+    index = spark.createDataFrame([(1, "a", "u1"), (2, "a", "u2"), (3, "z", "u3"), (4, None, "u4")], "pos bigint, fingerprint string, uid string")
+    got = {r["text"]: r["uid"] for r in poems.attach_uids(entries, index, lambda t: t).collect()}
+    assert got == {"a": "u2", "b": None, "c": "own"}
