@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
 Equal lines are gathered by a 128-bit fingerprint with map-side combine, so that a hot line is one row per task.
-Distinct lines of at least ``min_chars`` characters are joined within edit distance ``tau``: the line that is indexed is
-split into tau + 1 even segments, of which an edit script of tau leaves one whole (pigeonhole), so a partner holds it
+Distinct lines are joined within an edit distance that follows the length of the shorter one, one edit for every ``per``
+characters and ``tau`` at most (lines of fewer than ``per`` characters so have to be equal). For each distance the line that is indexed is
+split into one more even segments, of which an edit script leaves one whole (pigeonhole), so a partner holds it
 as a substring. The substrings that a partner of each length has to probe are chosen by position: segment i may
 have moved by no more than i edits to its left and tau - i to its right. Keys name length, segment number and
 substring and travel in packed sorted parts, by hash; the pairs found are verified with a banded bit-parallel edit
@@ -10,8 +11,7 @@ distance, a word operation for each column, all pairs of a batch at once, after
 Recall is 1: every row is a query and nothing is capped. All sides of the joins grow with the corpus, so they are merge joins at
 every size.
 
-A line is removed if an earlier line is equal to it or, both being long enough, within tau of it; it names the
-earliest such line. Lines are ordered by (document id, line number), null ids last.
+A line is removed if an earlier line is equal to it or within their distance; it names the earliest such line. Lines are ordered by (document id, line number), null ids last.
 
 Defined results: lines end at "\\n"; a line of white space only is never removed; a null text has no lines.
 Lines that repeat within a document count. In ``near_lines`` documents that share an id are told apart by
@@ -22,6 +22,7 @@ empty result; other columns, whatever their names, are carried as they are.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, partitions
-from ._text import CHUNK_CHARS, _powers, batches, codes, hash_spans, mix
+from ._text import CHUNK_CHARS, batches, codes, mix
 from .ngram_join import _batch, pack, unpack
 
-TAU, MIN_CHARS = 2, 24
+TAU, PER = 2, 12
 _U = np.uint64
 PACKED = "part int, keys binary, owners binary, sides binary"
 
@@ -47,47 +48,60 @@ def segments(n: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size, 1) - size, size
 
 
+_P = 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, _P, _U), np.full(size, pow(_P, -1, 1 << 64), _U)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def _spans(cp: np.ndarray):
-    """Hash function of spans of cp by one running sum."""
-    if len(cp) > CHUNK_CHARS:
-        return lambda s, e: hash_spans(cp, s, e)
-    up, down = _powers()
+    """Hash function of spans of cp by one running sum of a polynomial. Equal spans have equal hashes; others that meet cost a verification."""
+    up, down = _powers(CHUNK_CHARS + 1 if len(cp) <= CHUNK_CHARS else len(cp) + 1)
     acc = np.zeros(len(cp) + 1, _U)
     np.cumsum((cp.astype(_U) + _U(1)) * up[: len(cp)], out=acc[1:])
     return lambda s, e: mix((acc[e] - acc[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def keys_of(lines: list[str], tau: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, whether it probes) of lines that are long enough."""
+def allowed(n: np.ndarray, tau: int, per: int) -> np.ndarray:
+    """Edits allowed where the shorter line has n characters."""
+    return np.minimum(n // per, tau)
+
+
+def keys_of(lines: list[str], tau: int, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, whether it probes) of the lines that may differ from others."""
     cp = codes("".join(lines))
     n = np.array([len(x) for x in lines], np.int64)
     begin = np.cumsum(n) - n
     h = _spans(cp)
-    every = np.arange(len(n))
     out: list[tuple[np.ndarray, np.ndarray, bool]] = []
-    for delta in range(tau + 1):
-        own = every[n - delta >= min_chars]
-        size_of = n[own] - delta  # of the line that is indexed
-        start, size = segments(size_of, tau)
-        for i in range(tau + 1):
-            name = (size_of * (tau + 1) + i).astype(_U) * _U(0x9FB21C651E98DF25)
-            if delta == 0:
-                s = begin[own] + start[:, i]
-                out.append((mix(h(s, s + size[:, i]) + name), own, False))
-            for shift in range(max(-i, delta - (tau - i)), min(i, delta + tau - i) + 1):
-                p = start[:, i] + shift
-                ok = (p >= 0) & (p + size[:, i] <= n[own])
-                s = (begin[own] + p)[ok]
-                out.append((mix(h(s, s + size[ok, i]) + name[ok]), own[ok], True))
+    for edits in range(1, tau + 1):
+        for delta in range(edits + 1):
+            own = np.flatnonzero(allowed(n - delta, tau, per) == edits)
+            size_of = n[own] - delta  # of the line that is indexed
+            start, size = segments(size_of, edits)
+            for i in range(edits + 1):
+                name = (size_of * (tau + 1) + i).astype(_U) * _U(0x9FB21C651E98DF25)
+                if delta == 0:
+                    s = begin[own] + start[:, i]
+                    out.append((mix(h(s, s + size[:, i]) + name), own, False))
+                for shift in range(max(-i, delta - (edits - i)), min(i, delta + edits - i) + 1):
+                    p = start[:, i] + shift
+                    ok = (p >= 0) & (p + size[:, i] <= n[own])
+                    s = (begin[own] + p)[ok]
+                    out.append((mix(h(s, s + size[ok, i]) + name[ok]), own[ok], True))
     return np.concatenate([k for k, _, _ in out]), np.concatenate([o for _, o, _ in out]), np.concatenate([np.full(len(o), s) for _, o, s in out])
 
 
-def _keys(tau: int, min_chars: int, parts: int):
+def _keys(tau: int, per: int, parts: int):
     def run(source: Iterator[pa.RecordBatch]):
         for batch in source:
             uid, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in batches(lines, CHUNK_CHARS):
-                key, owner, side = keys_of(lines[a:b], tau, min_chars)
+                key, owner, side = keys_of(lines[a:b], tau, per)
                 part = ((key >> _U(32)) % _U(parts)).astype(np.int64)
                 order = np.lexsort((key, part))
                 key, owner, side = key[order], owner[order], side[order]
@@ -225,16 +239,16 @@ def _instances(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
     return lines.select(F.struct("k", "no").alias("at"), "line", F.unhex(F.md5("line")).alias("fp"))
 
 
-def _removed(docs: DataFrame, key: Column, text_col: str, tau: int, min_chars: int, io: Scratch) -> DataFrame:
+def _removed(docs: DataFrame, key: Column, text_col: str, tau: int, per: int, io: Scratch) -> DataFrame:
     """(at, keep, distance) of every line that goes; at and keep are (k, no)."""
-    if min_chars <= 2 * tau:
-        raise ValueError("min_chars must be more than twice tau")
+    if tau < 1 or per < 5:
+        raise ValueError("tau is 1 or more, and an edit needs 5 characters or more")
     parts = partitions(docs.sparkSession)
     own = _instances(docs, key, text_col)
     lines = own.groupBy("fp").agg(F.min("at").alias("first"), F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
     # written once: the numbers stay what they are when an executor is lost
     lines = io.write(lines.withColumn("uid", F.monotonically_increasing_id()))
-    packed = lines.select("uid", "line").where(F.length("line") >= min_chars).mapInArrow(_keys(tau, min_chars, parts), PACKED)
+    packed = lines.select("uid", "line").where(F.length("line") >= per).mapInArrow(_keys(tau, per, parts), PACKED)
     pairs = io.write(packed.repartitionById(parts, F.col("part")).mapInArrow(_matches, "a bigint, b bigint").distinct())
     wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     texts = io.write(lines.select("uid", "line", "first").join(wanted.hint("merge"), "uid"))
@@ -244,7 +258,7 @@ def _removed(docs: DataFrame, key: Column, text_col: str, tau: int, min_chars: i
         return pd.Series(distances(x.tolist(), y.tolist(), tau).astype(np.int32))
 
     x, y = (texts.select(F.col("uid").alias(c), F.col("line").alias(f"l{c}"), F.col("first").alias(f"f{c}")) for c in "ab")
-    near = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").withColumn("distance", distance("la", "lb")).where(F.col("distance") <= tau)
+    near = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").withColumn("distance", distance("la", "lb")).where(F.col("distance") <= F.least(F.lit(tau), F.floor(F.least(F.length("la"), F.length("lb")) / per)))
     late = F.col("fa") > F.col("fb")
     best = near.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("uid"), F.struct(F.least("fa", "fb").alias("first"), "distance").alias("near")).groupBy("uid").agg(F.min("near").alias("near"))
     goal = lines.select("fp", "first", "n", "uid").join(io.write(best).hint("merge"), "uid", "left").where("n > 1 or near is not null")
@@ -252,21 +266,21 @@ def _removed(docs: DataFrame, key: Column, text_col: str, tau: int, min_chars: i
     return own.select("fp", "at").join(goal.hint("merge"), "fp").where("at <> keep").select("at", "keep", "distance")
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, per: int = PER) -> DataFrame:
     """(doc_id, line_no, keep_id, keep_line_no, distance) of every line that goes."""
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("last"), F.col(f"`{id_col}`").alias("id"))
-    out = _removed(docs, key, text_col, tau, min_chars, Scratch(docs.sparkSession, "lines"))
+    out = _removed(docs, key, text_col, tau, per, Scratch(docs.sparkSession, "lines"))
     return out.select(F.col("at.k.id").alias(id_col), F.col("at.no").alias("line_no"), F.col("keep.k.id").alias("keep_id"), F.col("keep.no").alias("keep_line_no"), "distance")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, per: int = PER) -> DataFrame:
     """The documents without the lines that go; columns as given."""
     io = Scratch(docs.sparkSession, "lines")
     packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
     rows = io.write(packed.withColumn("uid", F.monotonically_increasing_id()))
     id_, text = f"row.c{docs.columns.index(id_col)}", f"row.c{docs.columns.index(text_col)}"
     own = rows.select("uid", F.col(id_).alias("id"), F.col(text).alias("text"))
-    out = _removed(own, F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("uid")), "text", tau, min_chars, io)
+    out = _removed(own, F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("uid")), "text", tau, per, io)
     gone = out.groupBy(F.col("at.k.uid").alias("uid")).agg(F.collect_set("at.no").alias("gone"))
     both = rows.join(gone, "uid", "left").withColumn("lines", F.split(F.col(text), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
