@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
+
+
+@atexit.register
+def _sweep() -> None:
+    """What is left on this machine's own disk goes with the process; on a cluster ``clear`` or the cluster's own rules remove it."""
+    for path in _FOLDERS:
+        if path.startswith("file:/"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, one machine), a new local folder that becomes the setting."""
+    """spark.checkpoint.dir of the session. Where it is unset (tests, one machine), a new local folder becomes the setting; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lahja-")
+        _FOLDERS.add(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that operators wrote in this process; frames that read them can't be used any more."""
+    for path in list(_FOLDERS):
+        delete(spark, path)
+        _FOLDERS.discard(path)
+
+
 class Scratch:
-    """Tables of one operator call. ``write`` cuts lineage with a written table; ``drop`` removes one that is no longer read."""
+    """Tables of one operator call. ``write`` cuts lineage with a written table; ``keep`` removes all but those that are still read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[int, DataFrame] = {}
         self.n = 0
+        _FOLDERS.add(self.root)
 
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.n += 1
@@ -37,12 +67,17 @@ class Scratch:
             self.spark.conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lahja_path = path
+        self.tables[self.n] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._lahja_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for n, t in list(self.tables.items()):
+            if any(t is x for x in tables):
+                delete(self.spark, t._lahja_path)
+                del self.tables[n]
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.drop(*[t for t in self.tables.values() if not any(t is x for x in tables)])
 
 
 def bytes_of(df: DataFrame) -> int:

@@ -5,8 +5,10 @@ character, so that a worker handles whole Arrow batches without a Python loop ov
 
 * words: maximal runs of letters and numbers (``[\\p{L}\\p{N}]+``) of the lower-cased text;
 * pre-tokens: the pieces of the byte-level BPE splitting pattern of the public 50k vocabularies;
-* hashes: 64-bit polynomial of the code points followed by a finaliser. They name words and
-  n-grams; two different strings meet with a probability of 2**-64.
+* hashes: the sum of a random number for each code point times a random odd number for its place, finalised
+  (multilinear hashing over tables). Unlike a polynomial it has no algebra that structured strings, such as those of
+  Thue and Morse, could cancel: two strings meet with a probability of about 2**-63. Where a hash would decide on what is
+  written (words of BPE, classes of equal texts), bytes or a second hash are compared as well.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import functools
 import unicodedata
 
 import numpy as np
+import pandas as pd
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Characters handled at a time; bounds the scratch arrays to a few dozen MB.
@@ -35,15 +38,6 @@ def classes() -> np.ndarray:
     return out
 
 
-@functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    inv = pow(_P, -1, 1 << 64)
-    up = np.full(CHUNK_CHARS + 1, _P, np.uint64)
-    down = np.full(CHUNK_CHARS + 1, inv, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -55,41 +49,69 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@functools.cache
+def _random() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point, an odd one for each place."""
+    letter = mix((np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * np.uint64(_P))
+    place = mix((np.arange(CHUNK_CHARS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    return letter, place
+
+
+def _finish(total: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    return mix(total + np.asarray(size).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of all elements of spans, one span after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def hash_spans(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each cp[start:end]; starts ascend. Any length."""
-    out = np.empty(len(starts), np.uint64)
-    up, down = _powers()
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        stop = int(np.searchsorted(ends, base + CHUNK_CHARS, "right"))
+    """64-bit hash of each cp[start:end]. Any length."""
+    letter, place = _random()
+    sizes = np.asarray(ends, np.int64) - starts
+    out = np.full(len(sizes), mix(np.zeros(1, np.uint64))[0])
+    acc, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = int(np.searchsorted(acc, (acc[at - 1] if at else 0) + CHUNK_CHARS, "right"))
         if stop <= at:  # one span longer than a chunk
-            out[at] = _hash_long(cp[base : ends[at]])
+            out[at] = _hash_long(cp[starts[at] : ends[at]])
             at += 1
             continue
-        s, e = (starts[at:stop] - base).astype(np.int64), (ends[at:stop] - base).astype(np.int64)
-        size = int(e[-1])
-        acc = np.zeros(size + 1, np.uint64)
-        np.cumsum((cp[base : base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=acc[1:])
-        out[at:stop] = mix((acc[e] - acc[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        own = np.flatnonzero(sizes[at:stop] > 0) + at
+        if len(own):
+            n = sizes[own]
+            first = np.cumsum(n) - n
+            rel = np.arange(int(n.sum())) - np.repeat(first, n)
+            term = letter[cp[rel + np.repeat(starts[own], n)]]
+            term *= place[rel]
+            out[own] = _finish(np.add.reduceat(term, first), n)
         at = stop
     return out
 
 
 def _hash_long(cp: np.ndarray) -> np.uint64:
-    up, _ = _powers()
-    total, scale = 0, 1
+    letter, place = _random()
+    total = np.zeros(1, np.uint64)
     for i in range(0, len(cp), CHUNK_CHARS):
-        part = cp[i : i + CHUNK_CHARS].astype(np.uint64) + np.uint64(1)
-        total += scale * int((part * up[: len(part)]).sum())
-        scale = scale * pow(_P, len(part), 1 << 64) & _MASK
-    return mix(np.array([(total + len(cp) * 0xD6E8FEB86659FD93) & _MASK], np.uint64))[0]
+        part = letter[cp[i : i + CHUNK_CHARS]]
+        total = mix(total * np.uint64(_P) + (part * place[: len(part)]).sum(dtype=np.uint64))
+    return _finish(total, len(cp))[0]
+
+
+def hash_fixed(cp: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """The same hash of spans of one short length."""
+    letter, place = _random()
+    total = np.zeros(len(begin), np.uint64)
+    for k in range(n):
+        total += letter[cp[begin + k]] * place[k]
+    return _finish(total, n)
 
 
 def string_hash(text: str) -> int:
     """The hash that the span functions give this string."""
     cp = codes(text)
-    return int(hash_spans(cp, np.array([0]), np.array([len(cp)]))[0]) if len(cp) else int(mix(np.zeros(1, np.uint64))[0])
+    return int(hash_spans(cp, np.array([0]), np.array([len(cp)]))[0])
 
 
 def batches(texts: list[str | None], chars: int = CHUNK_CHARS):
@@ -190,3 +212,32 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def piece(cp: np.ndarray, start: int, end: int) -> bytes:
     return cp[start:end].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
+
+
+def spelled(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """UTF-8 of each span."""
+    size = end - start
+    text, out, at = cp[flat(start, size)].tobytes().decode("utf-32-le", "surrogatepass"), [], 0
+    for n in size.tolist():
+        out.append(text[at : at + n].encode("utf-8", "replace"))
+        at += n
+    return out
+
+
+def distinct(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each span by first appearance, first span of each code, its hash). Hashes propose; characters are compared, so spans of one code are equal."""
+    hashes, size = hash_spans(cp, start, end), end - start
+    codes = pd.factorize(hashes)[0]
+    first = _first(codes)
+    again = np.flatnonzero(first[codes] != np.arange(len(codes)))
+    rep = first[codes[again]]
+    if (size[again] != size[rep]).any() or (cp[flat(start[again], size[again])] != cp[flat(start[rep], size[again])]).any():
+        codes = pd.factorize(np.array(spelled(cp, start, end), object))[0]
+        first = _first(codes)
+    return codes, first, hashes[first]
+
+
+def _first(codes: np.ndarray) -> np.ndarray:
+    out = np.empty(int(codes.max(initial=-1)) + 1, np.int64)
+    out[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return out

@@ -3,13 +3,16 @@
 Encoding: texts are split into pre-tokens with their positions; every distinct pre-token is encoded once in the
 whole job, after a shuffle on the word; ids are joined back and reassembled by position.
 
+Words are told apart by their characters; hashes only propose equal ones and choose the bucket.
+
 The positions of a block's pre-tokens (some dozen MB of text of one input partition) are kept as an array of
 indexes into the block's own list of words, so that only a block's distinct words travel, once each way, and
 hot words cost one row part per block. Words are sent in packed parts by hash bucket; a bucket's task keeps one
 dictionary of ids, bounded by the number of shuffle partitions. A block's ids and its position arrays meet in a
 co-group on the block.
 
-Both sides of that co-group scan the input. Their blocks carry a fingerprint of the words, so a source that
+Both sides of that co-group scan the input: to write words and positions once instead would take more disk than it
+saves time. Their blocks carry a fingerprint of the words, so a source that
 yields other rows when it is read again fails loudly instead of giving wrong ids; give a written table (the
 pipeline and the queries do).
 
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import partitions, small_batches
-from ._text import batches, hash_spans, pretokens
+from ._text import batches, distinct, flat, pretokens, spelled
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,6 +47,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK_CHARS = 16 << 20
 #: Pre-tokens of a part of a block; a longer document is a part of its own.
 PART_TOKENS = 1 << 19
+#: Words of which a task keeps the ids, so that no memory grows with the vocabulary.
+KNOWN = 1 << 18
 #: Buckets for each shuffle partition.
 BUCKETS = 4
 
@@ -67,8 +72,7 @@ class Block:
         self.ids: list = []
         self.sizes: list[int] = []  # pre-tokens of each document, -1: null text
         self.index: list[np.ndarray] = []
-        self.word_of: dict[int, int] = {}
-        self.words: list[bytes] = []
+        self.word_of: dict[bytes, int] = {}
         self.hashes: list[np.ndarray] = []
         self.chars = 0
 
@@ -76,41 +80,20 @@ class Block:
         for a, b in batches(texts):
             part = texts[a:b]
             cp, start, end, first = pretokens([t or "" for t in part])
-            h = hash_spans(cp, start, end)
-            # codes by first appearance
-            codes, uniq = pd.factorize(h)
-            place = np.empty(len(uniq), np.int64)
-            seen = np.full(len(uniq), len(h), np.int64)
-            np.minimum.at(seen, codes, np.arange(len(h)))
-            get, words = self.word_of, self.words
-            fresh = []
-            for k, x in enumerate(uniq.tolist()):
-                at = get.get(x)
-                if at is None:
-                    at = get[x] = len(get)
-                    if not self.places:
-                        words.append(b"")
+            codes, at, h = distinct(cp, start, end)
+            get, place, fresh = self.word_of, np.empty(len(at), np.uint32), []
+            for k, word in enumerate(spelled(cp, start[at], end[at])):
+                n = len(get)
+                place[k] = own = get.setdefault(word, n)
+                if own == n:
                     fresh.append(k)
-                place[k] = at
-            if fresh:
-                self.hashes.append(uniq[fresh])
-                if not self.places:
-                    self._fill(cp, start[seen[fresh]], end[seen[fresh]], place[fresh])
+            self.hashes.append(h[fresh])
             if self.places:
-                self.index.append(place[codes].astype(np.uint32))
+                self.index.append(place[codes])
                 self.sizes += [-1 if t is None else n for t, n in zip(part, np.diff(first).tolist())]
                 self.ids += ids[a:b]
             self.chars += len(cp)
 
-    def _fill(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> None:
-        size = end - start
-        flat = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-        text = cp[flat].tobytes().decode("utf-32-le", "surrogatepass")
-        at = 0
-        for p, n in zip(place.tolist(), size.tolist()):
-            self.words[p] = text[at : at + n].encode("utf-8", "replace")
-            at += n
-
     def all_hashes(self) -> np.ndarray:
         return np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
 
@@ -171,13 +154,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     def words(source):
         for name, block in _blocks(source, block_chars, False):
             h = block.all_hashes()
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            bucket, spelling = (h % np.uint64(buckets)).astype(np.int64), list(block.word_of)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = []
             for k in np.flatnonzero(np.diff(edge)):
                 place = order[edge[k] : edge[k + 1]]
-                found = [block.words[p] for p in place.tolist()]
+                found = [spelling[p] for p in place.tolist()]
                 rows.append((int(k), name, pack(np.diff(place, prepend=0).astype("<u4")), pack(np.array([len(w) for w in found], "<u4")), zstandard.compress(b"".join(found), 3)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "place", "sizes", "words"])
@@ -187,6 +170,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         known: dict[bytes, list[int]] = {}
         for batch in source:
             rows = []
+            if len(known) > KNOWN:
+                known.clear()
             for r in batch.to_pylist():
                 body, at, out, sizes = zstandard.decompress(r["words"]), 0, [], []
                 for size in unpack(r["sizes"], "<u4").tolist():
@@ -229,7 +214,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 ids.append(_from_planes(r["ids"]))
                 total += len(p)
         start, count = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        own_ids = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
         if total:
             where, sizes = np.concatenate(place), np.concatenate(size).astype(np.int64)
             if where.max() != total - 1:
@@ -243,7 +228,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 if len(spot) and int(spot.max()) >= total:
                     raise ValueError("a block's words are missing: the input changed between two reads")
                 n_ids = count[spot]
-                out = flat[np.arange(int(n_ids.sum())) - np.repeat(np.cumsum(n_ids) - n_ids, n_ids) + np.repeat(start[spot], n_ids)]
+                out = own_ids[flat(start[spot], n_ids)]
                 ends = np.cumsum(np.maximum(doc_size, 0))
                 acc = np.concatenate([[0], np.cumsum(n_ids)])
                 offsets = np.concatenate([[0], acc[ends]]).astype(np.int32)
@@ -269,50 +254,38 @@ def _stream(f, a, b):
 
 
 class Known:
-    """Ids of words seen before, by hash, in flat arrays: a few dozen bytes a word."""
+    """Ids of words seen before, in flat arrays."""
 
     def __init__(self, enc, most: int):
         self.enc, self.most = enc, most
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
-
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
-        return at, self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        self.place: dict[bytes, int] = {}
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def ids(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, one after another, number of ids of each piece)."""
-        codes, uniq = pd.factorize(hash_spans(cp, start, end))
-        if len(self.keys) > self.most:
+        codes, first, _ = distinct(cp, start, end)
+        if len(self.place) > self.most:
             self._reset()
-        _, there = self._find(uniq)
-        new = np.flatnonzero(~there)
-        if len(new):
-            seen = np.empty(len(uniq), np.int64)
-            seen[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the first piece of each code
-            own = seen[new]
-            n = end[own] - start[own]
-            text = cp[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)].tobytes().decode("utf-32-le", "surrogatepass")
-            found, at, encode = [], 0, self.enc._encode_single_piece
-            for k in n.tolist():
-                found.append(encode(text[at : at + k].encode("utf-8", "replace")))
-                at += k
+        get, encode, found = self.place, self.enc._encode_single_piece, []
+        at = np.empty(len(first), np.int64)
+        for k, word in enumerate(spelled(cp, start[first], end[first])):
+            n = len(get)
+            at[k] = own = get.setdefault(word, n)
+            if own == n:
+                found.append(encode(word))
+        if found:
             size = np.fromiter(map(len, found), np.int32, len(found))
-            begin = np.cumsum(size, dtype=np.int64) - size + len(self.flat)
+            self.start = np.concatenate([self.start, np.cumsum(size, dtype=np.int64) - size + len(self.flat)])
+            self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))])
-            keys = np.concatenate([self.keys, uniq[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.start, self.size = keys[order], np.concatenate([self.start, begin])[order], np.concatenate([self.size, size])[order]
-        at, _ = self._find(uniq)
         n = self.size[at][codes].astype(np.int64)
-        first = self.start[at][codes] - (np.cumsum(n) - n)
-        return self.flat[np.arange(int(n.sum())) + np.repeat(first, n)], n
+        return self.flat[flat(self.start[at][codes], n)], n
 
 
-def encode_local(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[bytes, int] | None = None, words: int = 1 << 20, packed: bool = False) -> DataFrame:
+def encode_local(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[bytes, int] | None = None, words: int = 1 << 18, packed: bool = False) -> DataFrame:
     """(doc_id, token_ids) in one scan without a shuffle, for operators that need ids as input; a task keeps the ids of
     about ``words`` distinct words. ``packed``: the ids of a document as one binary, little-endian, 4 bytes each."""
     small_batches(docs.sparkSession)
