@@ -37,24 +37,27 @@ def _settle(docs: DataFrame, id_col: str, text_col: str, first_bytes: int, growt
     body = F.col(f"`{text_col}`").cast("binary")
     digit, ended = _digit(body, first_bytes)
     heads = io.write(docs.where(body.isNotNull()).groupBy(digit.alias("digit"), ended.alias("ended")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), body.alias("body"), F.col(f"`{id_col}`").alias("id"))
-    digit, ended = _digit(F.col("body"), first_bytes)
-    found = packed.where("body is not null").withColumns({"digit": digit, "ended": ended}).join(heads.hint("merge"), ["digit", "ended"])
+    at = docs.columns.index(text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    text = F.col(f"row.c{at}").cast("binary")
+    digit, ended = _digit(text, first_bytes)
+    found = packed.where(text.isNotNull()).withColumns({"digit": digit, "ended": ended}).join(heads.hint("merge"), ["digit", "ended"])
     # written once: the numbers stay what they are when an executor is lost
-    together = io.write(found.withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "row", "digit", "ended", "body"))
-    state = together.select("uid", "id", F.lit(0).cast("bigint").alias("gid"), "digit", "ended", F.expr(f"substring(body, {first_bytes + 1})").alias("rest"))
+    together = io.write(found.withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "row", "digit", "ended"))
+    state = together.select("uid", "id", F.lit(0).cast("bigint").alias("gid"), "digit", "ended", F.substring(text, first_bytes + 1, (1 << 31) - 1).alias("rest"))
     width, done, before = first_bytes, [], None
     while True:
         groups = io.write(state.groupBy("gid", "digit", "ended").agg(F.min("uid").alias("next"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
         table = io.write(state.join(groups.hint("merge"), ["gid", "digit", "ended"]).select("uid", "id", F.col("next").alias("gid"), "ended", F.when(~F.col("ended"), F.col("rest")).alias("rest")))
         io.drop(groups, *([before] if before is not None else []))
-        done.append(table.where("ended").select("uid", "id", "gid"))
+        done.append(io.write(table.where("ended").select("uid", "id", "gid")))
         if table.where("not ended").isEmpty():
+            io.drop(table)
             break
         width *= growth
         digit, ended = _digit(F.col("rest"), width)
-        before = None  # its settled rows are still read
-        state = table.where("not ended").select("uid", "id", "gid", digit.alias("digit"), ended.alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
+        before = table
+        state = table.where("not ended").select("uid", "id", "gid", digit.alias("digit"), ended.alias("ended"), F.substring("rest", width + 1, (1 << 31) - 1).alias("rest"))
     same = done[0]
     for t in done[1:]:
         same = same.union(t)
