@@ -5,45 +5,66 @@ A word that the model knows scores, for each language, its negative log10 relati
 4, 3, 2 and 1: the longest length of which any n-gram is known gives the mean over its known n-grams. A text's
 score is the mean over all its words, every occurrence counted; the language with the lowest wins.
 
-The model is fitted on a bounded sample: of each language the ``per_language`` labelled documents of up to
-``max_chars`` characters whose ids hash lowest. ``max_words`` and ``max_grams`` bound each language's tables,
-so that what is broadcast has a fixed size however large the corpus. Classification reads whole texts, in one
+The model is fitted on a bounded sample of labelled rows: of each language the ``per_language`` distinct documents whose
+ids and texts hash lowest, ROWS in all where that many languages would make more (a document each at least). All
+languages, whole texts, all words and all n-grams of the sample count. Counting is distributed; what the driver gets and
+broadcasts is the sample's vocabulary, kept sparsely (a language and a number for each word that the language has), so
+it is bounded by the sample however large the corpus. Classification reads whole texts, in one
 scan without a shuffle; only the text column goes to Python.
 
 Defined results: a null text, or one without letters or numbers, has no language (null), margin 0 and is
 rejected; so is a text whose best two languages are less than ``min_margin`` apart. With one language known
 the margin is PENALTY. Without labelled documents everything is rejected. Ties go to the first name in
-alphabetical order. Any other columns are carried as they are.
+alphabetical order. Rows that repeat are judged alike, and count once in the sample. Very long texts are read whole. Any
+other columns are carried as they are.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import fresh
-from ._text import Words, batches, hash_spans
+from ._spark import fresh, partitions
+from ._text import Words, batches, flat, hash_fixed
 
 PENALTY = 7.0
 NGRAM = 5
-PER_LANGUAGE, MAX_CHARS = 1500, 20_000
-MAX_WORDS, MAX_GRAMS = 50_000, 50_000
+#: Labelled rows of the sample: of one language, and in all.
+PER_LANGUAGE, ROWS = 1500, 24_000
 MIN_MARGIN = 0.005
-#: Languages that a table may name; rarer ones are not learned.
-MAX_LANGUAGES = 64
 RESULT = "struct<language:string,score:double,margin:double>"
 
 
+class Table:
+    """Numbers of words by language, for the languages that have the word; the others have PENALTY."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, count: np.ndarray, languages: int):
+        order = np.lexsort((lang, key))
+        key, lang, count = key[order], lang[order], count[order].astype(np.float64)
+        total = np.bincount(lang, weights=count, minlength=languages)
+        self.keys, self.start, self.size = np.unique(key, return_index=True, return_counts=True)
+        self.lang, self.value = lang.astype(np.int32), np.minimum(-np.log10(count / total[lang]), PENALTY).astype(np.float32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return lookup(self.keys, h)
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into at, language, number) of all entries of the words at these places."""
+        own = flat(self.start[at], self.size[at])
+        return np.repeat(np.arange(len(at)), self.size[at]), self.lang[own], self.value[own]
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: tuple[np.ndarray, np.ndarray]
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
 
     def classify(self, texts: list[str | None]) -> list[tuple[str | None, float | None, float]]:
         words = Words(texts)
@@ -52,8 +73,9 @@ class Model:
             return [(None, None, 0.0)] * len(texts)
         uniq, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
         score = np.full((len(uniq), n), PENALTY, np.float32)
-        at, known = lookup(self.words[0], uniq)
-        score[known] = self.words[1][at[known]]
+        at, known = self.words.find(uniq)
+        row, lang, value = self.words.entries(at[known])
+        score[np.flatnonzero(known)[row], lang] = value
         self._back_off(words, first, np.flatnonzero(~known), score)
         count = np.diff(words.first)
         own = np.flatnonzero(count > 0)
@@ -70,20 +92,20 @@ class Model:
     def _back_off(self, words: Words, first: np.ndarray, left: np.ndarray, score: np.ndarray) -> None:
         """Scores of unseen words; left indexes score, first gives a place of each in the texts."""
         for n in range(NGRAM, 0, -1):
-            keys, table = self.grams[n]
-            if not len(left) or not len(keys):
+            table = self.grams[n]
+            if not len(left) or not len(table.keys):
                 continue
             cp, start, size = padded(words, first[left])
             spots = np.maximum(size - n + 1, 0)
             owner = np.repeat(np.arange(len(left)), spots)
-            begin = np.arange(len(owner)) - np.repeat(np.cumsum(spots) - spots, spots) + np.repeat(start, spots)
-            at, known = lookup(keys, hash_spans(cp, begin, begin + n))
+            begin = flat(start, spots)
+            at, known = table.find(hash_fixed(cp, begin, n))
             owner, at = owner[known], at[known]
             hits = np.bincount(owner, minlength=len(left))
             done = hits > 0
-            for lang in range(score.shape[1]):
-                mean = np.bincount(owner, weights=table[at, lang], minlength=len(left))
-                score[left[done], lang] = mean[done] / hits[done]
+            row, lang, value = table.entries(at)
+            below = np.bincount(owner[row] * score.shape[1] + lang, weights=value - PENALTY, minlength=len(left) * score.shape[1]).reshape(len(left), -1)
+            score[left[done]] = PENALTY + below[done] / hits[done, None]
             left = left[~done]
 
 
@@ -106,66 +128,72 @@ def padded(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return cp, start, size
 
 
-def _table(counts: list[Counter], bound: int) -> tuple[np.ndarray, np.ndarray]:
-    kept = [dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:bound]) for c in counts]
-    keys = np.array(sorted(set().union(*kept)), np.uint64)
-    table = np.full((len(keys), len(counts)), PENALTY, np.float32)
-    for lang, own in enumerate(kept):
-        if own:
-            h = np.fromiter(own, np.uint64, len(own))
-            freq = np.fromiter(own.values(), np.float64, len(own))
-            table[np.searchsorted(keys, h), lang] = np.minimum(-np.log10(freq / sum(counts[lang].values())), PENALTY)
-    return keys, table
-
-
-def fit(samples: dict[str, list[str]], max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """The model of texts by language."""
-    languages = sorted(samples)
-    by_word: list[Counter] = []
-    by_gram: list[dict[int, Counter]] = []
-    for lang in languages:
-        count: Counter = Counter()
-        gram: dict[int, Counter] = {n: Counter() for n in range(1, NGRAM + 1)}
-        for a, b in batches(samples[lang]):
-            words = Words(samples[lang][a:b])
-            uniq, first, times = np.unique(words.hash, return_index=True, return_counts=True)
-            count.update(dict(zip(uniq.tolist(), times.tolist())))
-            if not len(first):
-                continue
-            cp, start, size = padded(words, first)
-            for n in range(1, NGRAM + 1):
-                spots = np.maximum(size - n + 1, 0)
-                begin = np.arange(int(spots.sum())) - np.repeat(np.cumsum(spots) - spots, spots) + np.repeat(start, spots)
-                h, inv = np.unique(hash_spans(cp, begin, begin + n), return_inverse=True)
-                weight = np.bincount(inv, weights=np.repeat(times, spots), minlength=len(h))
-                gram[n].update(dict(zip(h.tolist(), weight.astype(np.int64).tolist())))
-        by_word.append(count)
-        by_gram.append(gram)
-    return Model(languages, _table(by_word, max_words), {n: _table([g[n] for g in by_gram], max_grams) for n in range(1, NGRAM + 1)})
-
-
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_chars: int) -> dict[str, list[str]]:
-    """The labelled sample, by language."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    count = {r["lang"]: r["count"] for r in own.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not count:
-        return {}
-    # a hash threshold for each language lets through little more than is taken, whatever the number of partitions
-    share = F.lit(0.0)
-    for lang, n in count.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n + 20 / n))).otherwise(share)
-    h = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    chosen = own.where((F.length("text") > 0) & (F.length("text") <= max_chars)).withColumn("h", h).where(F.col("h") < share)
-    rows = sorted((r["lang"], r["h"], r["text"]) for r in chosen.select("lang", "h", "text").toLocalIterator(prefetchPartitions=True))
-    out: dict[str, list[str]] = {}
-    for lang, _, text in rows:
-        if len(own := out.setdefault(lang, [])) < per_language:
-            own.append(text)
+def count(texts: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length of the n-grams or 0 for words, hashes, counts) of texts of one language."""
+    out = []
+    for a, b in batches(texts):
+        words = Words(texts[a:b])
+        uniq, first, times = np.unique(words.hash, return_index=True, return_counts=True)
+        if not len(first):
+            continue
+        out.append((0, uniq, times))
+        cp, start, size = padded(words, first)
+        for n in range(1, NGRAM + 1):
+            spots = np.maximum(size - n + 1, 0)
+            h, inv = np.unique(hash_fixed(cp, flat(start, spots), n), return_inverse=True)
+            out.append((n, h, np.bincount(inv, weights=np.repeat(times, spots), minlength=len(h)).astype(np.int64)))
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:
-    return fit(sample(docs, id_col, text_col, lang_col, per_language, max_chars))
+COUNTS = "lang string, n int, h bigint, times bigint"
+
+
+def _count(source):
+    for batch in source:
+        by: dict[str, list[str]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by.setdefault(lang, []).append(text)
+        for lang, texts in by.items():
+            for n, h, times in count(texts):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(times)], ["lang", "n", "h", "times"])
+
+
+def model_of(counts: pa.Table) -> Model:
+    """The model of summed counts."""
+    languages = sorted(set(counts.column("lang").unique().to_pylist()))
+    place = {x: i for i, x in enumerate(languages)}
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([place[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    n, h, times = (counts.column(c).to_numpy() for c in ("n", "h", "times"))
+    tables = [Table(h[n == k].view(np.uint64), lang[n == k], times[n == k], len(languages)) for k in range(NGRAM + 1)]
+    return Model(languages, tables[0], dict(enumerate(tables[1:], 1)))
+
+
+def fit(samples: dict[str, list[str]]) -> Model:
+    """The model of texts by language, counted here."""
+    own = pa.RecordBatch.from_arrays([pa.array([k for k, v in samples.items() for _ in v], pa.string()), pa.array([t for v in samples.values() for t in v], pa.string())], ["lang", "text"])
+    table = pa.Table.from_batches(list(_count([own])), pa.schema([("lang", pa.string()), ("n", pa.int32()), ("h", pa.int64()), ("times", pa.int64())]))
+    return model_of(table.group_by(["lang", "n", "h"]).aggregate([("times", "sum")]).rename_columns(["lang", "n", "h", "times"]))
+
+
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, rows: int) -> DataFrame:
+    """(lang, text): the labelled sample."""
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null")
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    per = max(1, min(per_language, rows // max(1, len(sizes))))
+    # a hash threshold lets through little more of a large language than is taken, whatever the number of partitions
+    large = {k: 1.5 * per / n + 20 / n for k, n in sizes.items() if n > 1.5 * per + 20}
+    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("lang")), F.lit(1.0)) if large else F.lit(1.0)
+    h = F.xxhash64("id", "text")
+    chosen = own.where((F.length("text") > 0) & (h.bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)) < share)).groupBy("lang", h.alias("h")).agg(F.first("text").alias("text"))
+    first = W.partitionBy("lang").orderBy(F.col("h").bitwiseAND(F.lit((1 << 53) - 1)), "h")
+    return chosen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per).select("lang", "text")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model:
+    chosen = sample(docs, id_col, text_col, lang_col, per_language, rows)
+    counts = chosen.repartition(partitions(docs.sparkSession)).mapInArrow(_count, COUNTS).groupBy("lang", "n", "h").agg(F.sum("times").alias("times"))
+    return model_of(counts.toArrow())
 
 
 def _classify(docs: DataFrame, text_col: str, model: Model):
