@@ -15,16 +15,28 @@ their set, so that hot copies cost one row. Two classes are near if |x & y| / |x
    combination of their prefixes (pigeonhole), so recall is 1. The number of token classes follows the size
    level (powers of 1/t); a set is indexed under its own level and the next, where sizes within the threshold meet.
    Sets too small for token classes index every gram alone.
-3. The sets under a signature meet in the partition of their lowest fingerprint, so that the many signatures of a pair
-   are dealt with at one place; large groups are cut into chunks of which every two meet somewhere. Candidates within
-   the size ratio are verified there on the whole sets, which are sent once to each such place.
-
-Result: (id_a, id_b, jaccard), id_a < id_b. Members of a class are linked to its lowest id with 1.0, classes by
-their lowest ids: every pair of the full join is found by expanding classes (``expand=True`` does), but the result
-stays linear in the number of copies.
-
-Defined results: null texts and texts without words are near nothing. Null ids can't be named and are left out of
-the pairs. Rows that repeat an id within a class are one. An empty table gives an empty result.
+3. Every signature that several sets have makes them members of its leader, the lowest of them (an aggregation with
+   map-side combine and a merge join, which AQE splits where a signature is hot). The members of a leader meet in one
+   cell; more than CHUNK are cut by hash into chunks of which every two meet in a cell. Each set is sent once to each of
+   its cells. There the overlaps of all pairs are counted at once, rare grams by their lists of members, frequent ones by
+   products of 0/1 matrices, so a group of near copies costs a few matrix products. A pair that shares several leaders is
+   counted under the lowest one, which either side's list of leaders tells without another shuffle.
+
+A cell gives only, for each class, the number of rows that it is near to and the lowest class that it is connected with:
+what is written is linear in the number of classes however many pairs there are, and no link is lost.
+
+``near_docs``: (id, class_id, n_links), a row for each row. n_links counts the other rows within the threshold, copies
+included; class_id is the lowest id of all rows that are connected by links. ``near_pairs``: (id_a, id_b, jaccard),
+id_a < id_b: members of a class with its lowest id with 1.0, classes by their lowest ids; ``expand=True`` gives all pairs.
+
+A class is named by 64 bits of its set and told apart by 64 others: where sets that differ have the same name (some in
+10**11), those are named by the others. Grams are compared by 64-bit hashes, so a pair of sets is misjudged with a
+probability below |x| |y| / 2**63.
+
+Defined results: null texts and texts without words are near nothing: class_id is their own id, n_links 0. Every row is
+a document, rows that repeat an id too; a null id is never lowest, so the class of null ids alone is null. In
+``near_pairs`` null ids are left out and rows that repeat an id within a class are one. Very long texts and extra columns
+are as others. An empty table gives an empty result.
 ``drop_near`` keeps of each connected group the row of the lowest id (null last); rows equal in id and grams
 count as one; columns as given.
 """
@@ -38,14 +50,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, partitions
-from ._text import Words, batches, grams, mix
+from ._text import Words, batches, flat, grams, mix
 
 N, THRESHOLD, RARE = 3, 0.5, 16
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
+#: Classes of a cell's chunk; a cell has two at most.
+CHUNK = 512
+#: Grams that a task counts at a time, and members from which a gram is counted by matrices.
+AT_ONCE, OFTEN = 1 << 21, 24
+#: Names that stand for several sets: about one in 10**11 classes.
+MAX_CLASHES = 1 << 16
 _U = np.uint64
 
 
@@ -61,40 +79,47 @@ def unpack(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
 
 
-def sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, gram) distinct and sorted; size and fingerprint of each text's set."""
+def sets(texts: list[str | None], n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, gram) distinct and sorted; size, name and second hash of each text's set. ``bits`` of the name are kept (fewer in tests)."""
     doc, g = grams(Words(texts), n)
     order = np.lexsort((g, doc))
     doc, g = doc[order], g[order]
     new = np.append(True, (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])) if len(doc) else np.zeros(0, bool)
     doc, g = doc[new], g[new]
     size = np.bincount(doc, minlength=len(texts)).astype(np.int64)
-    acc = np.concatenate([[_U(0)], np.cumsum(mix(g + _U(0x632BE59BD9B4E019)))])
     ends = np.cumsum(size)
-    return doc, g, size, mix(acc[ends] - acc[ends - size] + size.astype(_U))
+
+    def named(salt: int) -> np.ndarray:
+        acc = np.concatenate([[_U(0)], np.cumsum(mix(g + _U(salt)))])
+        return mix(acc[ends] - acc[ends - size] + size.astype(_U))
+
+    return doc, g, size, named(0x632BE59BD9B4E019) >> _U(64 - bits), named(0x8EBC6AF09C88C6E3)
 
 
-def class_of(docs: DataFrame, text_col: str, n: int):
-    """Column struct<fp, size>: the fingerprint is null for a text without words."""
+def class_of(text: Column, n: int, bits: int = 64) -> Column:
+    """Column struct<fp, check>: null for a text without words."""
 
-    @F.pandas_udf("struct<fp:bigint,size:int>")
+    @F.pandas_udf("struct<fp:bigint,check:bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        own, fps, sizes = texts.tolist(), [], []
+        own, fps, checks, sizes = texts.tolist(), [], [], []
         for a, b in batches(own):
-            _, _, size, fp = sets(own[a:b], n)
+            _, _, size, fp, check = sets(own[a:b], n, bits)
             fps.append(fp.view(np.int64))
+            checks.append(check.view(np.int64))
             sizes.append(size)
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        fp = pd.array(np.concatenate(fps) if fps else np.zeros(0, np.int64), dtype="Int64")
-        fp[size == 0] = pd.NA
-        return pd.DataFrame({"fp": fp, "size": size.astype(np.int32)})
+        none = np.concatenate(sizes) == 0 if sizes else np.zeros(0, bool)
+        out = pd.DataFrame({k: pd.array(np.concatenate(v) if v else np.zeros(0, np.int64), dtype="Int64") for k, v in (("fp", fps), ("check", checks))})
+        out[none] = pd.NA
+        return out
 
-    return run(F.col(f"`{text_col}`"))
+    return run(text)
 
 
 BLOCKS = "part int, grams binary, owner binary, fps binary, sizes binary"
 SHARED = "part int, source int, fps binary, sizes binary, counts binary, grams binary, dfs binary"
 REDUCED = "fp bigint, size int, grams binary, sigs array<bigint>"
+LINKS = "fp bigint, root bigint, links bigint"
+PAIRS = "a bigint, b bigint, jaccard double"
 
 
 def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -107,7 +132,7 @@ def _part(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> _U(32)) % _U(n)).astype(np.int64)
 
 
-def _blocks(n: int, parts: int, block_chars: int):
+def _blocks(n: int, parts: int, block_chars: int, bits: int, clashes: np.ndarray):
     def run(source: Iterator[pa.RecordBatch]):
         held: list[tuple] = []
         chars, base = 0, 0
@@ -132,7 +157,9 @@ def _blocks(n: int, parts: int, block_chars: int):
         for batch in source:
             texts = batch.column(0).to_pylist()
             for a, b in batches(texts):
-                doc, g, size, fp = sets(texts[a:b], n)
+                doc, g, size, fp, check = sets(texts[a:b], n, bits)
+                if len(clashes):
+                    fp = np.where(np.isin(fp, clashes), check, fp)
                 held.append((g, doc + base, fp, size))
                 base += b - a
                 chars += sum(len(t) for t in texts[a:b] if t)
@@ -254,185 +281,184 @@ def _reduce(t: float, rare: int):
     return run
 
 
-GROUPS = "part int, names binary, sizes binary, members binary, counts binary, firsts binary"
-#: A group of more classes is cut into chunks of which every two meet somewhere.
-CHUNK = 1024
-
-
-def _cut(fp: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, count, first, key) of the lists to send for groups of rows that follow each other: a group as it is
-    (first 0), or every chunk with itself and with each other one (first: rows of the former). A list's key tells where it goes."""
-    begin = np.cumsum(count) - count
-    leader = mix(fp[begin].view(_U)) if len(count) else np.zeros(0, _U)
-    whole = count <= CHUNK
-    rows = [np.flatnonzero(np.repeat(whole, count))]
-    counts, firsts, keys = [count[whole]], [np.zeros(int(whole.sum()), np.int64)], [leader[whole]]
-    for g in np.flatnonzero(~whole).tolist():
-        own = np.arange(begin[g], begin[g] + count[g])
-        n = 1 << int(np.ceil(np.log2(count[g] / CHUNK)))
-        chunk = (mix(fp[own].view(_U) + _U(7)) % _U(n)).astype(np.int64)
-        lists = [own[chunk == i] for i in range(n)]
-        for i in range(n):
-            for j in range(i, n):
-                both = lists[i] if i == j else np.concatenate([lists[i], lists[j]])
-                if len(both) > 1:
-                    rows.append(both)
-                    counts.append(np.array([len(both)]))
-                    firsts.append(np.array([0 if i == j else len(lists[i])]))
-                    keys.append(mix(leader[g : g + 1] + _U((n << 40) + (i << 20) + j)))
-    return np.concatenate(rows), np.concatenate(counts), np.concatenate(firsts), np.concatenate(keys)
-
-
-def _groups(parts: int):
-    """The classes that share each signature, sent to the partition of their lowest fingerprint, so that the many
-    signatures that a pair of classes shares meet there; lists that repeat are sent once."""
+def _chunk_of(fp: Column, k: Column) -> Column:
+    return F.pmod(F.xxhash64(fp), k)
+
+
+SENT = ["cell", "leader", "side", "fp", "size", "weight", "grams", "leaders"]
+
+
+class Cells:
+    """Sets of several cells; counts the overlaps of all pairs within a cell."""
+
+    def __init__(self, rows: list[tuple], t: float):
+        self.t = t
+        cell, leader, side, fp, size, weight, grams, leaders = zip(*rows)
+        cell = np.array(cell, np.int64)
+        self.cell = np.cumsum(np.append(0, cell[1:] != cell[:-1]))
+        self.side, self.fp = np.array(side, np.int8), np.array(fp, np.int64)
+        self.size, self.weight = np.array(size, np.int64), np.array(weight, np.int64)
+        own = [np.frombuffer(g, "<u8") for g in grams]
+        self.gram = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
+        # the leaders lower than the cell's: a pair that shares one of them is counted there
+        lower = [[x for x in xs if x < y] for xs, y in zip(leaders, leader)]
+        self.lower = np.array([x for xs in lower for x in xs], np.int64).view(_U), np.repeat(np.arange(len(lower)), [len(x) for x in lower])
+
+    def _pairs(self, item: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, items shared) of the rows of one cell that share an item; a pair is a * rows + b, a < b."""
+        n = len(self.fp)
+        order = np.lexsort((owner, item, self.cell[owner]))
+        item, owner = item[order], owner[order]
+        new = np.append(True, (item[1:] != item[:-1]) | (self.cell[owner[1:]] != self.cell[owner[:-1]])) if len(item) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(item)))
+        found = []
+        # frequent items: products of 0/1 matrices, a cell at a time
+        often = np.flatnonzero(count >= OFTEN)
+        for c in np.unique(self.cell[owner[first[often]]]).tolist():
+            lo, hi = np.searchsorted(self.cell, [c, c + 1])
+            lists, total = often[self.cell[owner[first[often]]] == c], np.zeros((hi - lo, hi - lo), np.float32)
+            for k in range(0, len(lists), 1024):
+                some = lists[k : k + 1024]
+                own = flat(first[some], count[some])
+                m = np.zeros((hi - lo, len(some)), np.float32)
+                m[owner[own] - lo, np.repeat(np.arange(len(some)), count[some])] = 1
+                total += m @ m.T
+            a, b = np.nonzero(np.triu(total, 1))
+            found.append(((a + lo) * n + b + lo, total[a, b].astype(np.int64)))
+        # others: every two members of a list
+        rare = np.flatnonzero((count > 1) & (count < OFTEN))
+        for d in range(1, OFTEN - 1):
+            rare = rare[count[rare] > d]
+            if not len(rare):
+                break
+            own = flat(first[rare], count[rare] - d)
+            a, b = owner[own], owner[own + d]
+            lo, hi = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+            ok = lo >= self.t * hi - 1e-9
+            found.append(np.unique(a[ok] * n + b[ok], return_counts=True))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pair, inverse = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+        return pair, np.bincount(inverse, weights=np.concatenate([k for _, k in found]), minlength=len(pair)).astype(np.int64)
+
+    def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, jaccard) of the near pairs that count here, by row."""
+        n = len(self.fp)
+        pair, both = self._pairs(*self.gram)
+        a, b = pair // n, pair % n
+        j = both / (self.size[a] + self.size[b] - both)
+        ok = (j >= self.t) & ((self.side[a] < 0) | (self.side[a] != self.side[b]))
+        if ok.any() and len(self.lower[0]):
+            ok &= ~np.isin(pair, self._pairs(*self.lower)[0])
+        return a[ok], b[ok], j[ok]
+
+    def links(self) -> pa.RecordBatch:
+        a, b, _ = self.near()
+        root, before = np.arange(len(self.fp)), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            np.minimum.at(root, a, root[b])
+            np.minimum.at(root, b, root[a])
+            root = root[root]
+        links = np.bincount(a, weights=self.weight[b], minlength=len(root)) + np.bincount(b, weights=self.weight[a], minlength=len(root))
+        own = np.flatnonzero(links > 0)
+        return pa.RecordBatch.from_arrays([pa.array(self.fp[own]), pa.array(self.fp[root[own]]), pa.array(links[own].astype(np.int64))], ["fp", "root", "links"])
+
+    def pairs(self) -> pa.RecordBatch:
+        a, b, j = self.near()
+        x, y = self.fp[a], self.fp[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(j)], ["a", "b", "jaccard"])
+
+
+def _verify(t: float, want: str):
+    """Rows come sorted by cell; as many cells as make up AT_ONCE grams are counted together."""
 
     def run(source: Iterator[pa.RecordBatch]):
-        sig, fp, size = [], [], []
+        held: list[tuple] = []
+        begin, grams = 0, 0
         for batch in source:
-            sig.append(batch.column(0).to_numpy())
-            fp.append(batch.column(1).to_numpy())
-            size.append(batch.column(2).to_numpy())
-        if not sig:
-            return
-        sig, fp, size = np.concatenate(sig), np.concatenate(fp), np.concatenate(size)
-        order = np.lexsort((fp, sig))
-        sig, fp, size = sig[order], fp[order], size[order]
-        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        count = np.diff(np.append(begin, len(sig)))
-        many = np.repeat(count > 1, count)
-        fp, size, count = fp[many], size[many], count[count > 1]
-        if not len(count):
-            return
-        begin = np.cumsum(count) - count
-        mark = np.add.reduceat(mix(fp.view(_U)), begin) + count.astype(_U)
-        first = np.sort(np.unique(mark, return_index=True)[1])
-        rows = np.arange(int(count[first].sum())) - np.repeat(np.cumsum(count[first]) - count[first], count[first]) + np.repeat(begin[first], count[first])
-        fp, size, count = fp[rows], size[rows], count[first]
-        rows, count, first, key = _cut(fp, count)
-        fp, size = fp[rows], size[rows]
-        part = _part(key, parts)
-        order = np.argsort(part, kind="stable")
-        edge = np.searchsorted(part[order], np.arange(parts + 1))
-        begin = np.cumsum(count) - count
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            own = order[edge[k] : edge[k + 1]]
-            n = count[own]
-            rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
-            names, at, local = np.unique(fp[rows], return_index=True, return_inverse=True)
-            yield _batch([(k, names.astype("<i8").tobytes(), pack(size[rows][at], "<u4"), pack(local, "<u4"), pack(n, "<u4"), pack(first[own], "<u4"))], GROUPS)
-
-    return run
-
-
-def _candidates(t: float):
-    """(a, b, cell): pairs of classes within a group, each once in a partition, which is its cell."""
-
-    def run(source: Iterator[pa.RecordBatch]):
-        parts = [r for batch in source for r in batch.to_pylist()]
-        if not parts:
-            return
-        cell = parts[0]["part"]
-        names = np.unique(np.concatenate([np.frombuffer(r["names"], "<i8") for r in parts]))
-        sizes = np.zeros(len(names), np.int64)
-        members, counts, firsts = [], [], []
-        for r in parts:
-            place = np.searchsorted(names, np.frombuffer(r["names"], "<i8"))
-            sizes[place] = unpack(r["sizes"], "<u4")
-            members.append(place[unpack(r["members"], "<u4")].astype(np.uint32))
-            counts.append(unpack(r["counts"], "<u4"))
-            firsts.append(unpack(r["firsts"], "<u4"))
-        del parts
-        member, count, first = np.concatenate(members), np.concatenate(counts).astype(np.int64), np.concatenate(firsts).astype(np.int64)
-        del members, counts, firsts
-        place = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
-        count, first = np.repeat(count, count), np.repeat(first, count)
-        # partners of a row: so many places ahead, from near to far
-        near = np.where(first > 0, first - place, 1).astype(np.int32)
-        far = np.where((first > 0) & (place >= first), 0, count - place - 1).astype(np.int32)
-        del place, count, first
-        found, held = [], 0
-        at, d = np.flatnonzero(far > 0), 1
-        while len(at):
-            now = at[near[at] <= d]
-            for k in range(0, len(now), 1 << 20):
-                own = now[k : k + (1 << 20)]
-                a, b = member[own], member[own + d]
-                lo, hi = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-                ok = lo >= t * hi - 1e-9
-                a, b = a[ok], b[ok]
-                found.append(np.unique((np.minimum(a, b).astype(_U) << _U(32)) | np.maximum(a, b).astype(_U)))
-                held += len(found[-1])
-                if held > 1 << 22:
-                    found = [np.unique(np.concatenate(found))]
-                    held = len(found[0])
-                    if held > 1 << 21:  # the rest can only repeat these
-                        yield _pairs(names, found[0], cell)
-                        found, held = [], 0
-            d += 1
-            at = at[far[at] >= d]
+            for row in zip(*(batch.column(k).to_pylist() for k in range(len(SENT)))):
+                if held and row[0] != held[-1][0]:
+                    if len(held) - begin == 1:  # alone in its cell
+                        grams -= len(held.pop()[6]) // 8
+                    if grams >= AT_ONCE:
+                        yield getattr(Cells(held, t), want)()
+                        held, grams = [], 0
+                    begin = len(held)
+                held.append(row)
+                grams += len(row[6]) // 8
         if held:
-            yield _pairs(names, np.unique(np.concatenate(found)), cell)
+            yield getattr(Cells(held, t), want)()
 
     return run
 
 
-def _pairs(names: np.ndarray, pair: np.ndarray, cell: int) -> pa.RecordBatch:
-    a, b = names[(pair >> _U(32)).astype(np.int64)], names[(pair & _U(0xFFFFFFFF)).astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cell, np.int32))], ["a", "b", "cell"])
+def _clashes(classes: DataFrame) -> np.ndarray:
+    rows = classes.where("first <> last").select("fp").limit(MAX_CLASHES + 1).collect()
+    if len(rows) > MAX_CLASHES:
+        raise ValueError("too many sets share their names")
+    return np.array([r["fp"] for r in rows], np.int64).view(_U)
 
 
-def _verify(t: float):
-    def run(source: Iterator[pa.RecordBatch]):
-        own: dict[int, tuple[int, np.ndarray]] = {}
-        pairs = []
-        for batch in source:
-            for cell, a, b, size, g in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
-                if g is None:
-                    pairs.append((a, b))
-                else:
-                    own[a] = (size, np.frombuffer(g, "<u8"))
-        rows = []
-        for a, b in sorted(set(pairs)):
-            (na, ga), (nb, gb) = own[a], own[b]
-            if len(ga) > len(gb):
-                ga, gb = gb, ga
-            at = np.searchsorted(gb, ga)
-            both = int((gb[np.minimum(at, len(gb) - 1)] == ga).sum())
-            j = both / (na + nb - both)
-            if j >= t:
-                rows.append((a, b, j))
-        if rows:
-            yield _batch(rows, "a bigint, b bigint, jaccard double")
-
-    return run
+def _named(docs: DataFrame, io: Scratch, keep: list[Column], text_col: str, n: int, bits: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(rows with ``keep`` and fp; classes of fp, weight and lowest ``id``; names that stood for several sets)."""
+    rows = io.write(docs.select(*keep, class_of(F.col(f"`{text_col}`"), n, bits).alias("c")).select("*", "c.*").drop("c"))
+    group = lambda df: df.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("low"), F.min("check").alias("first"), F.max("check").alias("last"))
+    classes = io.write(group(rows))
+    clashes = _clashes(classes)
+    if len(clashes):
+        rows = rows.withColumn("fp", F.when(F.col("fp").isin(clashes.view(np.int64).tolist()), F.col("check")).otherwise(F.col("fp")))
+        classes = io.write(group(rows))
+    return rows.drop("check"), classes.select("fp", "weight", "low"), clashes
 
 
-def near_classes(docs: DataFrame, io: Scratch, text_col: str = "text", n: int = N, threshold: float = THRESHOLD, rare: int = RARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(a, b, jaccard): fingerprints of near classes, a < b."""
+def near_classes(docs: DataFrame, io: Scratch, classes: DataFrame, clashes: np.ndarray, text_col: str = "text", n: int = N, threshold: float = THRESHOLD, rare: int = RARE, block_chars: int = BLOCK_CHARS, chunk: int = CHUNK, bits: int = 64, want: str = "links") -> DataFrame:
+    """Links (fp, root, links) as each cell counts them, or pairs (a, b, jaccard) of classes."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("the threshold is from 0.5 to 1")
     parts = partitions(docs.sparkSession)
-    blocks = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_blocks(n, parts, block_chars), BLOCKS)
+    blocks = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_blocks(n, parts, block_chars, bits, clashes), BLOCKS)
     shared = blocks.repartitionById(parts, F.col("part")).mapInArrow(_frequencies(parts), SHARED)
     reduced = io.write(shared.repartitionById(parts, F.col("part")).mapInArrow(_reduce(threshold, rare), REDUCED))
-    sigs = reduced.select(F.explode("sigs").alias("sig"), "fp", "size").repartition(parts, "sig")
-    groups = sigs.mapInArrow(_groups(parts), GROUPS).repartitionById(parts, F.col("part"))
-    # a pair of which several partitions know is verified in one of them
-    found = groups.mapInArrow(_candidates(threshold), "a bigint, b bigint, cell int")
-    placed = io.write(found.groupBy("a", "b").agg(F.min("cell").alias("cell")))
-    wanted = placed.select("cell", F.col("a").alias("fp")).union(placed.select("cell", "b")).distinct()
-    sent = wanted.join(reduced.select("fp", "size", "grams"), "fp").select(F.lit(0).alias("kind"), "cell", F.col("fp").alias("a"), F.lit(None).cast("bigint").alias("b"), "size", "grams")
-    asked = placed.select(F.lit(1).alias("kind"), "cell", "a", "b", F.lit(None).cast("int").alias("size"), F.lit(None).cast("binary").alias("grams"))
-    return sent.unionByName(asked).repartitionById(parts, F.col("cell")).mapInArrow(_verify(threshold), "a bigint, b bigint, jaccard double")
-
-
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, rare: int = RARE, expand: bool = False) -> DataFrame:
+    sigs = reduced.select(F.explode("sigs").alias("sig"), "fp")
+    leads = sigs.groupBy("sig").agg(F.min("fp").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = io.write(sigs.join(leads.hint("merge"), "sig").select("leader", "fp").distinct())
+    big = stars.groupBy("leader").count().where(F.col("count") > chunk).select("leader", F.ceil(F.col("count") / chunk).alias("k"))
+    placed = stars.join(big.hint("merge"), "leader", "left").select("fp", F.struct("leader", F.coalesce("k", F.lit(1)).alias("k")).alias("home"))
+    homes = placed.groupBy("fp").agg(F.collect_list("home").alias("homes"))
+    sets_ = homes.join(reduced.select("fp", "size", "grams").hint("merge"), "fp").join(classes.select("fp", "weight").hint("merge"), "fp")
+    each = sets_.select("fp", "size", "weight", "grams", F.col("homes.leader").alias("leaders"), F.inline("homes")).withColumn("own", _chunk_of(F.col("fp"), F.col("k")))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    sent = each.select(F.xxhash64("leader", low, high).alias("cell"), "leader", F.when(low == high, -1).when(F.col("own") == low, 0).otherwise(1).cast("tinyint").alias("side"), "fp", "size", "weight", "grams", "leaders")
+    return sent.repartition(parts, "cell").sortWithinPartitions("cell", "leader", "fp").select(*SENT).mapInArrow(_verify(threshold, want), LINKS if want == "links" else PAIRS)
+
+
+def near_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, rare: int = RARE, chunk: int = CHUNK, bits: int = 64) -> DataFrame:
+    """(id, class_id, n_links), a row for each row."""
+    io = Scratch(docs.sparkSession, "ngram")
+    rows, classes, clashes = _named(docs, io, [F.col(f"`{id_col}`").alias("id")], text_col, n, bits)
+    kept = list(io.tables.values())
+    near = io.write(near_classes(docs, io, classes, clashes, text_col, n, threshold, rare, chunk=chunk, bits=bits))
+    io.keep(*kept, near)
+    roots = components(near.select(F.col("fp").alias("a"), F.col("root").alias("b")), io)
+    degree = near.groupBy("fp").agg(F.sum("links").alias("links"))
+    # classes that are linked or have copies; the others are their own
+    linked = classes.join(degree.hint("merge"), "fp", "left").where("weight > 1 or links is not null").join(roots.hint("merge"), F.col("fp") == F.col("node"), "left")
+    info = io.write(linked.select("fp", F.coalesce("root", "fp").alias("root"), "low", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    tops = info.groupBy("root").agg(F.min("low").alias("top"))
+    known = info.join(tops.hint("merge"), "root").select("fp", "top", "links")
+    out = rows.join(known.hint("merge"), "fp", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("top")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, rare: int = RARE, expand: bool = False, chunk: int = CHUNK, bits: int = 64) -> DataFrame:
     """(id_a, id_b, jaccard)."""
     io = Scratch(docs.sparkSession, "ngram")
-    near = io.write(near_classes(docs, io, text_col, n, threshold, rare))
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), class_of(docs, text_col, n)["fp"].alias("fp"))
-    members = io.write(own.where("fp is not null and id is not null").distinct())
+    rows, classes, clashes = _named(docs, io, [F.col(f"`{id_col}`").alias("id")], text_col, n, bits)
+    near = near_classes(docs, io, classes, clashes, text_col, n, threshold, rare, chunk=chunk, bits=bits, want="pairs")
+    members = io.write(rows.where("fp is not null and id is not null").distinct())
     if expand:
         left = members.select(F.col("fp").alias("a"), F.col("id").alias("x"))
         right = members.select(F.col("fp").alias("b"), F.col("id").alias("y"))
@@ -442,11 +468,8 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         star = members.join(lowest, "fp").where("id <> low").select(F.col("low").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("jaccard"))
         left, right = lowest.select(F.col("fp").alias("a"), F.col("low").alias("x")), lowest.select(F.col("fp").alias("b"), F.col("low").alias("y"))
         pairs = star.union(near.join(left, "a").join(right, "b").select("x", "y", "jaccard"))
-    pairs = pairs.where("x <> y")
-    if members.groupBy("id").count().where("count > 1").isEmpty():
-        return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.round("jaccard", 6).alias("jaccard"))
     # ids that several classes share may repeat a pair
-    return pairs.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    return pairs.where("x <> y").groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
 def components(edges: DataFrame, io: Scratch) -> DataFrame:
@@ -469,24 +492,35 @@ def components(edges: DataFrame, io: Scratch) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, rare: int = RARE) -> DataFrame:
-    """The documents with one of each group; columns as given."""
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, rare: int = RARE, chunk: int = CHUNK, bits: int = 64) -> DataFrame:
+    """The documents with one of each group; columns as given. Rows whose id is their own are told by it, so texts are not read again;
+    only those of null or repeated ids in a group are named by their sets once more."""
     io = Scratch(docs.sparkSession, "near")
-    near = io.write(near_classes(docs, io, text_col, n, threshold, rare))
-    roots = components(near, io)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(f"`{id_col}`").alias("id"), class_of(docs, text_col, n)["fp"].alias("fp"))
-    members = io.write(packed.where("fp is not null").groupBy("fp", "id").agg(F.count(F.lit(1)).alias("rows")))
-    rooted = members.join(roots.hint("merge"), members.fp == roots.node, "left").select("fp", "id", "rows", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("fp"))).alias("best"), F.sum("rows").alias("rows")).where("rows > 1")
-    groups = io.write(rooted.join(best.select("root", "best").hint("merge"), "root").select("fp", "id", "root", ((F.col("fp") == F.col("best.fp")) & F.col("id").eqNullSafe(F.col("best.id"))).alias("wins"), "rows"))
-    # rows of groups that lose, and winners of which there are several rows
-    loses = groups.where("not wins").select("fp", "id")
-    left = packed.join(loses.hint("merge"), packed.fp.eqNullSafe(loses.fp) & packed.id.eqNullSafe(loses.id), "left_anti")
-    many = groups.where("wins and rows > 1").select("fp", "id")
-    if many.isEmpty():
-        kept = left.select("row")
-    else:
-        rest = left.join(many.hint("merge"), left.fp.eqNullSafe(many.fp) & left.id.eqNullSafe(many.id), "left_anti").select("row")
-        once = left.join(many.hint("merge"), left.fp.eqNullSafe(many.fp) & left.id.eqNullSafe(many.id), "left_semi").groupBy("fp", "id").agg(F.first("row").alias("row")).select("row")
-        kept = rest.union(once)
+    rows, classes, clashes = _named(docs, io, [F.col(f"`{id_col}`").alias("id")], text_col, n, bits)
+    kept = list(io.tables.values())
+    near = io.write(near_classes(docs, io, classes, clashes, text_col, n, threshold, rare, chunk=chunk, bits=bits))
+    io.keep(*kept, near)
+    roots = components(near.select(F.col("fp").alias("a"), F.col("root").alias("b")), io)
+    members = rows.where("fp is not null").groupBy("fp", "id").agg(F.count(F.lit(1)).alias("rows"))
+    rooted = io.write(members.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "id", "rows", F.coalesce("root", "fp").alias("root")))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("fp").alias("fp"))).alias("best"), F.sum("rows").alias("all")).where("all > 1")
+    wins = (F.col("fp") == F.col("best.fp")) & F.col("id").eqNullSafe(F.col("best.id"))
+    groups = io.write(rooted.join(best.select("root", "best").hint("merge"), "root").select("fp", "id", "rows", wins.alias("wins")).where("not wins or rows > 1"))
+    own = F.col(f"`{id_col}`")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), own.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    touched = groups.where("id is not null").select("id").distinct()
+    kept = packed.where("id is not null").join(touched.hint("merge"), "id", "left_anti").select("row")
+    twice = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    hard = io.write(touched.join(twice.hint("merge"), "id", "left_semi"))
+    nulls = packed.where("id is null")
+    again = nulls if hard.isEmpty() else nulls.union(packed.join(hard.hint("merge"), "id", "left_semi").select(*packed.columns))
+    fp = class_of(F.col("text"), n, bits).alias("c")
+    named = F.when(F.col("c.fp").isin(clashes.view(np.int64).tolist()), F.col("c.check")).otherwise(F.col("c.fp")) if len(clashes) else F.col("c.fp")
+    again = again.select("row", "id", fp).select("row", "id", named.alias("fp"))
+    if not (hard.isEmpty() and nulls.isEmpty()):
+        losers, many = groups.where("not wins").select("fp", "id"), groups.where("wins").select("fp", "id")
+        same = lambda x: again.fp.eqNullSafe(x.fp) & again.id.eqNullSafe(x.id)
+        once = again.join(many.hint("merge"), same(many), "left_semi").groupBy("fp", "id").agg(F.first("row").alias("row")).select("row")
+        both = losers.union(many)
+        kept = kept.union(again.join(both.hint("merge"), same(both), "left_anti").select("row")).union(once)
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -39,34 +39,39 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-#: Every alignment of every document with every item, by brute force.
+#: Every alignment of every document with every item, by brute force; short items are whole lines.
 OP3_SQL = r"""
 WITH d AS (SELECT rid, doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
            FROM (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
-b AS (SELECT bid, item_id, len(w) AS n, least(16, len(w)) AS span, unnest(w) AS word, unnest(range(len(w))) AS pos
-      FROM (SELECT row_number() OVER () AS bid, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) >= 8),
+i AS (SELECT row_number() OVER () AS bid, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+b AS (SELECT bid, item_id, len(w) AS n, least(16, len(w)) AS span, unnest(w) AS word, unnest(range(len(w))) AS pos FROM i WHERE len(w) >= 8),
 m AS (SELECT rid, doc_id, bid, item_id, span, d.pos - b.pos AS shift, b.pos AS pos FROM d JOIN b ON d.word = b.word),
-c AS (SELECT doc_id, item_id, span, count(*) OVER (PARTITION BY rid, bid, shift ORDER BY pos RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS n FROM m)
-SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS matched FROM c WHERE n >= span - (3 * span) // 16 GROUP BY doc_id, item_id
+c AS (SELECT doc_id, item_id, span, count(*) OVER (PARTITION BY rid, bid, shift ORDER BY pos RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS n FROM m),
+l AS (SELECT doc_id, regexp_extract_all(line, '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line FROM documents)),
+f AS (SELECT doc_id, item_id, n FROM c WHERE n >= span - (3 * span) // 16 UNION ALL SELECT l.doc_id, i.item_id, len(i.w) FROM l JOIN i ON l.w = i.w WHERE len(i.w) BETWEEN 1 AND 7)
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS matched FROM f GROUP BY doc_id, item_id
 """
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_join import near_pairs
+    """Each document with the lowest document that it is connected with by links, and the number of its links."""
+    from .ngram_join import near_docs
 
-    return near_pairs(_table(spark, sf_dir, "documents"), expand=True)
+    return near_docs(_table(spark, sf_dir, "documents"))
 
 
-#: All pairs of distinct gram sets by brute force, and the star of each set's copies.
+#: All pairs of distinct gram sets by brute force, and the closure of their links.
 OP4_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS grams FROM w WHERE len(w) > 0),
-c AS (SELECT min(doc_id) AS low, grams, len(grams) AS n FROM g GROUP BY grams),
-x AS (SELECT low, n, unnest(grams) AS gram FROM c),
-p AS (SELECT a.low AS la, b.low AS lb, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.gram = b.gram AND a.low < b.low GROUP BY ALL)
-SELECT la AS id_a, lb AS id_b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.5
-UNION ALL
-SELECT c.low, g.doc_id, 1.0 FROM g JOIN c ON g.grams = c.grams WHERE g.doc_id <> c.low
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) END AS grams FROM w),
+c AS (SELECT row_number() OVER () AS k, grams, len(grams) AS n, count(*) AS weight, min(doc_id) AS low FROM g WHERE grams IS NOT NULL GROUP BY grams),
+x AS (SELECT k, n, unnest(grams) AS gram FROM c),
+p AS (SELECT a.k AS ka, b.k AS kb FROM x a JOIN x b ON a.gram = b.gram AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5),
+r AS (SELECT k, k AS j FROM c UNION SELECT r.k, p.kb FROM r JOIN p ON p.ka = r.j),
+t AS (SELECT r.k, min(o.low) AS top FROM r JOIN c o ON o.k = r.j GROUP BY r.k),
+l AS (SELECT ka AS k, sum(weight) AS links FROM p JOIN c ON c.k = p.kb GROUP BY ka),
+s AS (SELECT c.grams, t.top, c.weight - 1 + coalesce(l.links, 0) AS links FROM c JOIN t USING (k) LEFT JOIN l USING (k))
+SELECT g.doc_id, CASE WHEN coalesce(s.links, 0) = 0 THEN g.doc_id ELSE s.top END AS class_id, CAST(coalesce(s.links, 0) AS BIGINT) AS n_links FROM g LEFT JOIN s ON g.grams = s.grams
 """
 
 
