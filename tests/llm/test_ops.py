@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lahja.llm import bpe, chat, decontaminate, exact_dedup, huffman, langid, line_dedup, ngram_join, pii, toxicity
-from lahja.llm._text import Words, pretokens
+from lahja.llm._text import Words, mix, pretokens, string_hash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, uid int, row string, id int, digit string, language_id string, k int"
 
@@ -84,6 +84,8 @@ def brute_leaks(texts, items):
         for b, i in items:
             w, v = tok(t), tok(i)
             if len(v) < 8:
+                if v and v in [tok(line) for line in (t or "").split("\n")]:
+                    out.add((d, b))
                 continue
             span = min(16, len(v))
             need = span - 3 * span // 16
@@ -95,23 +97,29 @@ def brute_leaks(texts, items):
     return out
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
-def test_decontamination_against_brute_force(spark, index_bytes):
+def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
-    items = [(i, words(rng, n, 5000)) for i, n in enumerate((7, 8, 12, 15, 16, 40))]
+    items = [(i, words(rng, n, 5000)) for i, n in enumerate((1, 3, 7, 8, 12, 15, 16, 40))] + [(None, words(rng, 9, 5000))]
     rows = []
-    for k in range(60):
+    for k in range(80):
         own = rng.choice(items)[1].split()
         for _ in range(rng.randrange(6)):
-            own[rng.randrange(len(own))] = "zz"
-        rows.append((k, f"{words(rng, 20, 5000)} {' '.join(own)} {words(rng, 20, 5000)}" if k % 3 else words(rng, 60, 5000)))
-    bench = spark.createDataFrame(items + [(90, None), (91, "")], "item_id bigint, text string")
-    found = decontaminate.leaks(docs(spark, rows + EDGE), bench, index_bytes=index_bytes).collect()
-    want = brute_leaks(rows, items)
-    assert {(r["doc_id"], r["item_id"]) for r in found} == want and want
-    clean = decontaminate.decontaminate(docs(spark, rows), bench, index_bytes=index_bytes)
-    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
-    assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0), index_bytes=index_bytes).count() == len(rows)
+            own[rng.randrange(len(own))] = "zz" if rng.random() < 0.5 else own[0]
+        sep = rng.choice([" ", "\n", "!\n"])
+        rows.append((k, f"{words(rng, 20, 5000)}{sep}{' '.join(own).title()}{sep}{words(rng, 20, 5000)}" if k % 3 else words(rng, 60, 5000)))
+    rows += [(1000, items[5][1]), (1001, " ".join(items[7][1].split()[:15])), (1002, words(rng, 30_000, 5000) + " " + items[6][1] + " " + words(rng, 9, 5000))]
+    repeated = [(None, items[4][1]), (None, items[4][1]), (1000, items[5][1])]
+    bench = spark.createDataFrame(items + [(90, None), (91, ""), (92, " -- ")], "item_id bigint, text string")
+    found = decontaminate.leaks(docs(spark, rows + repeated + EDGE), bench).collect()
+    want = brute_leaks(rows + repeated + EDGE, items)
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want) > 20
+    assert (1002, 6) in want and (None, 4) in want and any(i is None for _, i in want) and any(i in (0, 1, 2) for _, i in want)
+    frame = docs(spark, rows + repeated + EDGE).withColumn("key", F.lit(1)).withColumn("__leak", F.lit(2))
+    clean = decontaminate.decontaminate(frame, bench)
+    assert clean.columns == frame.columns
+    dirty = {t for d, t in rows + repeated + EDGE if any(x == d for x, _ in brute_leaks([(d, t)], items))}
+    assert sorted(str((r["doc_id"], r["text"])) for r in clean.collect()) == sorted(str(r) for r in rows + repeated + EDGE if r[1] not in dirty)
+    assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0)).count() == len(rows)
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0
 
 
@@ -131,9 +139,23 @@ def gram_set(t, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset()
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_jaccard_join_against_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+def components_of(nodes, pairs):
+    root = {i: i for i in nodes}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    return {i: top(i) for i in nodes}
+
+
+@pytest.mark.parametrize("chunk,bits", [(512, 64), (3, 64), (512, 5)])
+def test_jaccard_join_against_brute_force(spark, chunk, bits):
+    """Also with cells cut into chunks, and with names so short that different sets share them."""
     rng = random.Random(5)
     rows, seeds = [], [words(rng, n, 60).split() for n in (2, 5, 30, 80, 200)]
     for k in range(90):
@@ -141,30 +163,63 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, chunk):
         for _ in range(rng.randrange(1 + len(own) // 10)):
             own[rng.randrange(len(own))] = f"w{rng.randrange(60)}"
         rows.append((k, " ".join(own)))
-    pairs = {(r["id_a"], r["id_b"]): r["jaccard"] for r in ngram_join.near_pairs(docs(spark, rows + [(200, None), (201, "")]), rare=2, expand=True).collect()}
+    extra = [(200, None), (201, "")]
+    more = dict(rare=2, chunk=chunk, bits=bits)
+    pairs = {(r["id_a"], r["id_b"]): r["jaccard"] for r in ngram_join.near_pairs(docs(spark, rows + extra), expand=True, **more).collect()}
     sets = {i: gram_set(t) for i, t in rows}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
     want = {p: j for p, j in want.items() if j >= 0.5}
     assert pairs.keys() == want.keys() and all(abs(pairs[p] - j) < 1e-5 for p, j in want.items())
-    kept = {r["doc_id"] for r in ngram_join.drop_near(docs(spark, rows), rare=2).collect()}
-    root = {i: i for i in sets}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in want:
-        x, y = sorted((top(a), top(b)))
-        root[y] = x
-    assert kept == {top(i) for i in sets}
+    root = components_of(sets, want)
+    found = ngram_join.near_docs(docs(spark, rows + extra), **more).collect()
+    assert sorted(tuple(r) for r in found) == sorted([(i, root[i], sum(i in p for p in want)) for i in sets] + [(200, 200, 0), (201, 201, 0)])
+    kept = {r["doc_id"] for r in ngram_join.drop_near(docs(spark, rows), **more).collect()}
+    assert kept == set(root.values())
+
+
+def test_jaccard_join_of_a_hot_group(spark):
+    """Near copies of one text, more than two chunks; each pair shares many leaders."""
+    rng = random.Random(15)
+    base = words(rng, 60, 10_000).split()
+    rows = [(i, " ".join([*base[: 50 + i % 3], *words(rng, 6, 10_000).split()])) for i in range(150)]
+    sets = {i: gram_set(t) for i, t in rows}
+    near = {i: sum(len(s & t) >= 0.5 * len(s | t) for t in sets.values()) - 1 for i, s in sets.items()}
+    for chunk in (40, 512):
+        found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_docs(docs(spark, rows), chunk=chunk).collect()}
+        assert found == {i: (0, near[i]) for i in sets} and min(near.values()) > 100
 
 
 def test_jaccard_join_edges(spark):
     out = ngram_join.drop_near(docs(spark, EDGE))
     assert sorted(str((r["doc_id"], len(r["text"] or ""))) for r in out.collect()) == sorted(["(1, 0)", "(2, 0)", "(3, 1)", "(4, 4)", "(5, 200000)"])
     assert out.columns == docs(spark, []).columns
-    assert ngram_join.drop_near(docs(spark, [])).count() == 0 == ngram_join.near_pairs(docs(spark, [])).count()
+    empty = docs(spark, [])
+    assert ngram_join.drop_near(empty).count() == ngram_join.near_pairs(empty).count() == ngram_join.near_docs(empty).count() == 0
+    found = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in ngram_join.near_docs(docs(spark, EDGE + [(None, "b c"), (None, "b c")])).collect())
+    assert found == sorted([("1", "1", 0), ("2", "2", 0), ("3", "3", 2), ("3", "3", 2), ("None", "3", 2), ("4", "4", 0), ("5", "5", 0), ("None", "None", 1), ("None", "None", 1)])
+    twice = [(1, "same words here now"), (1, "other words there then"), (2, "same words here now"), (2, "a third one of these"), (None, "same words here now"), (None, "quite alone it is")]
+    left = sorted((str(r["doc_id"]), r["text"]) for r in ngram_join.drop_near(docs(spark, twice)).collect())
+    assert left == sorted([("1", twice[0][1]), ("1", twice[1][1]), ("2", twice[3][1]), ("None", twice[5][1])])
+
+
+def thue_morse(n, swap=False):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: 98, 98: 97})
+    return out[:n].translate({97: 98, 98: 97}) if swap else out[:n]
+
+
+def test_structured_strings_do_not_meet(spark):
+    """Strings of Thue and Morse and their complements collide under any polynomial modulo a power of two."""
+    pairs = [(thue_morse(n), thue_morse(n, True)) for n in (1024, 4096)]
+    rows = [(k, t) for k, t in enumerate(t for p in pairs for t in p)]
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(docs(spark, rows))).collect()} == dict(rows)
+    enc = bpe.encoding(bpe.load_ranks())
+    assert {r["doc_id"]: r["token_ids"] for r in bpe.encode_local(docs(spark, rows)).collect()} == {i: enc.encode_ordinary(t) for i, t in rows}
+    assert ngram_join.near_pairs(docs(spark, rows)).count() == 0 and ngram_join.drop_near(docs(spark, rows)).count() == 4
+    long = [(k, " ".join([t] * 20)) for k, t in enumerate(pairs[0])]
+    bench = spark.createDataFrame([(7, long[0][1])], "item_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, long), bench).collect()] == [(0, 7)]
 
 
 # ---- 5 chat
@@ -234,14 +289,14 @@ def test_huffman_round_trip_and_checkpoints(spark):
 
 
 # ---- 7 line dedup
-def brute_lines(rows, tau=2, least=24):
+def brute_lines(rows, tau=2, per=12):
     inst = [((i is None, i or 0, n), x) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if x.strip()]
     first: dict = {}
     for at, x in inst:
         first[x] = min(at, first.get(x, at))
     out = set()
     for at, x in inst:
-        near = [f for y, f in first.items() if y == x or (min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= tau and line_dedup._plain(list(map(ord, x)), list(map(ord, y))) <= tau)]
+        near = [f for y, f in first.items() if y == x or (abs(len(x) - len(y)) <= tau and line_dedup._plain(list(map(ord, x)), list(map(ord, y))) <= min(tau, min(len(x), len(y)) // per))]
         if min(near) != at:
             out.add((at[1] if not at[0] else None, at[2], min(near)[1], min(near)[2]))
     return out
@@ -249,7 +304,7 @@ def brute_lines(rows, tau=2, least=24):
 
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(7)
-    base = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (10, 23, 24, 25, 30, 60, 200)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (10, 12, 13, 23, 24, 25, 30, 60, 200)]
 
     def edit(x):
         x = list(x)
@@ -286,25 +341,75 @@ def test_banded_distance(tau):
 # ---- 8 personal data
 def test_pii_on_held_out_texts():
     net = pii.trained()
-    held = pii.labelled(99, 150)
+    held = pii.labelled(99, 100)
     found = pii.find(net, [t for t, _ in held])
     want = {(i, *s) for i, (_, spans) in enumerate(held) for s in spans}
     got = {(i, *s) for i, spans in enumerate(found) for s in spans}
-    assert len(want & got) / len(want) > 0.9 and len(want & got) / max(1, len(got)) > 0.9
+    assert len(want & got) / len(want) > 0.85 and len(want & got) / max(1, len(got)) > 0.85
+
+
+def test_pii_on_templates_that_are_not_trained_on():
+    """Sentences and values written by hand; harmless ones have no span."""
+    own = [
+        ("email", "Bitte an Petra.Schulz@firma-nord.de schreiben", "Petra.Schulz@firma-nord.de"), ("email", "contact: q_a@lists.uni.edu; thanks", "q_a@lists.uni.edu"), ("phone", "appelez le +33 6 12 34 56 78 demain", "+33 6 12 34 56 78"),
+        ("phone", "Her number is (212) 736-5000 in the city", "(212) 736-5000"), ("phone", "ring 020 7946 0958 after six", "020 7946 0958"), ("ip", "ping 192.168.17.5 timed out", "192.168.17.5"), ("ip", "route via 10.0.0.138 only", "10.0.0.138"),
+        ("card", "paid with 4111 1111 1111 1111 yesterday", "4111 1111 1111 1111"), ("card", "number 5500005555555559 expired", "5500005555555559"), ("account", "the form says 078-05-1120 there", "078-05-1120"), ("account", "to DE89370400440532013000 please", "DE89370400440532013000"),
+        ("secret", 'config: token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"), ("secret", "export with d41d8cd98f00b204e9800998ecf8427e inside", "d41d8cd98f00b204e9800998ecf8427e"),
+    ]
+    found = pii.find(pii.trained(), [t for _, t, _ in own])
+    hits = sum((kind, t.index(v), t.index(v) + len(v)) in spans for (kind, t, v), spans in zip(own, found))
+    assert hits >= 10, [(t, f) for (_, t, _), f in zip(own, found)]
+    plain = ["The committee met in 1987 and again on 12/05/2004.", "Licensed under the Apache License, Version 2.0.", "It costs $12.50 or 15% less at 10:30.", "Donaudampfschifffahrtsgesellschaft und andere", "see http://example.org/page?x=12 for more"]
+    assert sum(map(len, pii.find(pii.trained(), plain))) <= 1
 
 
 def test_pii_windows_and_edges(spark):
     value = "jane.doe42@mail3.example.com"
     long = "plain words here " * 3000
-    rows = [(1, long + value + " " + long), (2, None), (3, ""), (4, "no value at all"), (None, f"write to {value} now")]
+    rows = [(1, long + value + " " + long), (2, None), (3, ""), (4, "no value at all"), (None, f"write to {value} now"), (None, f"write to {value} now")]
     out = pii.spans(docs(spark, rows)).collect()
-    assert {(r["doc_id"], r["value"]) for r in out if r["kind"] == "email"} >= {(1, value), (None, value)}
+    assert [(r["doc_id"], r["value"]) for r in out if r["kind"] == "email"].count((None, value)) == 2 and (1, value) in {(r["doc_id"], r["value"]) for r in out}
     assert {r["doc_id"] for r in out} <= {1, None}
-    red = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows)).collect()}
+    frame = docs(spark, rows)
+    red = pii.redact(frame)
+    assert red.columns == frame.columns
+    red = {r["doc_id"]: r["text"] for r in red.collect()}
     assert red[4] == "no value at all" and red[2] is None and value not in red[1]
     assert pii.spans(docs(spark, [])).count() == 0
 
 
+def test_pii_value_across_window_seams():
+    net = pii.trained()
+    value = "jane.doe42@mail3.example.com"
+    for pad in range(pii.STRIDE - 30, pii.WIDTH + 10, 7):
+        text = ("ab cde " * 200)[:pad] + " " + value + " " + "fgh ij " * 60
+        assert ("email", pad + 1, pad + 1 + len(value)) in pii.find(net, [text])[0]
+
+
+def test_best_path_of_a_text_is_the_best_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        net = pii.Tagger(trial, hidden=2, tags=3)
+        net.p["move"], net.p["begin"] = rng.normal(0, 1, (3, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32)
+        sizes = np.array([0, 5, 1, 4])
+        e = rng.normal(0, 1, (3, 10)).astype(np.float32)
+        e[0] += 4 * (rng.random(10) < 0.5)  # characters that are certain
+        got, at = net.best(e, sizes), 0
+        for n in sizes.tolist():
+            score = lambda p: sum(e[x, at + i] for i, x in enumerate(p)) + (net.p["begin"][p[0]] if p else 0) + sum(net.p["move"][a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            best = max(product(range(3), repeat=n), key=score)
+            assert abs(score(best) - score(tuple(got[at : at + n].tolist()))) < 1e-4
+            at += n
+
+
+def test_a_tagger_is_fitted_from_given_spans():
+    texts = [(f"aa {x} bb cc {x} dd", [("card", 3, 7), ("card", 14, 18)]) for x in ("1234", "5678", "9012", "3456")] * 20
+    net = pii.fit(texts, epochs=30, batch=16)
+    assert pii.find(net, ["aa 7777 bb"])[0] == [("card", 3, 7)] and pii.find(net, ["aa ee bb"])[0] == []
+
+
 def test_pii_gradient():
     net = pii.Tagger(0, hidden=3)
     rng = np.random.default_rng(0)
@@ -339,54 +444,125 @@ def test_language_id(spark):
     assert langid.accepted(held, none).count() == 0 == langid.identify(docs(spark, []), model).count()
 
 
-def test_language_scores_against_brute_force():
+def brute_language(texts, own, n=5, penalty=langid.PENALTY):
+    """Scores of a text by language, in plain Python."""
     import math
 
-    texts = {k: [v] for k, v in SPOKEN.items()}
+    tok = lambda t: re.findall(r"[^\W_]+", t.lower())
+    count = {g: {} for g in texts}
+    gram = {k: {g: {} for g in texts} for k in range(1, n + 1)}
+    for g, ts in texts.items():
+        for w in (w for t in ts for w in tok(t)):
+            count[g][w] = count[g].get(w, 0) + 1
+            for k in range(1, n + 1):
+                for i in range(len(w) + 3 - k):
+                    x = f" {w} "[i : i + k]
+                    gram[k][g][x] = gram[k][g].get(x, 0) + 1
+    log = lambda c, g, x: min(penalty, -math.log10(c[g][x] / sum(c[g].values()))) if x in c[g] else penalty
+
+    def score(g, w):
+        if any(w in c for c in count.values()):
+            return log(count, g, w)
+        for k in range(n, 0, -1):
+            xs = [x for i in range(len(w) + 3 - k) if any((x := f" {w} "[i : i + k]) in c for c in gram[k].values())]
+            if xs:
+                return sum(log(gram[k], g, x) for x in xs) / len(xs)
+        return penalty
+
+    return {g: sum(score(g, w) for w in tok(own)) / len(tok(own)) for g in texts}
+
+
+def test_language_scores_against_brute_force():
+    """Known words, and words that fall back to n-grams of each length, or know none."""
+    texts = {k: [v, v.split()[0]] for k, v in SPOKEN.items()}
     model = langid.fit(texts)
-    count = {k: {w: v[0].split().count(w) for w in v[0].split()} for k, v in texts.items()}
-    text = "water the maison the"
-    want = {}
-    for g, c in count.items():
-        score = []
-        for w in text.split():
-            assert any(w in x for x in count.values())
-            score.append(-math.log10(c[w] / sum(c.values())) if w in c else langid.PENALTY)
-        want[g] = sum(score) / len(score)
-    best = sorted((v, g) for g, v in want.items())
-    lang, score, margin = model.classify([text])[0]
-    assert lang == best[0][1] and abs(score - best[0][0]) < 1e-5 and abs(margin - (best[1][0] - best[0][0])) < 1e-5
+    own = ["water the maison the", "theodore maisonette wasserfall", "housing dieser", "qu xx", "jjj", "漢字 the", "t"]
+    for text, (lang, score, margin) in zip(own, model.classify(own)):
+        best = sorted((v, g) for g, v in brute_language(texts, text).items())
+        assert lang == best[0][1] and abs(score - best[0][0]) < 1e-4 and abs(margin - (best[1][0] - best[0][0])) < 1e-4, text
+
+
+def test_all_languages_are_learned_from_whole_texts(spark):
+    """More languages than any table had room for; a label is told by a word at the end of a very long text; ties and repeats."""
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{k}" for k in range(12)), f"l{i:03}") for i in range(90)] * 2
+    rows += [(500, "qq " * 30_000 + "zzend", "l000"), (501, None, "l001"), (502, "", "l002"), (None, "nowhere", "l003"), (503, "no label", None)]
+    model = langid.train(docs(spark, rows))
+    assert model.languages == sorted({f"l{i:03}" for i in range(90)})
+    found = model.classify([t for _, t, _ in rows[:90]] + ["zzend"])
+    assert [x[0] for x in found] == [g for _, _, g in rows[:90]] + ["l000"]
+    same = langid.fit({"b": ["one two"], "a": ["one two"]})
+    assert same.classify(["one"])[0][0] == "a" and same.classify(["one"])[0][2] == 0
+    out = langid.identify(docs(spark, [(1, "one two " * 50_000), (1, "one two " * 50_000), (2, "?")]), same).collect()
+    assert len(out) == 3 and not any(r["accepted"] for r in out)
+    few = langid.train(docs(spark, rows), rows=30)
+    assert len(few.languages) == 90
 
 
 # ---- 10 toxicity
-def test_toxicity_on_held_out_texts(spark):
-    rng = random.Random(10)
-    bad = ["idiot", "moron", "worthless", "pathetic", "scum", "trash"]
+BAD = ["idiot", "moron", "worthless", "pathetic", "scum", "trash"]
+
+
+def talk(rng, n, start=0):
     rows, labels = [], []
-    for i in range(400):
-        toxic = i % 3 == 0
+    for i in range(start, start + n):
+        toxic, rude = i % 3 == 0, i % 6 == 0
         own = words(rng, 40, 3000).split()
-        if toxic:
-            for _ in range(3):
-                own.insert(rng.randrange(len(own)), rng.choice(bad))
+        for _ in range(3 * toxic):
+            own.insert(rng.randrange(len(own)), rng.choice(BAD[:2] if rude else BAD[2:]))
         rows.append((i, " ".join(own)))
-        labels.append((i, 1, int(toxic)))
-    frame = lambda part: spark.createDataFrame(part, "doc_id bigint, quality int, toxic int")
-    model = toxicity.train(docs(spark, rows[:300]), frame(labels[:300] + [(5000, 1, 1), (None, 0, 1), (7, 1, None)]))
-    out = {r["doc_id"]: r for r in toxicity.score(docs(spark, rows[300:] + [(900, None), (901, "")]), model).collect()}
-    right = sum(out[i]["toxic"] == bool(t) for i, _, t in labels[300:])
-    assert right / 100 > 0.95 and not out[900]["toxic"] and not out[901]["toxic"]
-    assert {"p_insult", "p_contempt", "p_dehumanising", "p_toxic"} <= set(next(iter(out.values())).asDict())
+        labels.append((i, int(rude), int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_texts(spark):
+    rng = random.Random(10)
+    rows, labels = talk(rng, 400)
+    frame = lambda part: spark.createDataFrame(part, "doc_id bigint, rude int, toxic int")
+    model = toxicity.train(docs(spark, rows[:300] + [(3, rows[3][1])] * 3), frame(labels[:300] + [(5000, 1, 1), (None, 0, 1), (7, 1, None), (8, None, 0)]))
+    assert model.chain == ["rude", "toxic"]
+    held = rows[300:] + [(900, None), (901, ""), (902, words(rng, 30_000, 3000)), (902, rows[3][1])]
+    out: dict = {}
+    for r in toxicity.score(docs(spark, held), model).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    assert sum(out[i][0]["toxic"] == bool(t) for i, _, t in labels[300:]) / 100 > 0.95
+    assert sum((out[i][0]["p_rude"] >= 0.5) == bool(q) for i, q, _ in labels[300:]) / 100 > 0.9
+    assert not out[900][0]["toxic"] and out[901][0]["p_toxic"] == 0 and len(out[902]) == 2
     empty = toxicity.train(docs(spark, rows), frame([]))
     assert all(r["p_toxic"] == 0 for r in toxicity.score(docs(spark, rows[:3]), empty).collect())
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
-def test_chain_feeds_earlier_probabilities():
-    texts = [f"idiot w{i}" if i % 2 else f"calm w{i}" for i in range(60)]
-    chain = toxicity.fit(texts, np.array([i % 2 for i in range(60)]))
-    n = len(chain.keys)
-    assert [len(chain.weights[c]) for c in toxicity.CHAIN] == [n + 1 + k for k in range(len(toxicity.CHAIN))]
+def test_chain_against_plain_python(spark):
+    """Probabilities of each category from the weights, the earlier ones fed on, word by word."""
+    import math
+
+    rng = random.Random(11)
+    rows, labels = talk(rng, 90)
+    chain = ["other", "rude", "toxic"]
+    model = toxicity.fit(toxicity.sketch([t for _, t in rows]), np.array([[float(i % 2), float(q), float(t)] for i, q, t in labels]), chain)
+    n = len(model.keys)
+    assert [len(model.weights[c]) for c in chain] == [n + 1 + k for k in range(3)] and n
+    place = {int(k): i for i, k in enumerate(model.keys)}
+    texts = [*[t for _, t in rows[:10]], "idiot idiots Idiot!", "", None]
+    got = model.predict(texts)
+    for row, text in zip(got, texts):
+        own = re.findall(r"[^\W_]+", (text or "").lower())
+        marks = {string_hash(w) for w in own} | {int(mix(np.array([string_hash(w[:k])], np.uint64) + np.uint64(k))[0]) for w in own for k in (3, 4, 5, 6) if len(w) >= k}
+        before: list = []
+        for c in chain:
+            w = model.weights[c]
+            z = sum(w[place[m]] for m in marks if m in place) + sum(a * b for a, b in zip(w[n:-1], before)) + w[-1]
+            before.append(1 / (1 + math.exp(-z)) if own else 0.0)
+        assert np.allclose(row, before, atol=1e-9)
+
+
+def test_later_models_see_out_of_fold_probabilities():
+    """A category that texts don't tell is random out of fold, so the next one can't lean on a fit that has seen it."""
+    rng = np.random.default_rng(3)
+    texts = [f"calm w{i} v{i} u{i}" for i in range(120)]
+    noise = rng.integers(0, 2, 120).astype(float)
+    model = toxicity.fit(toxicity.sketch(texts), np.column_stack([noise, noise]), ["noise", "toxic"], features=300)
+    assert model.weights["toxic"][-2] < 3  # probabilities of a fit that has seen the labels would repeat them and get a great weight
 
 
 def test_words_are_letters_and_numbers():

@@ -7,20 +7,12 @@ import random
 from lahja.llm import queries
 
 
-def gram_set(t, n=3):
-    w = t.split()
-    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
-
-
-def test_op4_pairs_every_copy(spark, tmp_path):
+def test_op4_counts_every_link(spark, tmp_path):
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
     near = [*base[:-2], "x", "y"]
     texts = {1: base, 5: base, 9: base, 3: near, 7: near, 11: [f"v{i}" for i in range(40)]}
     texts = {k: " ".join(t) for k, t in texts.items()}
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    sets = {k: gram_set(t) for k, t in texts.items()}
-    want = {(a, b): round(j, 6) for a in sets for b in sets if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5}
-    got = [tuple(r) for r in queries.op4_ngram_jaccard(spark, str(tmp_path)).collect()]
-    assert len(want) == 10
-    assert len(got) == len(want) and {(a, b): j for a, b, j in got} == want
+    got = sorted(tuple(r) for r in queries.op4_ngram_jaccard(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 4), (3, 1, 4), (5, 1, 4), (7, 1, 4), (9, 1, 4), (11, 11, 0)]
