@@ -1,14 +1,20 @@
 """Contrastive classifier on character n-grams: log-likelihood ratios, calibration, learned threshold, evaluation.
 
 Weights are integers (SCALE times the ratio), so that sums don't depend on order or partitioning and equal texts score the
-same everywhere. The weight table has at most ``max_features`` rows, whatever the corpus; it is broadcast.
+same everywhere. The weight table has at most ``max_features`` rows, whatever the corpus; it is broadcast. Texts are scored in the
+scan, a batch at a time, without a row for each n-gram; counts for training leave a task as one row for each of its n-grams.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +32,72 @@ def char_ngrams(normal: Column, n: int = NGRAM) -> Column:
     return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
+def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts with their ends marked, one after another, and where each begins."""
+    marked = [f" {t.replace(' ', '_')} " if t is not None else "" for t in texts]
+    cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return cp, np.concatenate([[0], np.cumsum([len(m) for m in marked])]).astype(np.int64)
+
+
+class Windows:
+    """N-grams of a batch as numbers over an alphabet: exact, as each character has bits of its own."""
+
+    def __init__(self, cp: np.ndarray, begins: np.ndarray, n: int, alphabet: np.ndarray):
+        """alphabet: ascending code points; the n-grams of others have the number 0."""
+        bits = max(1, int(len(alphabet)).bit_length())
+        self.begins, self.n = begins, n
+        place = np.zeros(int(alphabet[-1]) + 2 if len(alphabet) else 1, np.uint64)
+        place[alphabet] = np.arange(1, len(alphabet) + 1)
+        own = place[np.minimum(cp, len(place) - 1)]
+        count = max(len(cp) - n + 1, 0)
+        self.key = np.zeros(count, np.uint64)
+        known = np.ones(count, bool)
+        for k in range(n):
+            part = own[k : k + count]
+            self.key = (self.key << np.uint64(bits)) | part
+            known &= part > 0
+        self.key[~known] = 0
+        # those that reach into the next text are none
+        self.sizes = np.maximum(np.diff(begins) - n + 1, 0)
+        self.where = np.arange(int(self.sizes.sum())) + np.repeat(begins[:-1] - (np.cumsum(self.sizes) - self.sizes), self.sizes)
+
+    @staticmethod
+    def fits(n: int, characters: int) -> bool:
+        return n * max(1, int(characters).bit_length()) <= 64
+
+
+class Index:
+    """A weight table for lookups: n-grams as ascending numbers, their weights."""
+
+    def __init__(self, grams: list[str], w: np.ndarray, n: int):
+        cp = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n, self.alphabet = n, np.unique(cp)
+        if not Windows.fits(n, len(self.alphabet)):
+            raise ValueError("too many characters for n-grams of this length")
+        key = Windows(cp, np.arange(len(grams) + 1) * n, n, self.alphabet)
+        key = key.key[key.where]
+        order = np.argsort(key)
+        self.key, self.w = key[order], w[order]
+
+    @classmethod
+    def of(cls, weights: DataFrame, n: int) -> Index:
+        table = weights.select("gram", "w").toArrow()
+        return cls(table.column("gram").to_pylist(), table.column("w").to_numpy().astype(np.int64), n)
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of weights, number of n-grams) of each text."""
+        cp, begins = _codes(texts)
+        own = Windows(cp, begins, self.n, self.alphabet)
+        value = np.zeros(len(own.key), np.int64)
+        some = np.flatnonzero(own.key) if len(self.key) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.key, own.key[some]), max(len(self.key) - 1, 0))
+        hit = self.key[at] == own.key[some] if len(self.key) else np.zeros(0, bool)
+        value[some[hit]] = self.w[at[hit]]
+        acc = np.concatenate([[0], np.cumsum(value)])
+        first = np.minimum(begins[:-1], len(value))  # texts at the end may be too short for any
+        return acc[np.minimum(first + own.sizes, len(value))] - acc[first], own.sizes
+
+
 @dataclass
 class Model:
     weights: DataFrame  # gram, w
@@ -37,14 +109,37 @@ class Model:
     labels: tuple[str, str] = ("positive", "negative")
     meta: dict = field(default_factory=dict)
 
+    def index(self) -> Index:
+        """The weights for lookups, read once."""
+        if "_index" not in self.__dict__:
+            self._index = Index.of(self.weights, self.n)
+        return self._index
+
+    def params(self) -> dict:
+        return {f: self.__dict__[f] for f in ("lo", "hi", "threshold", "n", "min_words", "labels", "meta")}
+
     def save(self, path: str) -> None:
+        """A folder of Parquet weights and JSON parameters; a path that ends in .json or .json.gz: one file, to be exchanged."""
         spark = self.weights.sparkSession
+        if path.endswith((".json", ".json.gz")):
+            table = self.weights.select("gram", (F.col("w") / float(SCALE)).alias("w")).toArrow()
+            own = self.params() | {"ngram": self.n, "weights": dict(zip(table.column("gram").to_pylist(), table.column("w").to_pylist()))}
+            own.pop("n")
+            with (gzip.open if path.endswith(".gz") else open)(path, "wt", encoding="utf-8") as f:
+                json.dump(own, f, ensure_ascii=False)
+            return
         self.weights.write.mode("overwrite").parquet(f"{path}/weights")
-        params = {k: v for k, v in self.__dict__.items() if k != "weights"}
-        spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
+        spark.createDataFrame([(json.dumps(self.params()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
+        """A saved model; what a file lacks has its default."""
+        if path.endswith((".json", ".json.gz")):
+            with (gzip.open if path.endswith(".gz") else open)(path, "rt", encoding="utf-8") as f:
+                own = json.load(f)
+            n = int(own.get("ngram", own.get("n", NGRAM)))
+            weights = spark.createDataFrame([(g, int(round(w * SCALE))) for g, w in own.get("weights", {}).items()], "gram string, w bigint")
+            return cls(weights, float(own.get("lo", 0.0)), float(own.get("hi", 1.0)), float(own.get("threshold", 0.5)), n, int(own.get("min_words", MIN_WORDS)), tuple(own.get("labels", ("positive", "negative"))), own.get("meta", {}))
         params = json.loads(spark.read.text(f"{path}/params").first()[0])
         return cls(spark.read.parquet(f"{path}/weights"), **params | {"labels": tuple(params["labels"])})
 
@@ -55,20 +150,72 @@ class Model:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce(raw, F.lit(self.lo)) - self.lo) / (self.hi - self.lo)))
 
 
-def raw_scores(texts: DataFrame, keys: list[str], normal: str, weights: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(keys, raw): mean weight over the n-grams, unknown ones count 0; null without n-grams.
-
-    N-grams are exploded, weighed by a broadcast join and summed by key before anything is shuffled."""
-    grams = texts.select(*keys, F.explode_outer(char_ngrams(F.col(normal), n)).alias("__gram"))
-    table = weights.select(F.col("gram").alias("__gram"), F.col("w").alias("__w"))
-    held = grams.join(F.broadcast(table), "__gram", "left").groupBy(*keys).agg(F.sum("__w").alias("__sum"), F.count("__gram").alias("__n"))
-    return held.select(*keys, F.when(F.col("__n") > 0, F.coalesce("__sum", F.lit(0)).cast("double") / F.col("__n") / float(SCALE)).alias("raw"))
+def raw_score(normal: Column, index: Index, spark: SparkSession) -> Column:
+    """Mean weight over the n-grams of text in normal form, unknown ones count 0; null without n-grams."""
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf("struct<s:bigint,n:bigint>")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        own = texts.tolist()
+        parts = [shared.value.sums(own[a:b]) for a, b in _cut(own)]
+        return pd.DataFrame({"s": np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]), "n": np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])})
+
+    found = scan(normal)
+    return F.when(found["n"] > 0, found["s"].cast("double") / found["n"] / float(SCALE))
+
+
+def _cut(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many characters; a longer text is alone."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > chars:
+            yield first, i
+            first, size = i, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def raw_scores(texts: DataFrame, keys: list[str], normal: str, weights: DataFrame | Index, n: int = NGRAM) -> DataFrame:
+    """(keys, raw), a row for each row."""
+    index = weights if isinstance(weights, Index) else Index.of(weights, n)
+    return texts.select(*keys, raw_score(F.col(normal), index, texts.sparkSession).alias("raw"))
+
+
+def gram_counts(texts: DataFrame, positive: str, normal: str, n: int = NGRAM) -> DataFrame:
+    """(gram, cp, cn): how often each n-gram occurs in texts of either class; counted in every task, then summed."""
+
+    def run(source: Iterator[pa.RecordBatch]):
+        for batch in source:
+            flags, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).to_pylist()
+            for a, b in _cut(texts):
+                cp, begins = _codes(texts[a:b])
+                alphabet = np.unique(cp)
+                if not Windows.fits(n, len(alphabet)):  # a batch of very many characters or long n-grams
+                    own = Windows(cp, begins, 1, alphabet)
+                    sizes = np.maximum(np.diff(begins) - n + 1, 0)
+                    where = np.arange(int(sizes.sum())) + np.repeat(begins[:-1] - (np.cumsum(sizes) - sizes), sizes)
+                    spelled = np.array([cp[i : i + n].tobytes().decode("utf-32-le", "surrogatepass") for i in where.tolist()], object)
+                    code, names = pd.factorize(spelled)
+                    names = names.tolist()
+                else:
+                    own = Windows(cp, begins, n, alphabet)
+                    sizes, where = own.sizes, own.where
+                    keys, first, code = np.unique(own.key[where], return_index=True, return_inverse=True)
+                    at = where[first]
+                    body = cp[at[:, None] + np.arange(n)].tobytes().decode("utf-32-le", "surrogatepass")
+                    names = [body[i : i + n] for i in range(0, len(body), n)]
+                p = np.bincount(code, weights=np.repeat(flags[a:b], sizes), minlength=len(names)).astype(np.int64)
+                total = np.bincount(code, minlength=len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(p), pa.array(total - p)], ["gram", "cp", "cn"])
+
+    own = texts.where(F.col(normal).isNotNull()).select(F.col(positive), F.col(normal))
+    return own.mapInArrow(run, "gram string, cp bigint, cn bigint").groupBy("gram").agg(F.sum("cp").alias("cp"), F.sum("cn").alias("cn"))
 
 
 def llr_weights(texts: DataFrame, positive: str, normal: str, n: int = NGRAM, alpha: float = ALPHA, max_features: int = MAX_FEATURES) -> DataFrame:
     """(gram, cp, cn, w) of texts of two classes; ``positive`` is a boolean column."""
-    grams = texts.select(F.col(positive).alias("p"), F.explode(char_ngrams(F.col(normal), n)).alias("gram"))
-    counts = materialize(grams.groupBy("gram").agg(F.sum(F.col("p").cast("bigint")).alias("cp"), F.sum((~F.col("p")).cast("bigint")).alias("cn")), "grams")
+    counts = materialize(gram_counts(texts, positive, normal, n), "grams")
     t = counts.agg(F.sum("cp").alias("p"), F.sum("cn").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ratio = F.log((F.col("cp") + alpha) / ((t["p"] or 0) + alpha * t["v"])) - F.log((F.col("cn") + alpha) / ((t["n"] or 0) + alpha * t["v"]))
     out = counts.select("gram", "cp", "cn", F.round(ratio * float(SCALE)).cast("bigint").alias("w"))
@@ -139,7 +286,7 @@ def train(texts: DataFrame, positive: str, text: str, labels: tuple[str, str] =
 def score_texts(texts: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
     """(keys, score)."""
     own = texts.select(*keys, normalize(F.col(text)).alias("normal"))
-    return raw_scores(own, keys, "normal", model.weights, model.n).select(*keys, model.score(F.col("raw")).alias("score"))
+    return raw_scores(own, keys, "normal", model.index(), model.n).select(*keys, model.score(F.col("raw")).alias("score"))
 
 
 def predict(score: Column, n_words: Column, model: Model) -> Column:
@@ -162,7 +309,7 @@ def evaluate(texts: DataFrame, positive: str, text: str, model: Model) -> DataFr
     """One row of figures on texts that were held out."""
     own = texts.select(F.monotonically_increasing_id().alias("id"), F.col(positive).alias("p"), normalize(F.col(text)).alias("normal"))
     own = materialize(own.withColumn("words", count_words(F.col("normal"), compose=False)), "eval")
-    scores = materialize(raw_scores(own, ["id", "p", "words"], "normal", model.weights, model.n).select("p", "words", model.score(F.col("raw")).alias("score")), "scores")
+    scores = materialize(raw_scores(own, ["id", "p", "words"], "normal", model.index(), model.n).select("p", "words", model.score(F.col("raw")).alias("score")), "scores")
     t = model.threshold
     short = F.sum((F.col("words") < model.min_words).cast("int"))
     right = F.sum((F.col("p") == (F.col("score") >= t)).cast("int"))

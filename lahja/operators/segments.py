@@ -7,8 +7,9 @@ regular expression over that string, so a text is segmented within its row.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import WHITE
@@ -71,26 +72,33 @@ def is_code_switched(shares: Column, threshold: float = THRESHOLD) -> Column:
     return sum((F.when(shares[k] >= threshold, 1).otherwise(0) for k in LANGS), F.lit(0)) >= 2
 
 
-def segments(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, script, lang, start, end) with text = source[start:end]; one shuffle on the id."""
-    tokens = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"{RUN}|\\s+"), F.lit(0))).alias("i", "run"))
-    before = W.partitionBy(id_col).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    placed = tokens.withColumn("at", F.coalesce(F.sum(F.length("run")).over(before), F.lit(0))).where("run rlike '^[^\\\\s]'").withColumn("script", _script(F.col("run")))
-    plain = placed.where("script <> 'latin' and not (script = 'other' and run rlike '^[\\\\p{P}\\\\p{S}\\\\p{Z}]+$')")
-    plain = plain.select(id_col, F.col("run").alias("text"), "script", F.when(F.col("script") == "arabic", "ar").otherwise("unknown").alias("lang"), F.col("at").alias("start"))
-    bits = F.regexp_extract_all("run", F.lit(f"{_LA}+|[ \\t]+"), F.lit(0))  # word, gap, word ...
-    latin = placed.where("script = 'latin'").select(id_col, "at", "script", bits.alias("bits"), _islands(F.col("run")).alias("isles"))
+@F.pandas_udf("array<int>")
+def _starts(sizes: pd.Series) -> pd.Series:
+    """Running sums of a row's sizes, each before its own."""
+    return sizes.map(lambda x: np.cumsum(x) - x)
+
+
+def segments(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, text, script, lang, start, end) with text = source[start:end], behind ``more`` columns of the row; one pass, within the row."""
+    keys = [*more, id_col]
+    runs = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"{RUN}|\\s+"), F.lit(0))
+    own = docs.select(*keys, runs.alias("__runs")).withColumn("__at", _starts(F.transform("__runs", F.length)))
+    placed = own.select(*keys, F.inline(F.arrays_zip(F.col("__runs").alias("run"), F.col("__at").alias("at")))).where("run rlike '^[^\\\\s]'").withColumn("script", _script(F.col("run")))
+    latin = F.col("script") == "latin"
+    placed = placed.where(~((F.col("script") == "other") & F.col("run").rlike("^[\\p{P}\\p{S}\\p{Z}]+$"))).withColumn("isles", F.when(latin, _islands(F.col("run"))))
     ends = F.aggregate("isles", F.array().cast("array<int>"), lambda a, c: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(c))))
-    rows = latin.withColumn("ends", ends).select(id_col, "at", "script", "bits", F.inline(F.arrays_zip(F.col("isles").alias("codes"), F.col("ends").alias("stop"))))
+    bits = F.when(latin, F.regexp_extract_all("run", F.lit(f"{_LA}+|[ \\t]+"), F.lit(0)))  # word, gap, word ...
+    rows = placed.withColumns({"bits": bits, "ends": ends}).select(*keys, "run", "at", "script", "bits", F.inline_outer(F.arrays_zip(F.col("isles").alias("codes"), F.col("ends").alias("stop"))))
     first = (F.col("stop") - F.length("codes")) * 2
-    text = F.array_join(F.slice("bits", first + 1, F.length("codes") * 2 - 1), "")
-    head = F.length(F.array_join(F.slice("bits", F.lit(1), first), ""))
-    cut = rows.select(id_col, text.alias("text"), "script", _lang(F.col("codes")).alias("lang"), (F.col("at") + head).alias("start"))
-    both = plain.union(cut)
-    return both.select(id_col, "text", "script", "lang", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("text")).cast("int").alias("end"))
+    text = F.when(latin, F.array_join(F.slice("bits", first + 1, F.length("codes") * 2 - 1), "")).otherwise(F.col("run"))
+    head = F.when(latin, F.length(F.array_join(F.slice("bits", F.lit(1), first), ""))).otherwise(0)
+    lang = F.when(latin, _lang(F.col("codes"))).when(F.col("script") == "arabic", "ar").otherwise("unknown")
+    out = rows.select(*keys, text.alias("text"), "script", lang.alias("lang"), (F.col("at") + head).cast("int").alias("start"))
+    return out.withColumn("end", (F.col("start") + F.length("text")).cast("int"))
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str, lang: str) -> DataFrame:
-    """(id, fragments): those of one language in order."""
-    own = segments(docs, id_col, text_col).where(F.col("lang") == lang)
-    return own.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]).alias("fragments"))
+    """(id, fragments): those of one language in order, a row for each row that has some."""
+    own = segments(docs.withColumn("__k", F.monotonically_increasing_id()), id_col, text_col, "__k").where(F.col("lang") == lang)
+    by = own.groupBy("__k").agg(F.first(id_col).alias(id_col), F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]).alias("fragments"))
+    return by.drop("__k")

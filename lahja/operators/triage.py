@@ -9,9 +9,8 @@ from ..functions import markers
 from ..functions.normalize import count_words, fold_for_arabizi, normalize, script_ratio, split_words
 from ..functions.parsing import position, zone
 from ..functions.translit import prepare
-from ..storage import materialize
 from .blocks import TARGET, document_blocks
-from .classifier import Model, predict, raw_scores
+from .classifier import Model, predict, raw_score
 from .segments import profile
 
 MIN_MARKERS, LONG_TEXT = 1, 150
@@ -23,18 +22,18 @@ class Scorer:
     def __init__(self, model: Model, arabizi: Model | None = None):
         self.model, self.arabizi = model, arabizi
 
-    def scores(self, texts: DataFrame, keys: list[str], text: str, transliterated: str) -> DataFrame:
-        """(keys, transliterated, score, threshold)."""
-        keys = [*keys, transliterated]
+    def scored(self, texts: DataFrame, text: str, transliterated: str) -> DataFrame:
+        """The rows with ``score`` and ``threshold``, within the scan."""
+        spark, flag = texts.sparkSession, F.col(transliterated)
 
-        def of(part: DataFrame, m: Model, fold: bool) -> DataFrame:
-            t = fold_for_arabizi(F.col(text)) if fold else F.col(text)
-            raw = raw_scores(part.select(*keys, normalize(t).alias("__normal")), keys, "__normal", m.weights, m.n)
-            return raw.select(*keys, m.score(F.col("raw")).alias("score"), F.lit(m.threshold).alias("threshold"))
+        def of(m: Model, t: Column) -> Column:
+            return m.score(raw_score(normalize(t), m.index(), spark))
 
         if self.arabizi is None:
-            return of(texts, self.model, False)
-        return of(texts.where(~F.col(transliterated)), self.model, False).union(of(texts.where(transliterated), self.arabizi, True))
+            return texts.withColumns({"score": of(self.model, F.col(text)), "threshold": F.lit(self.model.threshold)})
+        main, other = F.when(~flag, F.col(text)), F.when(flag, fold_for_arabizi(F.col(text)))
+        both = texts.withColumns({"__main": of(self.model, main), "__other": of(self.arabizi, other)})
+        return both.withColumns({"score": F.when(flag, F.col("__other")).otherwise(F.col("__main")), "threshold": self.pick(flag, lambda m: m.threshold)}).drop("__main", "__other")
 
     def pick(self, transliterated: Column, value) -> Column:
         own = F.lit(value(self.model))
@@ -46,19 +45,23 @@ def triage(docs: DataFrame, id_col: str, text_col: str, scorer: Scorer | Model,
 
     A document without a block is undecidable, which isn't a rejection; it has null figures."""
     scorer = scorer if isinstance(scorer, Scorer) else Scorer(scorer)
-    p = prepare(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.select(F.monotonically_increasing_id().alias("__k"), F.col(id_col), p.alias("__p"))
-    own = own.select("__k", id_col, F.col("__p.transliterated").alias("transliterated"), F.col("__p.text").alias("__t"))
-    facts = own.select("__k", id_col, "transliterated", F.size(split_words(F.col("__t"))).alias("n_words"), document_blocks(F.col("__t")).alias("__b"), markers.n_discriminant(normalize(F.col("__t"))).alias("n_markers"))
-    facts = materialize(facts, "blocks")  # read for the scores and for the verdicts
-    blocks = facts.select("__k", "transliterated", F.posexplode("__b").alias("__i", "__block"))
-    scored = scorer.scores(blocks, ["__k", "__i"], "__block", "transliterated")
-    up = F.avg((F.col("score") >= F.col("threshold")).cast("double"))
-    by = scored.groupBy("__k").agg(F.median("score").alias("__m"), F.first("threshold").alias("__t"), up.alias("__up"))
-    yes = (F.col("__m") >= F.col("__t")) & (F.lit(not strict) | (F.col("n_markers") >= MIN_MARKERS))
-    out = facts.select("__k", id_col, "transliterated", "n_words", F.size("__b").alias("n_blocks"), "n_markers").join(by, "__k", "left")
+    own = _prepared(docs, id_col, text_col)
+    facts = own.select("__k", "__id", "transliterated", F.size(split_words(F.col("__t"))).alias("n_words"), document_blocks(F.col("__t")).alias("__b"), markers.n_discriminant(normalize(F.col("__t"))).alias("n_markers"))
+    blocks = facts.select("__k", "__id", "transliterated", "n_words", "n_markers", F.size("__b").alias("n_blocks"), F.explode_outer("__b").alias("__block"))
+    scored = scorer.scored(blocks, "__block", "transliterated").withColumn("score", F.when(F.col("n_blocks") > 0, F.col("score")))
+    up = F.avg(F.when(F.col("n_blocks") > 0, (F.col("score") >= F.col("threshold")).cast("double")))
+    kept = ["__id", "transliterated", "n_words", "n_blocks", "n_markers", "threshold"]
+    out = scored.groupBy("__k").agg(*[F.first(c).alias(c) for c in kept], F.median("score").alias("__m"), up.alias("__up"))
+    yes = (F.col("__m") >= F.col("threshold")) & (F.lit(not strict) | (F.col("n_markers") >= MIN_MARKERS))
     verdict = F.when(F.col("n_blocks") == 0, "undecidable").when(yes, "positive").otherwise("other")
-    return out.select(id_col, "n_words", "n_blocks", verdict.alias("verdict"), F.round("__m", 4).alias("median"), F.round(position(F.col("__m")), 4).alias("position"), F.round("__up", 3).alias("share_positive"), F.when(F.col("n_blocks") > 0, F.col("n_markers")).otherwise(0).alias("n_markers"), "transliterated")
+    return out.select(F.col("__id").alias(id_col), "n_words", "n_blocks", verdict.alias("verdict"), F.round("__m", 4).alias("median"), F.round(position(F.col("__m")), 4).alias("position"), F.round("__up", 3).alias("share_positive"), F.when(F.col("n_blocks") > 0, F.col("n_markers")).otherwise(0).alias("n_markers"), "transliterated")
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__k, __id, __t, transliterated): rows with a number of their own, whatever their ids."""
+    p = prepare(F.coalesce(F.col(text_col), F.lit("")))
+    own = docs.select(F.monotonically_increasing_id().alias("__k"), F.col(id_col).alias("__id"), p.alias("__p"))
+    return own.select("__k", "__id", F.col("__p.text").alias("__t"), F.col("__p.transliterated").alias("transliterated"))
 
 
 def triage_summary(verdicts: DataFrame) -> DataFrame:
@@ -71,31 +74,29 @@ def triage_summary(verdicts: DataFrame) -> DataFrame:
 def block_dispersion(docs: DataFrame, id_col: str, text_col: str, scorer: Scorer | Model, long_text: int = LONG_TEXT) -> DataFrame:
     """(id, n, min, median, max, below_threshold, positions) of texts of ``long_text`` words or more with two blocks at least."""
     scorer = scorer if isinstance(scorer, Scorer) else Scorer(scorer)
-    p = prepare(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.select(id_col, p.alias("__p")).select(id_col, F.col("__p.text").alias("__t"), F.col("__p.transliterated").alias("transliterated"))
+    own = _prepared(docs, id_col, text_col)
     long = own.where(count_words(F.col("__t")) >= long_text)
-    blocks = long.select(id_col, "transliterated", F.posexplode(document_blocks(F.col("__t"))).alias("__i", "__block"))
-    scored = scorer.scores(blocks, [id_col, "__i"], "__block", "transliterated")
+    blocks = long.select("__k", "__id", "transliterated", F.explode(document_blocks(F.col("__t"))).alias("__block"))
+    scored = scorer.scored(blocks, "__block", "transliterated")
     below = F.sum((F.col("score") < F.col("threshold")).cast("int"))
     spots = F.array_sort(F.collect_list(F.round(position(F.col("score")), 3)))
-    by = scored.groupBy(id_col).agg(F.count(F.lit(1)).cast("int").alias("n"), F.round(F.min("score"), 4).alias("min"), F.round(F.median("score"), 4).alias("median"), F.round(F.max("score"), 4).alias("max"), below.cast("int").alias("below_threshold"), spots.alias("positions"))
-    return by.where("n >= 2")
+    by = scored.groupBy("__k").agg(F.first("__id").alias(id_col), F.count(F.lit(1)).cast("int").alias("n"), F.round(F.min("score"), 4).alias("min"), F.round(F.median("score"), 4).alias("median"), F.round(F.max("score"), 4).alias("max"), below.cast("int").alias("below_threshold"), spots.alias("positions"))
+    return by.where("n >= 2").drop("__k")
 
 
-def reply_verdicts(replies: DataFrame, scorer: Scorer | Model, min_markers: int = MIN_MARKERS) -> DataFrame:
+def reply_verdicts(replies: DataFrame, scorer: Scorer | Model, min_markers: int = MIN_MARKERS, order: str | None = None) -> DataFrame:
     """The verdict on each reply that isn't an error: skipped (empty, too short) or scored.
 
     (prompt_id, model, condition, script, n_words, scorable, skipped, score, label, above_classifier, n_markers, is_positive,
-    transliterated, arabic, latin, other, ar, fr, arabizi, unknown, explanation)."""
+    transliterated, arabic, latin, other, ar, fr, arabizi, unknown, explanation), and the column ``order`` of the log if it is named."""
     scorer = scorer if isinstance(scorer, Scorer) else Scorer(scorer)
     p = prepare(F.coalesce(F.col("reply"), F.lit("")))
-    own = replies.where(F.coalesce("error", F.lit("")) == "").select(F.monotonically_increasing_id().alias("__k"), "prompt_id", "model", "condition", "script", p.alias("__p"))
+    own = replies.where(F.coalesce("error", F.lit("")) == "").select("prompt_id", "model", "condition", "script", *[c for c in (order,) if c], p.alias("__p"))
     own = own.select("*", F.col("__p.text").alias("__t"), F.col("__p.transliterated").alias("transliterated"), normalize(F.col("__p.text")).alias("__n")).drop("__p")
-    own = materialize(own.withColumn("n_words", count_words(F.col("__n"), compose=False)), "replies")
+    own = own.withColumn("n_words", count_words(F.col("__n"), compose=False))
     least = scorer.pick(F.col("transliterated"), lambda m: m.min_words)
     ready = (F.col("__t") != "") & (F.col("n_words") >= least)
-    scored = scorer.scores(own.where(ready), ["__k"], "__t", "transliterated").select("__k", "score", "threshold")
-    out = own.join(scored, "__k", "left")
+    out = scorer.scored(own.withColumn("__s", F.when(ready, F.col("__t"))), "__s", "transliterated").withColumn("score", F.when(ready, F.col("score")))
     above, n = F.col("score") >= F.col("threshold"), markers.n_discriminant(F.col("__n"))
     found = markers.counts(F.col("__n"))
     skipped = F.when(F.col("__t") == "", "empty reply").when(~ready, F.format_string("too short (%d words, minimum %d)", "n_words", least))
@@ -106,7 +107,7 @@ def reply_verdicts(replies: DataFrame, scorer: Scorer | Model, min_markers: int
     return out.select(
         "prompt_id", "model", "condition", "script", "n_words", ready.alias("scorable"), skipped.alias("skipped"), F.round("score", 4).alias("score"), only(label).alias("label"), above.alias("above_classifier"),
         only(n).alias("n_markers"), only(above & (n >= min_markers)).alias("is_positive"), "transliterated", *[F.round(ratio[k], 6).alias(k) for k in ("arabic", "latin", "other")],
-        *[only(shares[k]).alias(k) for k in ("ar", "fr", "arabizi", "unknown")], only(markers.explain(found, F.col("n_words"))).alias("explanation"),
+        *[only(shares[k]).alias(k) for k in ("ar", "fr", "arabizi", "unknown")], only(markers.explain(found, F.col("n_words"))).alias("explanation"), *[c for c in (order,) if c],
     )
 
 
@@ -115,10 +116,9 @@ def measures(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
     p = prepare(F.coalesce(F.col(text_col), F.lit("")))
     own = docs.select(F.col(id_col), F.col(text_col).alias("__raw"), p["text"].alias("__t"), p["transliterated"].alias("transliterated"))
     own = own.withColumn("__n", normalize(F.col("__t"))).withColumn("n_words", count_words(F.col("__n"), compose=False))
-    own = materialize(own, "measures")
     status = F.when(~F.col("__t").rlike("(?U)[^\\s]"), "empty").when(F.col("n_words") < model.min_words, "too_short").otherwise("measured")
-    raw = raw_scores(own.where(status == "measured").select(id_col, "__n"), [id_col], "__n", model.weights, model.n)
-    out = own.join(raw.select(id_col, model.score(F.col("raw")).alias("score")), id_col, "left")
+    raw = raw_score(F.when(status == "measured", F.col("__n")), model.index(), docs.sparkSession)
+    out = own.withColumn("score", F.when(status == "measured", model.score(raw)))
     pos, n = position(F.col("score")), markers.n_discriminant(F.col("__n"))
     done = F.col("score").isNotNull()
     return out.select(

@@ -126,7 +126,8 @@ def entity_counts(spark, sf):
 
 # ---- segmentation
 _RUN = r"(?:[\x{0600}-\x{06FF}\x{0750}-\x{077F}]+(?:[\s\x{064B}-\x{065F}]+[\x{0600}-\x{06FF}\x{0750}-\x{077F}]+)*|[A-Za-z\x{C0}-\x{FF}0-9'']+(?:[ \t]+[A-Za-z\x{C0}-\x{FF}0-9'']+)*|[^\s]+)"
-_SEG = rf"""sv AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000, left(t, 200) || ' ' || text FROM (SELECT v.doc_id, v.t, d.text FROM v JOIN documents d USING (doc_id))),
+_SEG = rf"""sx AS (SELECT CAST((floor((max(doc_id) - least(min(doc_id), 0)) / 1000000) + 1) * 1000000 AS BIGINT) AS step FROM documents),
+sv AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + step, t || ' ' || text FROM (SELECT v.doc_id, v.t, d.text FROM v JOIN documents d USING (doc_id)), sx),
 st AS (SELECT doc_id, unnest(k) AS run, unnest(range(len(k))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?:{_RUN}|\s+)') AS k FROM sv)),
 sp AS (SELECT *, coalesce(sum(len(run)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off0,
   CASE WHEN regexp_matches(run, '^[\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}]') THEN 'arabic' WHEN regexp_matches(run, '^[A-Za-z\x{{C0}}-\x{{FF}}0-9'']') THEN 'latin' WHEN regexp_matches(run, '^\s') THEN 'white' ELSE 'other' END AS script FROM st),
@@ -134,8 +135,8 @@ sw AS (SELECT doc_id, i, off0, j, w, sum(len(w)) OVER (PARTITION BY doc_id, i OR
 sl AS (SELECT *, {S.label("trim(lower(w), '''')")} AS lab FROM sw WHERE j % 2 = 0),
 sm AS (SELECT *, coalesce(last_value(lab IGNORE NULLS) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(lab IGNORE NULLS) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'unknown') AS lang FROM sl),
 sg AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, i ORDER BY j) AS seg FROM (SELECT *, CASE WHEN lag(lang) OVER (PARTITION BY doc_id, i ORDER BY j) IS DISTINCT FROM lang THEN 1 ELSE 0 END AS new FROM sm)),
-sb AS (SELECT doc_id, i, lang, min(j) AS j0, max(j) AS j1, min(off0 + off) AS a, max(off0 + off + len(w)) AS b, count(*) AS n FROM sg GROUP BY doc_id, i, seg, lang),
-segs AS (SELECT sb.doc_id, substr(sv.text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS text, 'latin' AS script, lang, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", n FROM sb JOIN sv USING (doc_id)
+sb AS (SELECT doc_id, i, lang, any_value(off0) AS off0, min(off) AS a, max(off + len(w)) AS b, count(*) AS n FROM sg GROUP BY doc_id, i, seg, lang),
+segs AS (SELECT sb.doc_id, substr(sp.run, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS text, 'latin' AS script, lang, CAST(sb.off0 + a AS INTEGER) AS start, CAST(sb.off0 + b AS INTEGER) AS "end", n FROM sb JOIN sp USING (doc_id, i)
   UNION ALL SELECT doc_id, run, script, CASE WHEN script = 'arabic' THEN 'ar' ELSE 'unknown' END, CAST(off0 AS INTEGER), CAST(off0 + len(run) AS INTEGER), CASE WHEN script = 'arabic' THEN len(list_filter(string_split_regex(run, '\s+'), lambda x: x <> '')) ELSE 1 END
   FROM sp WHERE script = 'arabic' OR (script = 'other' AND NOT regexp_full_match(run, '[\p{{P}}\p{{S}}\p{{Z}}]+')))"""
 

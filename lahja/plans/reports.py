@@ -22,10 +22,21 @@ def classes(spark, sf):
     return docs(spark, sf).where("lang in ('fr', 'es')").select("doc_id", "source", (F.col("lang") == "fr").alias("p"), "text")
 
 
-def model(spark, sf) -> K.Model:
+_MODELS: dict[tuple[str, str], K.Model] = {}
+
+
+def trained(spark, sf) -> K.Model:
     return K.train(classes(spark, sf), "p", "text", ("fr", "es"))
 
 
+def model(spark, sf) -> K.Model:
+    """One model for each corpus and session: queries that score share it; ``eval_report`` and ``llr_weights`` train."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = trained(spark, sf)
+    return _MODELS[key]
+
+
 def class_scores(spark, sf):
     own = classes(spark, sf)
     return K.score_texts(own, ["doc_id", "p"], "text", model(spark, sf))
@@ -34,8 +45,7 @@ def class_scores(spark, sf):
 # ---- classifier
 @query(M + "SELECT gram, CAST(cp AS BIGINT) AS cp, CAST(cn AS BIGINT) AS cn FROM mk")
 def char_ngram_counts(spark, sf):
-    own = classes(spark, sf).select("p", F.explode(K.char_ngrams(N.normalize(F.col("text")))).alias("gram"))
-    return own.groupBy("gram").agg(F.sum(F.col("p").cast("bigint")).alias("cp"), F.sum((~F.col("p")).cast("bigint")).alias("cn"))
+    return K.gram_counts(classes(spark, sf).select("p", N.normalize(F.col("text")).alias("n")), "p", "n")
 
 
 @query(M + "SELECT gram, CAST(cp AS BIGINT) AS cp, CAST(cn AS BIGINT) AS cn, w FROM mw")
@@ -66,7 +76,7 @@ SELECT CAST(count(*) FILTER (p) AS BIGINT) AS n_positive, CAST(count(*) FILTER (
 
 @query(_EV)
 def eval_report(spark, sf):
-    return K.evaluate(classes(spark, sf), "p", "text", model(spark, sf)).drop("auc")
+    return K.evaluate(classes(spark, sf), "p", "text", trained(spark, sf)).drop("auc")
 
 
 @query(f"{M}, pw AS (SELECT doc_id, {S.n_words('t')} AS n_words FROM mn) SELECT doc_id, CASE WHEN n_words < 25 THEN NULL WHEN score >= threshold THEN 'fr' ELSE 'es' END AS label, round(CASE WHEN n_words < 25 THEN NULL WHEN score >= threshold THEN 0.5::DOUBLE + 0.5::DOUBLE * (score - threshold) / greatest(1e-9::DOUBLE, 1.0::DOUBLE - threshold) ELSE 0.5::DOUBLE + 0.5::DOUBLE * (threshold - score) / greatest(1e-9::DOUBLE, threshold) END, 6) AS confidence FROM ms JOIN pw USING (doc_id), mt")
@@ -110,14 +120,14 @@ def group_documents(spark, sf):
     return B.group_documents(docs(spark, sf), "source", "doc_id", "text", 500)
 
 
-@query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source, count(*) AS n, round(median(score), 4) AS median, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt WHERE block < 4000 GROUP BY source")
+@query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source, count(*) AS n, round(median(score), 4) AS median, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt GROUP BY source")
 def score_by_source(spark, sf):
     m = model(spark, sf)
     own = B.chunk_lines(lines(spark, sf), "source", ["doc_id", "li"], "line")
     return report.score_by_source(own, K.score_texts(own, ["source", "block"], "text", m), m.threshold, limit=None)
 
 
-@query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source AS worst, above_threshold, above_threshold >= 0.9 AS passes FROM (SELECT source, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt WHERE block < 4000 GROUP BY source) ORDER BY above_threshold, source LIMIT 1")
+@query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source AS worst, above_threshold, above_threshold >= 0.9 AS passes FROM (SELECT source, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt GROUP BY source) ORDER BY above_threshold, source LIMIT 1")
 def worst_source(spark, sf):
     return report.worst_source(score_by_source(spark, sf))
 
@@ -342,7 +352,7 @@ def poem_dedup(spark, sf):
     return poems.from_examples(examples(spark, sf)).select(F.md5("text").alias("text_md5"), "genre", "split", "gharad", "title", F.array_join("modes", " ").alias("modes"))
 
 
-@query(f"WITH {_PARSED}, ix AS (SELECT md5(text) AS fp, arg_max('u' || doc_id, doc_id) AS uid FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT md5(text) AS text_md5, uid FROM en LEFT JOIN ix ON ix.fp = md5(text)")
+@query(f"WITH {_PARSED}, ix AS (SELECT md5(text) AS fp, arg_max('u' || doc_id, doc_id) AS uid FROM documents GROUP BY 1) SELECT md5(text) AS text_md5, uid FROM en LEFT JOIN ix ON ix.fp = md5(text)")
 def poem_uid_join(spark, sf):
     index = docs(spark, sf).select(F.col("doc_id").alias("pos"), F.md5("text").alias("fingerprint"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("uid"))
     return poems.attach_uids(poems.from_examples(examples(spark, sf)), index, F.md5).select(F.md5("text").alias("text_md5"), "uid")

@@ -58,5 +58,6 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REPLIES_SQL = """r0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant'),
-replies AS (SELECT conv_id * 2 + r AS pos, CAST(conv_id AS VARCHAR) AS prompt_id, 'm' || (conv_id % 3) AS model, CASE WHEN r = 1 THEN 'implicite' ELSE 'explicite' END AS condition,
-  CASE WHEN conv_id % 5 = 0 THEN 'arabizi' ELSE 'arabe' END AS script, 'c' || (conv_id % 7) AS category, text AS reply, CASE WHEN conv_id % 17 = 0 THEN '429 refused' END AS error FROM r0 WHERE r <= 2)"""
+r1 AS (SELECT *, (r + 1) // 2 AS pair, (SELECT greatest(2, max(r)) FROM r0) AS step FROM r0),
+replies AS (SELECT conv_id * step + r AS pos, CASE WHEN pair = 1 THEN CAST(conv_id AS VARCHAR) ELSE conv_id || '-' || pair END AS prompt_id, 'm' || (conv_id % 3) AS model, CASE WHEN r % 2 = 1 THEN 'implicite' ELSE 'explicite' END AS condition,
+  CASE WHEN conv_id % 5 = 0 THEN 'arabizi' ELSE 'arabe' END AS script, 'c' || (conv_id % 7) AS category, text AS reply, CASE WHEN conv_id % 17 = 0 THEN '429 refused' END AS error FROM r1)"""

@@ -14,14 +14,6 @@ from .test_catalogue import rows
 SEGMENTED = ["segments", "lang_profile", "code_switched", "extract_fr"]
 
 
-def whole(sql: str, **changes: str) -> str:
-    """The query's SQL without its cut."""
-    for a, b in changes.values():
-        assert a in sql
-        sql = sql.replace(a, b)
-    return sql
-
-
 @pytest.fixture(scope="module")
 def long_texts(spark, tmp_path_factory):
     sf = str(tmp_path_factory.mktemp("long"))
@@ -36,7 +28,7 @@ def test_whole_texts_are_segmented(spark, long_texts, name):
     got = catalogue.queries()[name](spark, long_texts)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{long_texts}/documents.parquet/*.parquet'")
-    want = con.execute(whole(catalogue.oracle_sql()[name], text=("left(t, 200)", "t"), ids=("doc_id + 1000000", "doc_id + 2000000")))
+    want = con.execute(catalogue.oracle_sql()[name])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
 
 
