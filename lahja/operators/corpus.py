@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clean_for_training, entity_of
 from ..functions.normalize import fold_for_arabizi, nfkc, script_ratio, squeeze
 from .blocks import TARGET, chunk_lines
+from .classifier import Model, score_texts
 from .sampling import balance as balanced
 from .sampling import cap_sources, holdout_split
 
@@ -48,3 +49,14 @@ def entity_counts(lines: DataFrame, text: str) -> DataFrame:
     """(entity, n): what the entity filter removes."""
     words = lines.select(F.explode(F.split(squeeze(nfkc(F.col(text))), " ")).alias("w"))
     return words.select(entity_of(F.col("w")).alias("entity")).where("entity is not null").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def validate(lines: DataFrame, model: Model, order: str = "line_no", target: int = TARGET, limit: int | None = 4000, arabic_only: bool = True) -> DataFrame:
+    """(source, role, n, median, above_threshold) of a cache (source, role, order, line): how a model judges the first ``limit`` blocks of each source (None: all)."""
+    clean = clean_lines(lines, {"strip_entities": True, "fold_arabizi": False, "arabic_only": arabic_only, "latin_only": False})
+    blocks = chunk_lines(clean, "source", [order], "line", target)
+    scores = score_texts(blocks, ["source", "block"], "text", model)
+    if limit is not None:
+        scores = scores.where(F.col("block") < limit)
+    by = scores.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("score"), 4).alias("median"), F.round(F.avg((F.col("score") >= model.threshold).cast("double")), 4).alias("above_threshold"))
+    return by.join(lines.select("source", "role").distinct(), "source").select("source", "role", "n", "median", "above_threshold")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import poem_normalize
-from ..functions.parsing import USUL, parse_prompt
+from ..functions.parsing import TASKS, USUL, parse_prompt
 from .blocks import lines_of
 
 FIELDS = ("gharad", "wazn_sub", "region", "poet", "uid", "title")
@@ -46,3 +46,37 @@ def corpus_report(entries: DataFrame) -> DataFrame:
     fields = ["genre", "gharad", "region", "wazn_sub", "split"]
     long = entries.select(F.inline(F.array(*[F.struct(F.lit(f"by_{c}").alias("section"), F.col(c).alias("key")) for c in fields]))).where("key is not null and key <> ''")
     return out.union(long.groupBy("section", "key").agg(F.count(F.lit(1)).alias("n")).select("section", "key", "n", no.alias("pct")))
+
+COLUMNS = ("uid", "genre", "genre_ar", "is_usul", "gharad", "wazn_sub", "region", "poet", "title", "n_lines", "n_words", "modes", "split", "source", "text")
+#: Genres by their Arabic names.
+GENRES = {name: key for _, key, name in TASKS} | {"نثر": "prose"}
+
+
+def from_markdown(tree: DataFrame) -> DataFrame:
+    """Entries of a markdown tree (meta, title, text) whose heads name a genre: the complete source, with poets and ids."""
+    m = lambda *keys: F.nullif(F.coalesce(*[F.try_element_at("meta", F.lit(k)) for k in keys]), F.lit(""))
+    named = F.create_map(*[F.lit(x) for kv in GENRES.items() for x in kv])
+    own = tree.select("text", m("genre").alias("genre_ar"), F.coalesce(F.col("title"), m("title")).alias("title"), m("gharad").alias("gharad"), m("wazn_sub").alias("wazn_sub"), m("region").alias("region"), m("poet").alias("poet"), m("uid").alias("uid")).where("genre_ar is not null")
+    own = own.withColumn("genre", F.coalesce(named[F.col("genre_ar")], F.col("genre_ar")))
+    words = F.filter(F.split(poem_normalize(F.col("text")), " "), lambda w: w != "")
+    lines = F.filter(lines_of(F.col("text")), lambda x: x.rlike("(?U)[^\\s]"))
+    return own.select("text", "genre", "genre_ar", "title", "gharad", "wazn_sub", "region", F.lit(None).cast("string").alias("split"), F.col("genre").isin(*USUL).alias("is_usul"), "poet", "uid", F.size(lines).alias("n_lines"), F.size(words).alias("n_words"), F.array().cast("array<string>").alias("modes"))
+
+
+def write_corpus(entries: DataFrame, out: str, source: str) -> None:
+    """<out>/corpus.jsonl, <out>/corpus.csv and <out>/report.json (folders), entries sorted by genre, id and the text's beginning."""
+    own = entries.withColumn("source", F.lit(source)).select(*COLUMNS).sort("genre", F.coalesce("uid", F.lit("")), F.substring("text", 1, 40))
+    own.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/corpus.jsonl")
+    own.withColumn("modes", F.array_join("modes", "|")).write.mode("overwrite").option("escape", '"').csv(f"{out}/corpus.csv", header=True)
+    report_json(entries, source).coalesce(1).write.mode("overwrite").text(f"{out}/report.json")
+
+
+def report_json(entries: DataFrame, source: str) -> DataFrame:
+    """The corpus report as one JSON document."""
+    found = corpus_report(entries)
+    total = found.agg(*[F.max(F.when((F.col("section") == "total") & (F.col("key") == k), F.col("n"))).alias(k) for k in ("n_texts", "n_words", "n_lines", "vocabulary")])
+    by = lambda part, cell: found.where(F.col("section") == part).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "key", cell.alias("v")))), lambda x: F.struct(x["key"], x["v"]))).alias(part))
+    parts = [by("coverage", F.struct("n", "pct")), *[by(f"by_{c}", F.col("n")) for c in ("genre", "gharad", "region", "wazn_sub", "split")]]
+    for p in parts:
+        total = total.crossJoin(p)  # one row each
+    return total.select(F.to_json(F.struct(F.lit(source).alias("source"), *total.columns)).alias("value"))

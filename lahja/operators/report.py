@@ -28,9 +28,9 @@ def cells(replies: DataFrame, verdicts: DataFrame, threshold: float) -> DataFram
 
 
 def paired_shifts(verdicts: DataFrame, order: str | None = None) -> DataFrame:
-    """(model, n_pairs, n_up, median_delta, rate_up) over prompts measured under both conditions; of several measures the last in ``order`` counts."""
-    own = verdicts.where(F.col("scorable") & F.col("score").isNotNull())
-    pick = (lambda c: F.max_by(F.when(c, F.col("score")), F.when(c, F.col(order)))) if order else (lambda c: F.max(F.when(c, F.col("score"))))
+    """(model, n_pairs, n_up, median_delta, rate_up) over prompts measured under both conditions; of several measures the last counts, in ``order`` or as they come."""
+    own = verdicts.withColumn("__at", F.col(order) if order else F.monotonically_increasing_id()).where(F.col("scorable") & F.col("score").isNotNull())
+    pick = lambda c: F.max_by(F.when(c, F.col("score")), F.when(c, F.col("__at")))
     by = own.groupBy("model", "prompt_id").agg(pick(F.col("condition") == "implicite").alias("i"), pick(F.col("condition") == "explicite").alias("e"))
     delta = F.col("e") - F.col("i")
     out = by.where("i is not null and e is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum((delta > 0).cast("int")).cast("bigint").alias("n_up"), F.round(F.median(delta), 4).alias("median_delta"))
@@ -60,17 +60,16 @@ def abandoned(replies: DataFrame, order: str, limit: int = ABANDON) -> DataFrame
     return run.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum(ok).cast("bigint").alias("succeeded"), at.alias("abandoned_at")).withColumn("abandoned", F.col("abandoned_at").isNotNull())
 
 
-def score_by_source(blocks: DataFrame, scores: DataFrame, threshold: float, limit: int | None = 4000) -> DataFrame:
-    """(source, n, median, above_threshold) over the first ``limit`` blocks of each source (the report's own bound; None: all)."""
-    own = blocks.select("source", "block")
-    if limit is not None:
-        own = own.where(F.col("block") < limit)
-    return own.join(scores, ["source", "block"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("score"), 4).alias("median"), F.round(F.avg((F.col("score") >= threshold).cast("double")), 4).alias("above_threshold"))
+def score_by_source(scores: DataFrame, threshold: float, limit: int | None = 4000) -> DataFrame:
+    """(source, n, median, above_threshold) over the first ``limit`` blocks of each source (the report's own bound; None: all). scores: (source, block, score)."""
+    own = scores if limit is None else scores.where(F.col("block") < limit)
+    return own.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("score"), 4).alias("median"), F.round(F.avg((F.col("score") >= threshold).cast("double")), 4).alias("above_threshold"))
 
 
-def worst_source(by_source: DataFrame, gate: float = 0.9) -> DataFrame:
-    """(worst, above_threshold, passes): the positive source that is recognised least."""
-    return by_source.orderBy("above_threshold", "source").limit(1).select(F.col("source").alias("worst"), "above_threshold", (F.col("above_threshold") >= gate).alias("passes"))
+def worst_source(by_source: DataFrame, positive: list[str] | DataFrame, gate: float = 0.9) -> DataFrame:
+    """(worst, above_threshold, passes): the positive source that is recognised least. ``positive``: their names, or a frame with a column source."""
+    own = by_source.where(F.col("source").isin(*positive)) if isinstance(positive, list) else by_source.join(positive.select("source").distinct(), "source", "left_semi")
+    return own.orderBy("above_threshold", "source").limit(1).select(F.col("source").alias("worst"), "above_threshold", (F.col("above_threshold") >= gate).alias("passes"))
 
 
 def render(view: DataFrame, title: str) -> str:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.normalize import WHITE
 from ..functions.translit import FRENCH, STOPWORDS
@@ -72,7 +73,7 @@ def is_code_switched(shares: Column, threshold: float = THRESHOLD) -> Column:
     return sum((F.when(shares[k] >= threshold, 1).otherwise(0) for k in LANGS), F.lit(0)) >= 2
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _starts(sizes: pd.Series) -> pd.Series:
     """Running sums of a row's sizes, each before its own."""
     return sizes.map(lambda x: np.cumsum(x) - x)

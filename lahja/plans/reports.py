@@ -120,11 +120,15 @@ def group_documents(spark, sf):
     return B.group_documents(docs(spark, sf), "source", "doc_id", "text", 500)
 
 
+def block_scores(spark, sf, m):
+    own = B.chunk_lines(lines(spark, sf), "source", ["doc_id", "li"], "line")
+    return K.score_texts(own, ["source", "block"], "text", m)
+
+
 @query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source, count(*) AS n, round(median(score), 4) AS median, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt GROUP BY source")
 def score_by_source(spark, sf):
     m = model(spark, sf)
-    own = B.chunk_lines(lines(spark, sf), "source", ["doc_id", "li"], "line")
-    return report.score_by_source(own, K.score_texts(own, ["source", "block"], "text", m), m.threshold, limit=None)
+    return report.score_by_source(block_scores(spark, sf, m), m.threshold, limit=None)
 
 
 @query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source AS worst, above_threshold, above_threshold >= 0.9 AS passes FROM (SELECT source, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt GROUP BY source) ORDER BY above_threshold, source LIMIT 1")

@@ -77,3 +77,13 @@ def buildable(contrast_sources: DataFrame, cached: DataFrame) -> DataFrame:
     have = contrast_sources.join(cached.select("source").distinct().withColumn("have", F.lit(1)), "source", "left")
     found = have.groupBy("contrast", "genre_controlled").agg(F.max(F.when(F.col("class") == "positive", F.col("have"))).alias("p"), F.max(F.when(F.col("class") == "negative", F.col("have"))).alias("n"))
     return found.select("contrast", "genre_controlled", (F.col("p").isNotNull() & F.col("n").isNotNull()).alias("buildable"))
+
+
+def inventory(spark: SparkSession, cached: DataFrame) -> DataFrame:
+    """(kind, name, role, lines, genre_controlled): cached sources with their lines, and the contrasts that can be built of them.
+
+    ``cached``: (key, lines), as ``readers.cached`` gives it."""
+    have = cached.select(F.col("key").alias("source"), "lines").join(sources(spark).select(F.col("key").alias("source"), "role"), "source", "left")
+    own = have.select(F.lit("source").alias("kind"), F.col("source").alias("name"), "role", "lines", F.lit(None).cast("boolean").alias("genre_controlled"))
+    built = buildable(contrasts(spark), have).where("buildable")
+    return own.union(built.select(F.lit("contrast"), F.col("contrast"), F.lit(None).cast("string"), F.lit(None).cast("bigint"), "genre_controlled"))
