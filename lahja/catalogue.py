@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .plans import queries as _own
 from .plans import reports as _reports  # noqa: F401  (registers its queries)
+from .plans import staged as _staged  # noqa: F401
 
 FLAGSHIP = "triage_verdicts"
 
