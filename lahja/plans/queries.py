@@ -18,7 +18,7 @@ from ..operators import corpus, poems, report, sampling, segments
 from ..operators import triage as TR
 from ..sources import readers, registry
 from . import sqltext as S
-from .views import AR_SQL, REPLIES_SQL, WIKI_SQL, arabic, replies, table, wiki
+from .views import AR_SQL, ARABIC, LATIN, REPLIES_SQL, WIKI_SQL, arabic, replies, table, wiki
 
 def normal(view: DataFrame, text: str = "t") -> DataFrame:
     """The view with its standard normal form ``n`` as a column of its own."""
@@ -86,12 +86,12 @@ mapped("marker_discriminant", lambda t: M.n_discriminant(N.normalize(t)), f"{S.n
 
 @query(f"WITH {S.to_arabic('text', 'doc_id', 'documents')} SELECT doc_id, out FROM tr")
 def to_arabic(spark, sf):
-    return docs(spark, sf).where(F.length("text") > 0).select("doc_id", T.to_arabic(F.col("text")).alias("out"))
+    return docs(spark, sf).select("doc_id", T.to_arabic(F.col("text")).alias("out"))
 
 
 @query(f"WITH {S.to_arabic('text', 'doc_id', 'documents', 'ق')} SELECT doc_id, out FROM tr")
 def to_arabic_qaf(spark, sf):
-    return docs(spark, sf).where(F.length("text") > 0).select("doc_id", T.to_arabic(F.col("text"), g_as_qaf=True).alias("out"))
+    return docs(spark, sf).select("doc_id", T.to_arabic(F.col("text"), g_as_qaf=True).alias("out"))
 
 
 @query(f"WITH {S.prepared('documents', 'doc_id', 'text')} SELECT doc_id, t AS text, translit AS transliterated FROM pr")
@@ -114,9 +114,14 @@ def word_count_hist(spark, sf):
     return docs(spark, sf).select(N.count_words(F.col("text")).alias("n_words")).groupBy("n_words").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {WIKI_SQL}, s AS (SELECT page_id, {_wiki_sql} AS t FROM v), l AS (SELECT page_id, unnest(range(len(string_split(t, chr(10))))) AS line_no, {S.squeeze('unnest(string_split(t, chr(10)))')} AS line FROM s) SELECT page_id, CAST(line_no AS INTEGER) AS line_no, line FROM l WHERE {S.n_words(S.norm('line'))} >= 5")
+_LINES_OF = f"{WIKI_SQL}, h AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN translate(lower(t), '{LATIN}', '{ARABIC}') ELSE t END AS t FROM v), s AS (SELECT page_id, {_wiki_sql} AS t FROM h), l AS (SELECT page_id, unnest(range(len(string_split(t, chr(10))))) AS line_no, {S.squeeze('unnest(string_split(t, chr(10)))')} AS line FROM s)"
+
+
+@query(rf"WITH {_LINES_OF} SELECT page_id, CAST(line_no AS INTEGER) AS line_no, line FROM l WHERE {S.n_words(S.norm('line'))} >= 5 AND len(regexp_extract_all(line, '[\x{{0600}}-\x{{06FF}}]')) >= 0.6::DOUBLE * len(regexp_replace(line, '\s', '', 'g'))")
 def wiki_lines(spark, sf):
-    return readers.wiki_lines(wiki(spark, sf), "t", 5, 0.0, ("page_id",))
+    """Every other page in Arabic letters: lines that are Arabic enough stay."""
+    half = F.when(F.col("page_id") % 2 == 0, F.translate(F.lower("t"), LATIN, ARABIC)).otherwise(F.col("t"))
+    return readers.wiki_lines(wiki(spark, sf).withColumn("t", half), "t", 5, keys=("page_id",))
 
 
 @query(f"WITH {AR_SQL}, {S.entities('v', 'doc_id', 't')} SELECT entity, count(*) AS n FROM en WHERE entity IS NOT NULL GROUP BY entity")

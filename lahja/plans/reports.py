@@ -53,6 +53,13 @@ def llr_weights(spark, sf):
     return K.llr_weights(classes(spark, sf).select("p", N.normalize(F.col("text")).alias("n")), "p", "n")
 
 
+@query(M + "SELECT gram, w FROM mw ORDER BY abs(w) * ln(1.0::DOUBLE + cp + cn) DESC, gram LIMIT 5000")
+def top_features(spark, sf):
+    """The 5,000 features that tell most, the cut being the feature."""
+    own = classes(spark, sf).select("p", N.normalize(F.col("text")).alias("n"))
+    return K.llr_weights(own, "p", "n", max_features=5000).select("gram", "w")
+
+
 @query(M + "SELECT doc_id, p, round(score, 6) AS score FROM ms")
 def llr_doc_scores(spark, sf):
     return class_scores(spark, sf).select("doc_id", "p", F.round("score", 6).alias("score"))
@@ -71,12 +78,13 @@ def roc_auc(spark, sf):
 _EV = f"""{M}, ew AS (SELECT doc_id, {S.n_words('t')} AS words FROM mn), es AS (SELECT ms.*, words, threshold FROM ms JOIN ew USING (doc_id), mt),
 er AS (SELECT p, score, row_number() OVER (PARTITION BY p ORDER BY score) AS i, count(*) OVER (PARTITION BY p) AS n FROM es)
 SELECT CAST(count(*) FILTER (p) AS BIGINT) AS n_positive, CAST(count(*) FILTER (NOT p) AS BIGINT) AS n_negative, round(any_value(threshold), 4) AS threshold, round(avg(CAST(p = (score >= threshold) AS DOUBLE)), 4) AS accuracy,
-  CAST(count(*) FILTER (words < 25) AS BIGINT) AS too_short, round(100.0 * count(*) FILTER (words < 25) / count(*), 1) AS too_short_pct, (SELECT round(max(score), 4) FROM er WHERE p AND i = n // 2 + 1) AS median_positive, (SELECT round(max(score), 4) FROM er WHERE NOT p AND i = n // 2 + 1) AS median_negative FROM es"""
+  CAST(count(*) FILTER (words < 25) AS BIGINT) AS too_short, round(100.0 * count(*) FILTER (words < 25) / count(*), 1) AS too_short_pct, (SELECT round(max(score), 4) FROM er WHERE p AND i = n // 2 + 1) AS median_positive, (SELECT round(max(score), 4) FROM er WHERE NOT p AND i = n // 2 + 1) AS median_negative,
+  (SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 4) FROM (SELECT score, sum(CAST(p AS INT)) AS p, sum(CAST(NOT p AS INT)) AS n, coalesce(sum(sum(CAST(NOT p AS INT))) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM es GROUP BY score)) AS auc FROM es"""
 
 
 @query(_EV)
 def eval_report(spark, sf):
-    return K.evaluate(classes(spark, sf), "p", "text", trained(spark, sf)).drop("auc")
+    return K.evaluate(classes(spark, sf), "p", "text", trained(spark, sf))
 
 
 @query(f"{M}, pw AS (SELECT doc_id, {S.n_words('t')} AS n_words FROM mn) SELECT doc_id, CASE WHEN n_words < 25 THEN NULL WHEN score >= threshold THEN 'fr' ELSE 'es' END AS label, round(CASE WHEN n_words < 25 THEN NULL WHEN score >= threshold THEN 0.5::DOUBLE + 0.5::DOUBLE * (score - threshold) / greatest(1e-9::DOUBLE, 1.0::DOUBLE - threshold) ELSE 0.5::DOUBLE + 0.5::DOUBLE * (threshold - score) / greatest(1e-9::DOUBLE, threshold) END, 6) AS confidence FROM ms JOIN pw USING (doc_id), mt")
@@ -131,9 +139,17 @@ def score_by_source(spark, sf):
     return report.score_by_source(block_scores(spark, sf, m), m.threshold, limit=None)
 
 
-@query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source AS worst, above_threshold, above_threshold >= 0.9 AS passes FROM (SELECT source, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt GROUP BY source) ORDER BY above_threshold, source LIMIT 1")
+@query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source AS worst, above_threshold, above_threshold >= 0.9 AS passes FROM (SELECT source, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt WHERE source IN (SELECT source FROM documents WHERE lang = 'fr' AND len(source) > 4) GROUP BY source) ORDER BY above_threshold, source LIMIT 1")
 def worst_source(spark, sf):
-    return report.worst_source(score_by_source(spark, sf))
+    """Of the sources with two digits that have French documents: the others play the negatives, which are not asked about."""
+    return report.worst_source(score_by_source(spark, sf), docs(spark, sf).where("lang = 'fr' and length(source) > 4"))
+
+
+@query(f"WITH RECURSIVE {S.MODEL}, {_CHUNK}, {S.scores('ck', 'source, block', 'text')} SELECT source, count(*) AS n, round(median(score), 4) AS median, round(avg(CAST(score >= threshold AS DOUBLE)), 4) AS above_threshold FROM sc, mt WHERE block < 7 GROUP BY source")
+def first_blocks_by_source(spark, sf):
+    """The evaluation's own bound on blocks of a source, small enough to act."""
+    m = model(spark, sf)
+    return report.score_by_source(block_scores(spark, sf, m), m.threshold, limit=7)
 
 
 @query("SELECT doc_id, lang, rank, CASE WHEN rank <= floor(n * 0.75) THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':0'), doc_id) AS rank, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
@@ -188,25 +204,31 @@ def split_by_prompt(spark, sf):
     return sampling.split_by_prompt(own, "prompt_id", F.size(N.split_words(F.col("reply")))).select("pos", "prompt_id", "side")
 
 
-@query("SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark)")
+@query("SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE source IN ('src1', 'src2'))")
 def exact_dup_contamination(spark, sf):
-    return sampling.contamination(docs(spark, sf), table(spark, sf, "benchmark"), "text").select("doc_id")
+    """Texts that are also on the held-out side: the benchmark, and two sources."""
+    held = table(spark, sf, "benchmark").select("text").union(docs(spark, sf).where("source in ('src1', 'src2')").select("text"))
+    return sampling.contamination(docs(spark, sf), held, "text").select("doc_id")
 
 
 # ---- replies
 _VERDICTS = f"""{S.MODEL}, {REPLIES_SQL}, ok AS (SELECT * FROM replies WHERE error IS NULL), {S.prepared('ok', 'pos', 'reply')},
 vn AS (SELECT pos, t, translit, {S.norm('t')} AS nt FROM pr), vw AS (SELECT *, {S.n_words('nt')} AS n_words FROM vn), vr AS (SELECT * FROM vw WHERE n_words >= 25), {S.scores('vr', 'pos', 't')},
 vm AS (SELECT pos, {S.n_discriminant('nt')} AS k FROM vr),
-vd AS (SELECT ok.prompt_id, ok.model, ok.condition, ok.script, category, CAST(vw.n_words AS INTEGER) AS n_words, vw.n_words >= 25 AND vw.t <> '' AS scorable, round(score, 4) AS score, score >= threshold AS above_classifier, CAST(k AS INTEGER) AS n_markers, translit AS transliterated FROM ok JOIN vw USING (pos) LEFT JOIN sc USING (pos) LEFT JOIN vm USING (pos), mt)"""
+vd AS (SELECT ok.pos, ok.prompt_id, ok.model, ok.condition, ok.script, category, CAST(vw.n_words AS INTEGER) AS n_words, vw.n_words >= 25 AND vw.t <> '' AS scorable, round(score, 4) AS score, score AS exact, vw.t, score >= threshold AS above_classifier, CAST(k AS INTEGER) AS n_markers, translit AS transliterated FROM ok JOIN vw USING (pos) LEFT JOIN sc USING (pos) LEFT JOIN vm USING (pos), mt)"""
 
 
 def verdicts(spark, sf, m=None):
     return TR.reply_verdicts(replies(spark, sf), m or model(spark, sf))
 
 
-@query(f"WITH {_VERDICTS} SELECT prompt_id, model, condition, script, n_words, scorable, score, coalesce(above_classifier, false) AS above_classifier, coalesce(n_markers, -1) AS n_markers, transliterated FROM vd")
+@query(f"""WITH {_VERDICTS}, rr AS (SELECT pos, {S.count('t', S.AR)} AS a, {S.count('t', S.LA)} AS l, greatest(0, {S.count('t', S.ALNUM)} - {S.count('t', S.AR)} - {S.count('t', S.LA)}) AS o FROM vw)
+SELECT prompt_id, model, condition, script, n_words, scorable, CASE WHEN t = '' THEN 'empty reply' WHEN NOT scorable THEN 'too short (' || n_words || ' words, minimum 25)' END AS skipped, score, CASE WHEN scorable THEN CASE WHEN exact >= threshold THEN 'fr' ELSE 'es' END END AS label, above_classifier, n_markers,
+  CASE WHEN scorable THEN above_classifier AND n_markers >= 1 END AS is_positive, transliterated, CASE WHEN a + l + o > 0 THEN round(a / (a + l + o), 6) ELSE 0 END AS arabic, CASE WHEN a + l + o > 0 THEN round(l / (a + l + o), 6) ELSE 0 END AS latin, CASE WHEN a + l + o > 0 THEN round(o / (a + l + o), 6) ELSE 0 END AS other
+FROM vd JOIN rr USING (pos), mt""")
 def reply_verdicts(spark, sf):
-    return verdicts(spark, sf).select("prompt_id", "model", "condition", "script", "n_words", "scorable", "score", F.coalesce("above_classifier", F.lit(False)).alias("above_classifier"), F.coalesce("n_markers", F.lit(-1)).alias("n_markers"), "transliterated")
+    """All but language shares and explanation, which are ``lang_profile`` and ``marker_explain`` of the prepared reply."""
+    return verdicts(spark, sf).drop("ar", "fr", "arabizi", "unknown", "explanation")
 
 
 @query(f"""WITH {_VERDICTS}, a AS (SELECT model, condition, script, count(*) AS n, CAST(count(error) AS BIGINT) AS n_errors FROM replies GROUP BY ALL),
@@ -217,9 +239,12 @@ def bench_cells(spark, sf):
     return report.cells(replies(spark, sf), verdicts(spark, sf, m), m.threshold)
 
 
-@query(f"WITH {_VERDICTS}, p AS (SELECT model, prompt_id, max(score) FILTER (condition = 'implicite') AS i, max(score) FILTER (condition = 'explicite') AS e FROM vd GROUP BY ALL) SELECT model, count(*) AS n_pairs, CAST(count(*) FILTER (e - i > 0) AS BIGINT) AS n_up, round(median(e - i), 4) AS median_delta, round(count(*) FILTER (e - i > 0) / count(*), 6) AS rate_up FROM p WHERE i IS NOT NULL AND e IS NOT NULL GROUP BY model")
+@query(f"WITH {_VERDICTS}, vv AS (SELECT model, prompt_id, condition, pos, score FROM vd UNION ALL SELECT model, prompt_id, condition, pos + 1000000000, round(1 - score, 4) FROM vd WHERE pos % 3 = 0), p AS (SELECT model, prompt_id, arg_max(score, pos) FILTER (condition = 'implicite' AND score IS NOT NULL) AS i, arg_max(score, pos) FILTER (condition = 'explicite' AND score IS NOT NULL) AS e FROM vv GROUP BY ALL) SELECT model, count(*) AS n_pairs, CAST(count(*) FILTER (e - i > 0) AS BIGINT) AS n_up, round(median(e - i), 4) AS median_delta, round(count(*) FILTER (e - i > 0) / count(*), 6) AS rate_up FROM p WHERE i IS NOT NULL AND e IS NOT NULL GROUP BY model")
 def paired_shift(spark, sf):
-    return report.paired_shifts(verdicts(spark, sf))
+    """A third of the replies are measured again later, with another score: the last measure counts."""
+    own = TR.reply_verdicts(replies(spark, sf), model(spark, sf), order="pos")
+    again = own.where("pos % 3 = 0").withColumns({"pos": F.col("pos") + 1000000000, "score": F.round(1 - F.col("score"), 4)})
+    return report.paired_shifts(own.union(again), "pos")
 
 
 @query(f"WITH {_VERDICTS} SELECT model, condition, category, count(*) AS n, round(median(score), 3) AS median FROM vd WHERE score IS NOT NULL GROUP BY ALL")
@@ -267,10 +292,19 @@ def triage_summary(spark, sf):
     return TR.triage_summary(triage_verdicts(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {_TRIAGE} SELECT doc_id, CAST(count(*) AS INTEGER) AS n, round(min(score), 4) AS min, round(median(score), 4) AS median, round(max(score), 4) AS max, CAST(count(*) FILTER (score < threshold) AS INTEGER) AS below_threshold,
-CAST(count(*) AS INTEGER) AS n_positions FROM sc JOIN (SELECT doc_id, {S.n_words(S.norm('t'))} AS w FROM pr) USING (doc_id), mt WHERE w >= 150 GROUP BY doc_id HAVING count(*) >= 2""")
+_DISPERSION = f"""WITH RECURSIVE {_TRIAGE} SELECT doc_id, CAST(count(*) AS INTEGER) AS n, round(min(score), 4) AS min, round(median(score), 4) AS median, round(max(score), 4) AS max, CAST(count(*) FILTER (score < threshold) AS INTEGER) AS below_threshold,
+list_sort(list(round((score - 0.8308::DOUBLE) / (0.9184::DOUBLE - 0.8308::DOUBLE), 3))) AS positions FROM sc JOIN (SELECT doc_id, {S.n_words(S.norm('t'))} AS w FROM pr) USING (doc_id), mt WHERE w >= 150 GROUP BY doc_id HAVING count(*) >= 2"""
+
+
+@query(_DISPERSION.replace("WITH RECURSIVE", "WITH RECURSIVE dispersion AS (WITH RECURSIVE", 1) + ") SELECT doc_id, unnest(range(len(positions)))::INTEGER AS i, unnest(positions) AS position FROM dispersion")
+def block_positions(spark, sf):
+    """Where each block of a long text lies, in order."""
+    return TR.block_dispersion(docs(spark, sf), "doc_id", "text", model(spark, sf)).select("doc_id", F.posexplode("positions").alias("i", "position"))
+
+
+@query(f"SELECT * EXCLUDE (positions) FROM ({_DISPERSION})")
 def block_dispersion(spark, sf):
-    return TR.block_dispersion(docs(spark, sf), "doc_id", "text", model(spark, sf)).withColumn("n_positions", F.size("positions")).drop("positions")
+    return TR.block_dispersion(docs(spark, sf), "doc_id", "text", model(spark, sf)).drop("positions")
 
 
 @query()
@@ -310,25 +344,33 @@ def sources_by_role(spark, sf):
     return registry.by_role(own, "positive").union(registry.by_role(own, "negative")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT contrast, genre_controlled, contrast NOT IN ('vs_algerian', 'vs_egyptian', 'vs_maghrebi', 'vs_moroccan_latin', 'vs_moroccan_tw') AS buildable FROM (VALUES ('vs_algerian', true), ('vs_all', false), ('vs_egyptian', false), ('vs_maghreb', true), ('vs_maghreb_arabizi', true), ('vs_maghreb_llm', true), ('vs_maghrebi', false), ('vs_moroccan_latin', false), ('vs_moroccan_tw', true), ('vs_moroccan_yt', true), ('vs_msa', false)) AS t(contrast, genre_controlled)")
 def buildable_contrasts(spark, sf):
+    """With a positive corpus or two, and omcd and ar among the negatives."""
     cached = spark.createDataFrame([("tsac",), ("omcd",), ("linto",), ("ar",)], "source string")
     return registry.buildable(registry.contrasts(spark), cached)
 
 
-@query("SELECT 'html' AS best")
+@query("SELECT arg_max(c, n) AS best FROM (SELECT 'url' AS c, avg(len(coalesce(url, ''))) AS n FROM pages UNION ALL SELECT 'html', avg(len(coalesce(html, ''))) FROM pages) UNION ALL SELECT arg_max(c, n) FROM (SELECT 'text' AS c, avg(len(text)) AS n FROM documents UNION ALL SELECT 'lang', avg(len(lang)) FROM documents UNION ALL SELECT 'source', avg(len(source)) FROM documents)")
 def best_text_column(spark, sf):
-    own = table(spark, sf, "pages")
-    return spark.createDataFrame([(readers.best_text_column(own, by_name=False),)], "best string")
+    best = [readers.best_text_column(table(spark, sf, t), by_name=False, rows=None) for t in ("pages", "documents")]
+    return spark.createDataFrame([(b,) for b in best], "best string")
 
 
-_MSG = [("429 RESOURCE_EXHAUSTED retry in 12.5s", "google"), ("RESOURCE_EXHAUSTED GenerateRequestsPerDay", "google"), ("500 internal", "google"), ("429 limit: 0", "google")]
+_MSG = [
+    ("429 RESOURCE_EXHAUSTED retry in 12.5s", "google"), ("RESOURCE_EXHAUSTED GenerateRequestsPerDay", "google"), ("500 internal", "google"), ("429 limit: 0", "google"), ("429 limit: 01", "google"),
+    ("Rate limited, try again in 7 s", "openrouter"), ("Retry after 3.5s; free-models-per-day", "openrouter"), ("DAILY limit", "openrouter"), ("odd", "openrouter"),
+    ("retry in 2s", "xai"), ("insufficient credits", "xai"), ("Quota reached, retry after 60s", "xai"), ("bad gateway", "xai"),
+]
+#: What each message means, written down by hand.
+_MEANS = [(True, 12.5, False), (True, None, True), (False, None, False), (True, None, True), (True, None, False), (True, 7.0, False), (True, 3.5, True), (True, None, True), (True, None, False), (True, 2.0, False), (True, None, True), (True, 60.0, True), (True, None, False)]
 
 
-@query(f"SELECT message, regexp_matches(message, 'RESOURCE_EXHAUSTED|429') AS limited, CASE WHEN regexp_matches(message, 'RESOURCE_EXHAUSTED|429') THEN TRY_CAST(nullif(regexp_extract(message, 'retry in ([\\d.]+)s', 1), '') AS DOUBLE) END AS retry_after, regexp_matches(message, 'RESOURCE_EXHAUSTED|429') AND regexp_matches(message, 'PerDay|limit: 0\\b') AS exhausted FROM {_values(_MSG, 'message, provider')}")
+@query(f"SELECT message, provider, limited, CAST(retry_after AS DOUBLE) AS retry_after, exhausted FROM {_values([(*m, *x) for m, x in zip(_MSG, _MEANS)], 'message, provider, limited, retry_after, exhausted')}")
 def quota_classify(spark, sf):
     own = spark.createDataFrame(_MSG, "message string, provider string")
-    return own.select("message", P.classify_quota(F.col("message")).alias("q")).select("message", "q.*")
+    q = F.when(F.col("provider") == "google", P.classify_quota(F.col("message"), "google")).when(F.col("provider") == "openrouter", P.classify_quota(F.col("message"), "openrouter")).otherwise(P.classify_quota(F.col("message"), "xai"))
+    return own.select("message", "provider", q.alias("q")).select("message", "provider", "q.*")
 
 
 # ---- verse
