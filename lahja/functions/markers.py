@@ -35,6 +35,15 @@ MODERN = frozenset({"quant_barsha", "interrog_chnowa", "adj_behi", "ok_yakhi", "
 DISCRIMINANT = frozenset(MARKERS) - {"n_prefix_1sg", "relativizer_elli", "interrog_3lach"}
 
 
+#: What a marker is in Arabic, for readers of a report; one without is shown by its meaning.
+LABELS = {
+    "negation_ma_sh": "نفي بما وشين", "future_bash": "علامة الاستقبال", "progressive_qaed": "علامة الاستمرار", "relativizer_elli": "اسم موصول", "interrog_chnowa": "استفهام عن الشيء",
+    "interrog_3lach": "استفهام عن السبب", "interrog_9adech": "استفهام عن المقدار", "interrog_kifach": "استفهام عن الحال", "interrog_win": "استفهام عن المكان", "interrog_waqtech": "استفهام عن الزمن",
+    "now_tawa": "الآن", "quant_barsha": "كثير", "num_zouz": "اثنان", "adj_behi": "حسن", "little_chwaya": "قليل",
+}
+CATEGORY_LABELS = {"morphology": "صرف", "lexicon": "معجم"}
+
+
 def pattern(name: str) -> str:
     return _B + MARKERS[name][0] + _E
 
@@ -44,6 +53,15 @@ def marker_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "marker string, pattern string, category string, gloss string, discriminant boolean, modern boolean")
 
 
+def describe(hits: DataFrame) -> DataFrame:
+    """The rows (marker, category, ...) with gloss, whether the marker decides, and Arabic labels where there are any, else gloss and category."""
+    spark = hits.sparkSession
+    known = spark.createDataFrame([(n, g, n in DISCRIMINANT, LABELS.get(n)) for n, (_, _, g) in MARKERS.items()], "marker string, gloss string, decides boolean, label string")
+    kinds = spark.createDataFrame(list(CATEGORY_LABELS.items()), "category string, category_label string")
+    out = hits.join(F.broadcast(known), "marker", "left").join(F.broadcast(kinds), "category", "left")
+    return out.withColumns({"label": F.coalesce("label", "gloss", "marker"), "category_label": F.coalesce("category_label", "category")}).select(*hits.columns, "gloss", "decides", "label", "category_label")
+
+
 def counts(normal: Column) -> Column:
     """array<struct<marker, category, n>> of the markers that occur; for text in standard normal form."""
     own = [F.struct(F.lit(n).alias("marker"), F.lit(MARKERS[n][1]).alias("category"), F.regexp_count(normal, F.lit(pattern(n))).alias("n")) for n in MARKERS]

@@ -197,6 +197,13 @@ def marker_rates(spark, sf):
     return normal(arabic(spark, sf)).select("doc_id", F.inline(M.rates(F.col("n"))))
 
 
+@query(_COUNTS + "SELECT doc_id, marker, n, CASE marker WHEN 'quant_barsha' THEN 'كثير' WHEN 'ok_yakhi' THEN 'isn''t it' WHEN 'future_bash' THEN 'علامة الاستقبال' ELSE '-' END AS label, CASE category WHEN 'function word' THEN 'function word' WHEN 'lexicon' THEN 'معجم' ELSE 'صرف' END AS category_label, marker NOT IN ('n_prefix_1sg', 'relativizer_elli', 'interrog_3lach') AS decides FROM m WHERE n > 0")
+def marker_labels(spark, sf):
+    """Markers with what a report shows of them; of the labels those of three markers, one of which has none and falls back."""
+    own = M.describe(marker_counts(spark, sf))
+    return own.select("doc_id", "marker", "n", F.when(F.col("marker").isin("quant_barsha", "ok_yakhi", "future_bash"), F.col("label")).otherwise("-").alias("label"), "category_label", "decides")
+
+
 def found(spark, sf) -> DataFrame:
     """(doc_id, found, words): generated as rows and gathered within the row's task, so that no expression repeats the scan."""
     own = normal(arabic(spark, sf)).select("doc_id", F.explode(F.array(M.counts(F.col("n")))).alias("found"), N.count_words(F.col("n"), compose=False).alias("words"))

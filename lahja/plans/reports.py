@@ -307,7 +307,11 @@ def block_dispersion(spark, sf):
     return TR.block_dispersion(docs(spark, sf), "doc_id", "text", model(spark, sf)).drop("positions")
 
 
-@query()
+@query(f"""WITH {S.MODEL}, {S.prepared('documents', 'doc_id', 'text')}, xn AS (SELECT doc_id, t, translit, {S.norm('t')} AS nt FROM pr), xw AS (SELECT *, {S.n_words('nt')} AS n_words FROM xn), xr AS (SELECT * FROM xw WHERE n_words >= 25), {S.scores('xr', 'doc_id', 't')},
+xm AS (SELECT doc_id, {S.n_discriminant('nt')} AS k FROM xr)
+SELECT xw.doc_id, CASE WHEN NOT regexp_matches(xw.t, '\\S') THEN 'empty' WHEN n_words < 25 THEN 'too_short' ELSE 'measured' END AS status, CAST(n_words AS INTEGER) AS n_words, translit AS transliterated, round(score, 4) AS score,
+  round((score - 0.8308::DOUBLE) / (0.9184::DOUBLE - 0.8308::DOUBLE), 4) AS position, CASE WHEN score < 0.8542 THEN 'low' WHEN score < 0.8982 THEN 'below_typical' WHEN score <= 0.9372 THEN 'centre' WHEN score IS NOT NULL THEN 'high' END AS zone, score >= threshold AS above_classifier, CAST(k AS INTEGER) AS n_markers, score >= threshold AND k >= 1 AS is_positive
+FROM xw LEFT JOIN sc USING (doc_id) LEFT JOIN xm USING (doc_id), mt""")
 def measure_records(spark, sf):
     own = TR.measures(docs(spark, sf), "doc_id", "text", model(spark, sf))
     return own.select("doc_id", "status", "n_words", "transliterated", "score", "position", "zone", "above_classifier", "n_markers", "is_positive")
