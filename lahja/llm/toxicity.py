@@ -194,7 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = own.select("h", "id", "t", *[f"y{k}" for k in range(len(chain))], sketched("text").alias("s")).toArrow().sort_by([("h", "ascending"), ("t", "ascending")])
     y = np.column_stack([found.column(f"y{k}").to_numpy().astype(np.float64) for k in range(len(chain))]) if len(found) else np.zeros((0, len(chain)))
     s = found.column("s").combine_chunks()
-    sketches = [(r["low"], np.array(r["words"], np.int64).view(np.uint64)) for r in s.to_pylist()]
+    words, low = s.field("words"), s.field("low").to_pylist()
+    cut, flat = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
+    sketches = [(low[i], flat[cut[i] : cut[i + 1]]) for i in range(len(low))]
     order = np.random.default_rng(0).permutation(len(sketches))
     return fit([sketches[i] for i in order], y[order], chain)
 
