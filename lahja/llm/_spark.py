@@ -80,6 +80,20 @@ class Scratch:
         self.drop(*[t for t in self.tables.values() if not any(t is x for x in tables)])
 
 
+def few_splits(df: DataFrame) -> bool:
+    """Whether a table that is read has fewer splits than the cluster has cores: its few MB would keep a core or two busy."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(io: Scratch, df: DataFrame) -> DataFrame:
+    """A table that is read; one of few splits is written again in as many parts as there are cores, in a fixed order."""
+    if not few_splits(df):
+        return df
+    again = io.write(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+    io.drop(df)
+    return again
+
+
 def bytes_of(df: DataFrame) -> int:
     """Size of a written table."""
     spark = df.sparkSession
