@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lahja.llm import bpe, langid
-from lahja.llm._spark import Scratch
+from lahja.llm._spark import Scratch, spread
 from lahja.llm.decontaminate import decontaminate
 from lahja.llm.exact_dedup import exact_dedup
 from lahja.llm.ngram_join import drop_near
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     io = Scratch(spark, "pipeline")
+    docs = spread(io, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for _, stage in STAGES[:-1]:
-        docs = io.write(stage(spark, docs, sf_dir))
+        after = spread(io, io.write(stage(spark, docs, sf_dir)))
+        io.drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

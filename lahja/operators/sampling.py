@@ -28,7 +28,7 @@ def holdout_split(rows: DataFrame, key: str, holdout: float = 0.25, seed: int =
     own = rows.withColumn("__g", group).withColumn("__h", hash_order(F.col(key), seed)).withColumn("__one", F.lit(1))
     ranked = running(own, ["__g", "__h", key], {"__before": "__one"})
     total = ranked.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), F.min("__before").alias("__first"))
-    out = ranked.join(F.broadcast(total), ranked["__g"].eqNullSafe(total["__g"]))
+    out = ranked.join(total, ranked["__g"].eqNullSafe(total["__g"]))
     split = F.when(F.col("__before") - F.col("__first") < F.floor(F.col("__n") * (1 - holdout)), "train").otherwise("test")
     return out.select(*rows.columns, (F.col("__before") - F.col("__first") + 1).alias("rank"), split.alias("split"))
 
@@ -63,7 +63,7 @@ def cap_sources(blocks: DataFrame, source: str, key: str, shares: dict[str, floa
     own = blocks.withColumn("__h", hash_order(F.col(key), seed)).withColumn("__one", F.lit(1))
     ranked = running(own, [source, "__h", key], {"__before": "__one"})
     first = ranked.groupBy(source).agg(F.min("__before").alias("__first"))
-    return ranked.join(F.broadcast(first), source).join(F.broadcast(caps), source).where(F.col("__before") - F.col("__first") < F.col("__cap")).select(*blocks.columns)
+    return ranked.join(first, source).join(caps, source).where(F.col("__before") - F.col("__first") < F.col("__cap")).select(*blocks.columns)
 
 
 def stratified(prompts: DataFrame, n: int, seed: int = 0) -> DataFrame:
