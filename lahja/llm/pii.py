@@ -16,7 +16,8 @@ the whole text; a test holds it against all paths.
 One scan of the documents, no shuffle; only the text column goes to Python, and the weights broadcast are some kB.
 
 Defined results: null or empty texts have no spans and stay as they are. Rows that repeat give their spans again;
-null ids are kept. Offsets count code points; the end is exclusive; a value has no white space at its ends. Very long texts are
+null ids are kept. Offsets count code points; the end is exclusive; a value has no white space at its
+ends and doesn't end within a run of letters and digits; an e-mail address has an at sign, a number of any kind but a secret a digit. Very long texts are
 read whole. Other columns, whatever their names, don't matter and are carried by ``redact``.
 """
 
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from ._text import NUMBER, batches, classes, codes, flat
 
 KINDS = ("none", "email", "phone", "ip", "card", "account", "secret")
-WIDTH, STRIDE = 256, 192
+#: Windows of decoding, and those of training, which are shorter so that there are more steps.
+WIDTH, STRIDE = 512, 448
+FIT_WIDTH, FIT_STRIDE = 256, 192
 HIDDEN = 16
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _MARKS = " \n\t.@+-()\"'=:/_,#%&*$!|;?<>[]{}"
@@ -346,13 +349,14 @@ def _value(rng, kind: str) -> tuple[str, str, str]:
 
 
 def labelled(seed: int, n: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """n texts of three windows with the spans planted in them."""
+    """n texts of some 770 characters with the spans planted in them."""
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(n):
         text, spans = "", []
         often = 0.0 if rng.random() < 0.15 else 0.12  # some texts have none
-        while len(text) < WIDTH * 3:
+        shout = rng.random() < 0.1
+        while len(text) < 770:
             r = rng.random()
             if r < often:
                 kind = KINDS[1 + int(rng.integers(0, len(KINDS) - 1))]
@@ -360,27 +364,28 @@ def labelled(seed: int, n: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
                 spans.append((kind, len(text) + len(before), len(text) + len(before) + len(value)))
                 text += before + value + after + (str(rng.choice(["", "", ".", ",", "!!", "###", "%%%", "$$$", "&&&", "***", " |"])) if rng.random() < 0.5 else "")
             else:
-                text += _plain(rng)
+                own = _plain(rng).upper() + "!!" if shout else _plain(rng)
+                text += " ".join([own] * (int(rng.integers(3, 40)) if rng.random() < 0.01 else 1))
             text += "\n" if rng.random() < 0.08 else " "
         out.append((text, spans))
     return out
 
 
-def windows(cp: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, start) of all windows of texts that lie at begins in cp; the last one of a text may reach beyond it."""
-    n = np.where(sizes > 0, 1 + np.maximum(-(-(sizes - WIDTH) // STRIDE), 0), 0)
+def windows(sizes: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of all windows of texts; the last one of a text may reach beyond it."""
+    n = np.where(sizes > 0, 1 + np.maximum(-(-(sizes - width) // stride), 0), 0)
     text = np.repeat(np.arange(len(sizes)), n)
-    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
 
 
-def _cells(cls: np.ndarray, begins: np.ndarray, sizes: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Classes [windows, WIDTH]; PAD outside of the text."""
-    spot = start[:, None] + np.arange(WIDTH)
+def _cells(cls: np.ndarray, begins: np.ndarray, sizes: np.ndarray, text: np.ndarray, start: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Classes [windows, width]; PAD outside of the text."""
+    spot = start[:, None] + np.arange(width)
     inside = (spot >= 0) & (spot < sizes[text][:, None])
     return np.where(inside, cls[np.where(inside, spot + begins[text][:, None], 0)], PAD).astype(np.uint8)
 
 
-def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 6, batch: int = 96, rate: float = 0.02, seed: int = 0) -> Tagger:
+def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 7, batch: int = 96, rate: float = 0.02, seed: int = 0) -> Tagger:
     """Tagger of labelled texts: (text, [(kind, start, end)])."""
     xs, ys = [], []
     for text, spans in examples:
@@ -389,9 +394,9 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 6,
         for kind, a, b in spans:
             tag[a:b] = KINDS.index(kind)
         begins, sizes = np.zeros(1, np.int64), np.array([len(cls)])
-        own, start = windows(cls, begins, sizes)
-        xs.append(_cells(cls, begins, sizes, own, start))
-        y = _cells(tag, begins, sizes, own, start)
+        own, start = windows(sizes, FIT_WIDTH, FIT_STRIDE)
+        xs.append(_cells(cls, begins, sizes, own, start, FIT_WIDTH))
+        y = _cells(tag, begins, sizes, own, start, FIT_WIDTH)
         ys.append(np.where(y == PAD, 0, y))
     x, y = np.concatenate(xs), np.concatenate(ys)
     net = Tagger(seed)
@@ -423,20 +428,23 @@ def trained(texts: int = 900, seed: int = 1) -> Tagger:
 _WEIGHT = np.minimum(1, (1 + np.minimum(np.arange(WIDTH), WIDTH - 1 - np.arange(WIDTH))) / (WIDTH - STRIDE)).astype(np.float32) ** 4
 
 
-def tags_of(net: Tagger, cp: np.ndarray, sizes: np.ndarray, at_once: int = 512) -> np.ndarray:
+def tags_of(net: Tagger, cp: np.ndarray, sizes: np.ndarray, at_once: int = 384) -> np.ndarray:
     """Tag of each character of texts that lie one after another in cp."""
     begins = np.cumsum(sizes) - sizes
-    text, start = windows(cp, begins, sizes)
+    text, start = windows(sizes, WIDTH, STRIDE)
     cls = char_classes(cp)
     total, times = np.zeros((len(net.p["bias"]), len(cp)), np.float32), np.zeros(len(cp), np.float32)
     at = begins[text] + start
     n = np.minimum(WIDTH, sizes[text] - start)
-    for i in range(0, len(text), at_once):
-        w = slice(i, i + at_once)
-        e = net.scores(_cells(cls, begins, sizes, text[w], start[w]))
-        for k, (p, m) in enumerate(zip(at[w].tolist(), n[w].tolist())):
-            total[:, p : p + m] += e[:, k, :m] * _WEIGHT[:m]
-            times[p : p + m] += _WEIGHT[:m]
+    order = np.argsort(n, kind="stable")  # windows of like lengths together: little is padded
+    for i in range(0, len(order), at_once):
+        w = order[i : i + at_once]
+        e = net.scores(_cells(cls, begins, sizes, text[w], start[w], int(n[w[-1]])))
+        for k, (p, m, s) in enumerate(zip(at[w].tolist(), n[w].tolist(), start[w].tolist())):
+            # a window has its full say at the text's own ends
+            weight = _WEIGHT[:m] if m == WIDTH else np.maximum(_WEIGHT[:m], np.arange(m) >= WIDTH - STRIDE if s else 1)
+            total[:, p : p + m] += e[:, k, :m] * weight
+            times[p : p + m] += weight
     total /= times
     return net.best(total, sizes)
 
@@ -454,14 +462,23 @@ def find(net: Tagger, texts: list[str | None]) -> list[list[tuple[str, int, int]
     owner = np.repeat(np.arange(len(parts)), sizes)
     turn = np.flatnonzero(np.append(True, (tags[1:] != tags[:-1]) | (owner[1:] != owner[:-1])))
     stop = np.append(turn[1:], len(tags))
+    inner = classes()[cp] <= NUMBER
     for a, b in zip(turn[tags[turn] > 0].tolist(), stop[tags[turn] > 0].tolist()):
         while a < b and chr(cp[a]).isspace():
             a += 1
         while b > a and chr(cp[b - 1]).isspace():
             b -= 1
         if b > a:
-            d = int(owner[a])
-            out[d].append((KINDS[tags[a]], int(a - begins[d]), int(b - begins[d])))
+            d, kind = int(owner[a]), KINDS[tags[a]]
+            # a value doesn't end within a run of letters and digits
+            lo, hi = int(begins[d]), int(begins[d] + sizes[d])
+            while a > lo and inner[a] and inner[a - 1] and not tags[a - 1]:
+                a -= 1
+            while b < hi and inner[b - 1] and inner[b] and not tags[b]:
+                b += 1
+            # what the kind's definition rules out is none: an address without its sign, a number without a digit
+            if kind == "secret" or bool((cp[a:b] == 64).any() if kind == "email" else (classes()[cp[a:b]] == NUMBER).any()):
+                out[d].append((kind, int(a - begins[d]), int(b - begins[d])))
     return out
 
 

@@ -65,6 +65,15 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     assert sorted(str(r["token_ids"]) for r in local) == sorted(str(x[3]) for x in want)
 
 
+def test_bpe_of_a_very_long_text_of_distinct_words(spark):
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcdefgéß") for _ in range(rng.randrange(2, 12))) for _ in range(60_000))
+    rows = [(1, text), (1, text), (2, None)]
+    out = bpe.decode(bpe.encode(docs(spark, rows), block_chars=100_000)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in out) == [(1, text), (1, text), (2, "")]
+    assert [r["token_ids"] for r in out if r["doc_id"] == 1][0] == bpe.encoding(bpe.load_ranks()).encode_ordinary(text)
+
+
 def test_pretokens_follow_the_pattern():
     import regex
 
@@ -242,6 +251,17 @@ def test_preferences(spark):
     assert chat.preferences(frame([]), frame(other)).count() == 0
 
 
+def test_preferences_of_very_long_texts(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    long = "wörd " * 60_000
+    base = [(1, 0, "user", long), (1, 1, "assistant", long + "a"), (1, 1, "assistant", long + "a")]
+    other = [(1, 0, "user", long), (1, 1, "assistant", long + "b"), (1, 2, "assistant", long)]
+    r = chat.preferences(spark.createDataFrame(base, schema), spark.createDataFrame(other, schema)).first()
+    assert r["n_common"] == 1 and r["prompt"].count("wörd") == 60_000
+    assert [r["chosen"][s["start"] : s["end"]] for s in r["chosen_mask"]] == [long + "a<|im_end|>"] * 2
+    assert [r["rejected"][s["start"] : s["end"]] for s in r["rejected_mask"]] == [long + "b<|im_end|>", long + "<|im_end|>"]
+
+
 # ---- 6 Huffman
 def test_huffman_lengths_are_optimal_and_limited():
     import heapq
@@ -288,6 +308,27 @@ def test_huffman_round_trip_and_checkpoints(spark):
     assert huffman.encode(df.limit(0), huffman.Code.of(huffman.count_ids(df.limit(0)))).count() == 0
 
 
+def test_huffman_of_a_document_of_several_blocks(spark):
+    rng = random.Random(16)
+    ids = [int(rng.expovariate(0.01)) for _ in range(2 * huffman.BLOCK_TOKENS + 77)]
+    df = spark.createDataFrame([(1, ids), (1, ids[:5])], "doc_id bigint, token_ids array<int>")
+    code = huffman.Code.of(huffman.count_ids(df))
+    out = huffman.decode(huffman.encode(df, code), code).collect()
+    assert [r["n_tokens"] for r in sorted(out, key=lambda r: (-r["n_tokens"], r["block"]))] == [huffman.BLOCK_TOKENS, huffman.BLOCK_TOKENS, 77, 5]
+    long = sorted((r for r in out if r["n_tokens"] != 5), key=lambda r: r["block"])
+    assert [i for r in long for i in r["token_ids"]] == ids
+
+
+def test_huffman_query_gives_the_ids_back(spark, tmp_path):
+    from lahja.llm import queries
+
+    rows = [(1, "one two two three"), (2, None), (3, ""), (4, "été " * 50)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    enc = bpe.encoding(bpe.load_ranks())
+    got = {r["doc_id"]: r["token_ids"] for r in queries.op6_token_huffman(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else enc.encode_ordinary(t) for i, t in rows}
+
+
 # ---- 7 line dedup
 def brute_lines(rows, tau=2, per=12):
     inst = [((i is None, i or 0, n), x) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if x.strip()]

@@ -58,3 +58,22 @@ def test_pipeline_of_empty_tables_and_its_columns(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, columns named as those inside: each stage keeps what it has no ground to drop."""
+    sf = fixture(spark, tmp_path / "c", [], [(0, "alpha beta gamma delta epsilon zeta eta theta iota kappa")])
+    rng = random.Random(21)
+    long = " ".join(rng.choice(SPOKEN["fr"].split()) + str(rng.randrange(999)) for _ in range(30_000))
+    own = [(1, long), (1, long), (None, "le la des une maison"), (None, "le la des une maison"), (None, "autre chose ici même"), (2, None), (3, ""), (4, "x alpha beta gamma delta epsilon zeta eta theta iota kappa y")]
+    rows = [(i, t, "fr", "s", 1, "f", 2, "r", "k", 3) for i, t in own]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, uid int, row string, key string, cell int")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        kept[name] = sorted(str((r["doc_id"], (r["text"] or "")[:9])) for r in out.collect())
+    say = lambda *which: sorted(str((i, (t or "")[:9])) for k, (i, t) in enumerate(own) if k in which)
+    assert kept["exact dedup"] == say(0, 2, 4, 5, 6, 7) == kept["n-gram Jaccard join"]
+    assert kept["benchmark decontamination"] == say(0, 1, 2, 3, 4, 5, 6)
+    assert not {str((2, "")), str((3, ""))} & set(kept["language ID"])
