@@ -215,10 +215,11 @@ def chunk_lines(lines: DataFrame, group: str, order: list[str], text: str, targe
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = (words if words is not None else count_words(F.col(text))).cast("bigint")
-    keyed = lines.select(F.col(group).alias("g"), F.struct(*[F.col(c).alias(c) for c in order]).alias("first"), F.col(text).alias("t"), n.alias("n")).where("n > 0")
-    # numbered as they are written: the order stays what it is, whatever key the lines share
-    placed = keyed.repartitionByRange(parts, "g", "first").sortWithinPartitions("g", "first")
-    rows = materialize(placed.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "lines")
+    # words are counted behind the shuffle, which samples what lies before it; lines are numbered as they are written, so that the
+    # order stays what it is, whatever key they share
+    own = lines.select("*", F.col(group).alias("__g"), F.struct(*[F.col(c).alias(c) for c in order]).alias("__first")).repartitionByRange(parts, "__g", "__first").sortWithinPartitions("__g", "__first")
+    placed = own.select(F.col("__g").alias("g"), F.col("__first").alias("first"), F.col(text).alias("t"), n.alias("n"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"))
+    rows = materialize(placed, "lines").where("n > 0")
     kind, key = rows.schema["g"].dataType.simpleString(), rows.schema["first"].dataType.simpleString()
     ordered = lambda df: df.repartition(parts, "part").sortWithinPartitions("part", "pos")
     lists = ", ".join(f"{c} array<bigint>" for c in ("end0", "ended0", "end1", "ended1"))
