@@ -8,7 +8,8 @@ weights are the same on every run. Kinds: e-mail, phone, IP address, payment car
 number), secret (keys, tokens, passwords). Names, streets and values that are spelled out are none of them.
 
 A text is covered by overlapping windows of WIDTH characters at every STRIDE, however long it is; every window goes through the
-network. Where windows overlap, their scores are averaged, with less weight towards a window's edge, and one Viterbi decoding runs over the whole text, so that
+network. A window that ends with its text before WIDTH has up to TAIL more characters PAD, as in training; no
+score depends on which other texts are read at the same time. Where windows overlap, their scores are averaged, with less weight towards a window's edge, and one Viterbi decoding runs over the whole text, so that
 transitions cross all seams. Most characters are certainly "none": no run of other tags through them could gain more than
 it loses, whatever the transitions (a bound by running sums). The rest is decoded between them, which is exactly the best path of
 the whole text; a test holds it against all paths.
@@ -36,6 +37,8 @@ KINDS = ("none", "email", "phone", "ip", "card", "account", "secret")
 #: Windows of decoding, and those of training, which are shorter so that there are more steps.
 WIDTH, STRIDE = 512, 448
 FIT_WIDTH, FIT_STRIDE = 256, 192
+#: Characters PAD that follow a text's end within its last window.
+TAIL = 16
 HIDDEN = 16
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _MARKS = " \n\t.@+-()\"'=:/_,#%&*$!|;?<>[]{}"
@@ -66,6 +69,22 @@ def _sig(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+#: exp(-x) is the 32nd power of the cubic at -x/32, which is v * v * v + _LINEAR * v + 1/3 of v = _ONE + _SLOPE * x: passes of sums and products only, some times
+#: faster than numpy's exp and tanh. Gates come out within 1e-5 as long as x is within FAR of 0.
+_ONE, _SLOPE, _LINEAR, FAR = np.float32(6 ** (-1 / 3)), -(6 ** (-1 / 3)) / 32, np.float32(3 * 6 ** (-2 / 3)), 64
+
+
+def _plus_exp(v: np.ndarray, room: np.ndarray) -> None:
+    """1 + exp(-x) in place of v."""
+    np.multiply(v, v, out=room)
+    room += _LINEAR
+    v *= room
+    v += np.float32(1 / 3)
+    for _ in range(5):
+        np.multiply(v, v, out=v)
+    v += np.float32(1)
+
+
 class Tagger:
     """wx: class to gates, wh: hidden to gates (input, forget, output, candidate), for both directions; out, bias: to tags; move, begin: CRF."""
 
@@ -109,33 +128,58 @@ class Tagger:
         h = np.concatenate([f, b], 2)
         return h @ self.p["out"] + self.p["bias"], h, sf, sb
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Emissions [tags, B, T] for decoding: gates lie in rows, nothing is kept for a way back."""
-        n, (b, t) = self.hidden, x.shape
-        total = np.empty((t, len(self.p["bias"]), b), np.float32)
-        total[:] = self.p["bias"][:, None]
-        half = np.where(np.arange(4 * n) < 3 * n, np.float32(0.5), np.float32(1))[:, None]
-        xt = np.ascontiguousarray(x.T).astype(np.intp)
-        z, u = np.empty((4 * n, b), np.float32), np.empty((4 * n, b), np.float32)
-        tc, ig = np.empty((n, b), np.float32), np.empty((n, b), np.float32)
-        for d, out in (("f", self.p["out"][:n].T.copy()), ("b", self.p["out"][n:].T.copy())):
-            wx, wh = (self.p["wx" + d].T * half).copy(), (self.p["wh" + d].T * half).copy()
-            h, c = np.zeros((n, b), np.float32), np.zeros((n, b), np.float32)
-            for k in range(t) if d == "f" else range(t - 1, -1, -1):
-                np.take(wx, xt[k], 1, out=z, mode="clip")
-                np.matmul(wh, h, out=u)
-                z += u
-                np.tanh(z, out=z)
-                gates = z[: 3 * n]
-                gates *= 0.5
-                gates += 0.5
-                c *= z[n : 2 * n]
-                np.multiply(z[:n], z[3 * n :], out=ig)
-                c += ig
-                np.tanh(c, out=tc)
-                np.multiply(z[2 * n : 3 * n], tc, out=h)
-                total[k] += out @ h
-        return np.ascontiguousarray(total.transpose(1, 2, 0))
+    def scores(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Emissions [B, T, tags] for decoding, without the bias; zeros follow the tags up to a multiple of 8.
+
+        Windows x come longest first, sizes are their lengths; each takes as many steps as it has characters, whatever it lies with. Both
+        directions go in one step, the way back from each window's own end. Weights and states are scaled so that gates leave the products
+        as ``_plus_exp`` takes them."""
+        n, (b, t), k = self.hidden, x.shape, len(self.p["bias"])
+        by = np.where(np.arange(4 * n) < 3 * n, 1, 2) * _SLOPE  # tanh(z) is 2 sigma(2 z) - 1
+        parts = [[(self.p[w + d] * by).reshape(-1, 4, n).transpose(1, 0, 2) for d in "fb"] for w in ("wx", "wh")]
+        reach = float((np.abs(parts[0]).max(2) + np.abs(parts[1]).sum(2)).max()) / -_SLOPE
+        table = (np.stack(parts[0], 1) + _ONE).astype(np.float32).reshape(-1, n)
+        wh, out = (2 * np.stack(parts[1], 1)).astype(np.float32), np.pad(2 * self.p["out"].reshape(2, n, k), ((0, 0), (0, 0), (0, -k % 8)))
+        place = (np.arange(8) * N_CLASSES).reshape(4, 2, 1)
+        back = np.maximum(sizes[:, None] - 1 - np.arange(t), 0)
+        steps = np.stack([x.T, np.take_along_axis(x, back, 1).T], 1).astype(np.intp)
+        live = np.searchsorted(-sizes, -np.arange(t), "left").tolist()
+        e = np.zeros((t, 2, b, out.shape[2]), np.float32)
+        room = [np.zeros(i * b * n, np.float32) for i in (8, 8, 2, 2, 2)]
+        unit, half, slope = np.float32(1), np.float32(0.5), np.float32(2 * _SLOPE)
+        low, high, most = np.float32(_ONE + FAR * _SLOPE), np.float32(_ONE - FAR * _SLOPE), np.float32(-20 * _SLOPE)
+        h = c = room[3].reshape(2, b, n)
+        m = 0
+        for i in range(t):
+            if live[i] != m:  # shorter windows are over
+                m = live[i]
+                old, (z, u, v, h, c) = (h[:, :m].copy(), c[:, :m].copy()), (r[: len(r) // b * m].reshape(-1, 2, m, n) for r in room)
+                v, h, c = v[0], h[0], c[0]
+                h[:], c[:] = old
+            np.take(table, steps[i, :, :m] + place, 0, out=z, mode="clip")
+            np.matmul(h, wh, out=u)
+            z += u
+            if reach > FAR:
+                np.clip(z, low, high, out=z)
+            _plus_exp(z, u)
+            gates, g = z[:3], z[3]  # input, forget, output; candidate
+            np.divide(unit, gates, out=gates)
+            np.divide(2 * slope, g, out=g)
+            g -= slope
+            g *= z[0]
+            c *= z[1]
+            c += g
+            np.clip(c, -most, most, out=v)  # where tanh is 1
+            v += _ONE
+            _plus_exp(v, g)
+            np.divide(unit, v, out=v)
+            v -= half  # states and cells are halves, so that no pass doubles them
+            np.multiply(v, z[2], out=h)
+            np.matmul(h, out, out=e[i, :, :m])
+        e, own = e.reshape(t * 2 * b, -1), np.arange(b)[:, None]
+        both = e.take(np.arange(t) * (2 * b) + own, 0)
+        both += e.take(back * (2 * b) + (own + b), 0)
+        return both
 
     def certain(self, e: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Whether a character is "none" on every best path; head marks the first one of each text.
@@ -428,25 +472,38 @@ def trained(texts: int = 900, seed: int = 1) -> Tagger:
 _WEIGHT = np.minimum(1, (1 + np.minimum(np.arange(WIDTH), WIDTH - 1 - np.arange(WIDTH))) / (WIDTH - STRIDE)).astype(np.float32) ** 4
 
 
-def tags_of(net: Tagger, cp: np.ndarray, sizes: np.ndarray, at_once: int = 384) -> np.ndarray:
-    """Tag of each character of texts that lie one after another in cp."""
+def emissions_of(net: Tagger, cp: np.ndarray, sizes: np.ndarray, at_once: int = 1152) -> np.ndarray:
+    """Averaged scores [tags, characters] of texts that lie one after another in cp. A text's don't depend on the others, nor on at_once."""
     begins = np.cumsum(sizes) - sizes
     text, start = windows(sizes, WIDTH, STRIDE)
     cls = char_classes(cp)
-    total, times = np.zeros((len(net.p["bias"]), len(cp)), np.float32), np.zeros(len(cp), np.float32)
+    tags = len(net.p["bias"])
+    total, times = np.zeros((len(cp), tags + -tags % 8), np.float32), np.zeros(len(cp), np.float32)
+    say = np.repeat(_WEIGHT[:, None], total.shape[1], 1)
     at = begins[text] + start
     n = np.minimum(WIDTH, sizes[text] - start)
-    order = np.argsort(n, kind="stable")  # windows of like lengths together: little is padded
-    for i in range(0, len(order), at_once):
-        w = order[i : i + at_once]
-        e = net.scores(_cells(cls, begins, sizes, text[w], start[w], int(n[w[-1]])))
-        for k, (p, m, s) in enumerate(zip(at[w].tolist(), n[w].tolist(), start[w].tolist())):
+    steps = np.minimum(WIDTH, n + TAIL)
+    order = np.argsort(-steps, kind="stable")
+    each = max(1, -(-len(order) // max(1, -(-len(order) // at_once))))
+    for i in range(0, len(order), each):
+        w = order[i : i + each]
+        e = net.scores(_cells(cls, begins, sizes, text[w], start[w], int(steps[w[0]])), steps[w])
+        for own, p, m, s in zip(e, at[w].tolist(), n[w].tolist(), start[w].tolist()):
             # a window has its full say at the text's own ends
-            weight = _WEIGHT[:m] if m == WIDTH else np.maximum(_WEIGHT[:m], np.arange(m) >= WIDTH - STRIDE if s else 1)
-            total[:, p : p + m] += e[:, k, :m] * weight
-            times[p : p + m] += weight
-    total /= times
-    return net.best(total, sizes)
+            weight = say[:m] if m == WIDTH else np.maximum(say[:m], np.arange(m)[:, None] >= WIDTH - STRIDE if s else 1)
+            own = own[:m]
+            own *= weight
+            total[p : p + m] += own
+            times[p : p + m] += weight[:, 0]
+    e = np.ascontiguousarray(total.T[:tags])
+    e /= times
+    e += net.p["bias"][:, None]
+    return e
+
+
+def tags_of(net: Tagger, cp: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Tag of each character of texts that lie one after another in cp."""
+    return net.best(emissions_of(net, cp, sizes), sizes)
 
 
 def find(net: Tagger, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -445,6 +446,48 @@ def test_best_path_of_a_text_is_the_best_of_all_paths():
             at += n
 
 
+def test_pii_scores_are_those_of_the_plain_network():
+    """Decoding has its own gates, both ways in one step and windows of several lengths; also with weights that reach far."""
+    x = np.linspace(-pii.FAR, pii.FAR, 4001)
+    v = (pii._ONE + pii._SLOPE * x).astype(np.float32)
+    pii._plus_exp(v, np.empty_like(v))
+    assert np.abs(1 / v - 1 / (1 + np.exp(-x))).max() < 2e-5
+    rng = np.random.default_rng(2)
+    sizes = np.array([40, 40, 25, 7, 1])
+    cells = rng.integers(0, pii.N_CLASSES, (len(sizes), 40)).astype(np.uint8)
+    for big in (1, 100):
+        net = pii.Tagger(4)
+        net.p |= {k: v * np.float32(big) for k, v in net.p.items() if k[:2] == "wx"}
+        got = net.scores(cells, sizes)
+        for i, n in enumerate(sizes.tolist()):
+            want = net.emissions(cells[i : i + 1, :n])[0][:, 0] - net.p["bias"]
+            assert np.abs(got[i, :n, : len(pii.KINDS)] - want).max() < 1e-3
+
+
+def _scores(net, texts):
+    """What the decoding of texts gets."""
+    kept = []
+    net.best = lambda e, sizes: kept.append(e.copy()) or np.zeros(e.shape[1], np.uint8)
+    pii.tags_of(net, pii.codes("".join(texts)), np.array([len(t) for t in texts]))
+    return kept[0]
+
+
+def test_pii_scores_of_a_text_do_not_depend_on_others():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab 12.@-") for _ in range(n)) for n in (100, 512, 3, 1500, 470, 960, 1)]
+    net = pii.Tagger(3)
+    together = _scores(net, texts)
+    alone = np.concatenate([_scores(net, [t]) for t in texts], 1)
+    assert np.abs(together - alone).max() < 1e-3
+
+
+def test_pii_decoding_needs_no_tanh_or_exp(monkeypatch):
+    """These were half of its CPU seconds; clocks are too unsteady for a test."""
+    for name in ("tanh", "exp"):
+        monkeypatch.setattr(np, name, None)
+    assert np.isfinite(_scores(pii.Tagger(3), ["ab 12.@-" * 100, "", "c"])).all()
+
+
 def test_a_tagger_is_fitted_from_given_spans():
     texts = [(f"aa {x} bb cc {x} dd", [("card", 3, 7), ("card", 14, 18)]) for x in ("1234", "5678", "9012", "3456")] * 20
     net = pii.fit(texts, epochs=30, batch=16)
