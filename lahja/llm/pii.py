@@ -74,6 +74,17 @@ def _sig(x: np.ndarray) -> np.ndarray:
 _ONE, _SLOPE, _LINEAR, FAR = np.float32(6 ** (-1 / 3)), -(6 ** (-1 / 3)) / 32, np.float32(3 * 6 ** (-2 / 3)), 64
 
 
+_SCRATCH: dict[str, np.ndarray] = {}
+
+
+def _scratch(name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+    """An array with anything in it, on pages that the process has already: fresh ones for every batch cost CPU seconds."""
+    size = int(np.prod(shape))
+    if name not in _SCRATCH or len(_SCRATCH[name]) < size:
+        _SCRATCH[name] = np.empty(size, kind)
+    return _SCRATCH[name][:size].reshape(shape)
+
+
 def _plus_exp(v: np.ndarray, room: np.ndarray) -> None:
     """1 + exp(-x) in place of v."""
     np.multiply(v, v, out=room)
@@ -129,7 +140,7 @@ class Tagger:
         return h @ self.p["out"] + self.p["bias"], h, sf, sb
 
     def scores(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Emissions [B, T, tags] for decoding, without the bias; zeros follow the tags up to a multiple of 8.
+        """Emissions [B, T, tags] for decoding, without the bias, up to the next call; zeros follow the tags up to a multiple of 8.
 
         Windows x come longest first, sizes are their lengths; each takes as many steps as it has characters, whatever it lies with. Both
         directions go in one step, the way back from each window's own end. Weights and states are scaled so that gates leave the products
@@ -144,12 +155,13 @@ class Tagger:
         back = np.maximum(sizes[:, None] - 1 - np.arange(t), 0)
         steps = np.stack([x.T, np.take_along_axis(x, back, 1).T], 1).astype(np.intp)
         live = np.searchsorted(-sizes, -np.arange(t), "left").tolist()
-        e = np.zeros((t, 2, b, out.shape[2]), np.float32)
-        room = [np.zeros(i * b * n, np.float32) for i in (8, 8, 2, 2, 2)]
+        e = _scratch("e", t, 2, b, out.shape[2])
+        room = [_scratch(f"room{i}", k * b * n) for i, k in enumerate((8, 8, 2, 2, 2))]
+        room[3][:] = room[4][:] = 0
         unit, half, slope = np.float32(1), np.float32(0.5), np.float32(2 * _SLOPE)
-        low, high, most = np.float32(_ONE + FAR * _SLOPE), np.float32(_ONE - FAR * _SLOPE), np.float32(-20 * _SLOPE)
-        h = c = room[3].reshape(2, b, n)
-        m = 0
+        low, high, most = np.float32(_ONE + FAR * _SLOPE), np.float32(_ONE - FAR * _SLOPE), np.float32(-40 * _SLOPE)
+        h, c = room[3].reshape(2, b, n), room[4].reshape(2, b, n)
+        m, far = 0, False
         for i in range(t):
             if live[i] != m:  # shorter windows are over
                 m = live[i]
@@ -169,16 +181,24 @@ class Tagger:
             g *= z[0]
             c *= z[1]
             c += g
-            np.clip(c, -most, most, out=v)  # where tanh is 1
-            v += _ONE
+            if i % 8 == 0:  # a cell grows by 1 a step at most
+                far = float(np.abs(c, out=v).max()) > 0.4 * most
+            if far:
+                np.clip(c, -most, most, out=v)  # where tanh is 1
+                v += _ONE
+            else:
+                np.add(c, _ONE, out=v)
             _plus_exp(v, g)
             np.divide(unit, v, out=v)
             v -= half  # states and cells are halves, so that no pass doubles them
             np.multiply(v, z[2], out=h)
             np.matmul(h, out, out=e[i, :, :m])
         e, own = e.reshape(t * 2 * b, -1), np.arange(b)[:, None]
-        both = e.take(np.arange(t) * (2 * b) + own, 0)
-        both += e.take(back * (2 * b) + (own + b), 0)
+        both, other, at = _scratch("both", b, t, out.shape[2]), _scratch("other", b, t, out.shape[2]), _scratch("at", b, t, kind=np.intp)
+        np.take(e, np.add(np.arange(t) * (2 * b), own, out=at), 0, out=both, mode="clip")
+        back *= 2 * b
+        np.take(e, np.add(back, own + b, out=at), 0, out=other, mode="clip")
+        both += other
         return both
 
     def certain(self, e: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -472,7 +492,7 @@ def trained(texts: int = 900, seed: int = 1) -> Tagger:
 _WEIGHT = np.minimum(1, (1 + np.minimum(np.arange(WIDTH), WIDTH - 1 - np.arange(WIDTH))) / (WIDTH - STRIDE)).astype(np.float32) ** 4
 
 
-def emissions_of(net: Tagger, cp: np.ndarray, sizes: np.ndarray, at_once: int = 1152) -> np.ndarray:
+def emissions_of(net: Tagger, cp: np.ndarray, sizes: np.ndarray, at_once: int = 1280) -> np.ndarray:
     """Averaged scores [tags, characters] of texts that lie one after another in cp. A text's don't depend on the others, nor on at_once."""
     begins = np.cumsum(sizes) - sizes
     text, start = windows(sizes, WIDTH, STRIDE)
