@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .normalize import count_words, nfkc, normalize, squeeze
+from . import batch
+from .normalize import count_words, normalize, squeeze
 from ..sources.entities import ENTITIES, PREFIXES, SUFFIXES
 
 #: (pattern, replacement) in order; the template step is unrolled, as one that finds nothing changes nothing.
@@ -67,9 +69,14 @@ def entity_of(token: Column) -> Column:
     return F.when(own.isin(*ENTITIES), own).when(stem(own).isin(*ENTITIES), stem(own))
 
 
+_without_entities = F.arrow_udf(batch.without_entities, StringType())
+
+
 def strip_entities(text: Column, compose: bool = True) -> Column:
     """Words that name entities go; the rest, in NFKC, is joined by blanks."""
-    words = F.split(squeeze(nfkc(text) if compose else F.coalesce(text, F.lit(""))), " ")
+    if compose:
+        return _without_entities(text)
+    words = F.split(squeeze(F.coalesce(text, F.lit(""))), " ")
     return F.array_join(F.filter(words, lambda w: ~is_entity(w)), " ")
 
 

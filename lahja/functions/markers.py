@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from . import batch
 
 _B, _E = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
 _LETTERS = "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
@@ -62,21 +65,26 @@ def describe(hits: DataFrame) -> DataFrame:
     return out.withColumns({"label": F.coalesce("label", "gloss", "marker"), "category_label": F.coalesce("category_label", "category")}).select(*hits.columns, "gloss", "decides", "label", "category_label")
 
 
+_facts = F.arrow_udf(batch.marker_facts, ArrayType(IntegerType()))
+
+
 def counts(normal: Column) -> Column:
     """array<struct<marker, category, n>> of the markers that occur; for text in standard normal form."""
-    own = [F.struct(F.lit(n).alias("marker"), F.lit(MARKERS[n][1]).alias("category"), F.regexp_count(normal, F.lit(pattern(n))).alias("n")) for n in MARKERS]
+    own = [F.struct(F.lit(n).alias("marker"), F.lit(MARKERS[n][1]).alias("category"), _facts(normal)[i].alias("n")) for i, n in enumerate(MARKERS)]
     return F.filter(F.array(*own), lambda x: x["n"] > 0)
 
 
 def n_discriminant(normal: Column) -> Column:
     """How many markers that decide occur."""
-    return sum((normal.rlike(pattern(n)).cast("int") for n in sorted(DISCRIMINANT)), F.lit(0))
+    return sum(((_facts(normal)[i] > 0).cast("int") for i, n in enumerate(MARKERS) if n in DISCRIMINANT), F.lit(0))
 
 
 def rates(normal: Column, per: int = 10_000) -> Column:
     """array<struct<marker, rate>> per so many words; [] without words."""
-    words = F.size(F.filter(F.split(normal, " "), lambda w: w != ""))
-    return F.when(words > 0, F.transform(counts(normal), lambda x: F.struct(x["marker"].alias("marker"), F.round(per * x["n"] / words, 2).alias("rate")))).otherwise(F.array().cast("array<struct<marker:string,rate:double>>"))
+    words = _facts(normal)[len(MARKERS)]
+    own = [F.struct(F.lit(n).alias("marker"), F.round(per * _facts(normal)[i] / words, 2).alias("rate"), _facts(normal)[i].alias("n")) for i, n in enumerate(MARKERS)]
+    found = F.filter(F.array(*own), lambda x: x["n"] > 0)
+    return F.when(words > 0, F.transform(found, lambda x: F.struct(x["marker"].alias("marker"), x["rate"].alias("rate")))).otherwise(F.array().cast("array<struct<marker:string,rate:double>>"))
 
 
 def score(found: Column, n_words: Column, modern: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .normalize import script_ratio, strip_diacritics, strip_tatweel
+from .normalize import letter_facts, script_ratio, strip_diacritics, strip_tatweel
 
 #: Keys of several characters; the quoted digits are what follows a bare digit's letter.
 QUOTED = dict(zip("32679", "غءظخظ"))
@@ -22,6 +22,7 @@ elli enti entouma enty ey fama famma hakka hiya houma houwa ken kifach labas lab
 ya3ni yaani yezzi""".split()))
 FRENCH = tuple(sorted("""aussi avec avoir bien bon bonjour chez dans de des du elle elles est et etre faire fait il ils je la le les mais meme merci
 nous on ou pas plus pour que qui quoi salut sans sont sur tous tout toute tres tu un une voila vous was même très voilà être""".split()))
+STOPWORDS_SET, FRENCH_SET = frozenset(STOPWORDS), frozenset(FRENCH)
 LATIN_DOMINANT, ARABIZI = 0.60, 0.15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CONSONANT = "[\\p{L}2-9&&[^aeiou]]"
@@ -54,10 +55,8 @@ def to_arabizi(text: Column) -> Column:
 
 def arabizi_score(text: Column) -> Column:
     """Words with a digit between letters, or known function words, among all; 0 to 1."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))
-    n = F.size(words)
-    digits = F.size(F.filter(words, lambda w: w.rlike("[a-z][2-9]|[2-9]'?[a-z]")))
-    stops = F.size(F.filter(words, lambda w: w.isin(*STOPWORDS)))
+    found = letter_facts(text)
+    n, digits, stops = found[3], found[4], found[5]
     return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(digits / n * 3.0, stops / n * 2.5)))
 
 

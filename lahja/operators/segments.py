@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.normalize import WHITE
+from ..functions import batch
 from ..functions.translit import FRENCH, STOPWORDS
 
 _AR = "[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]"
 _LA = "[A-Za-z\\x{C0}-\\x{FF}0-9']"
 #: Possessive loops: Java's regex recurses on others, and a run may have any number of words.
 RUN = f"{_AR}++(?:[\\s\\x{{064B}}-\\x{{065F}}]+{_AR}++)*+|{_LA}++(?:[ \\t]++{_LA}++)*+|[^\\s]++"
+#: ``batch`` says the same of a whole text, word by word.
 SMOOTH = "(?:^u++)?(?:(?:fu*+)++|(?:au*+)++)|^u++$"
 ACCENT = "[àâäçéèêëîïôöùûüÿœæ]"
 LETTER_DIGIT = "[a-zà-ÿ][2-9]|[2-9]'?[a-zà-ÿ]"
@@ -46,24 +47,12 @@ def _script(run: Column) -> Column:
     return F.when(run.rlike(f"^{_AR}"), F.lit("arabic")).when(run.rlike(f"^{_LA}"), F.lit("latin")).otherwise(F.lit("other"))
 
 
-def _word_counts(text: Column) -> Column:
-    """struct of word counts by language."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN), F.lit(0))
-    none = F.struct(*[F.lit(0).alias(x) for x in LANGS])
-
-    def of_run(run: Column) -> Column:
-        latin = F.transform(_islands(run), lambda c: F.struct(_lang(c).alias("lang"), F.length(c).alias("n")))
-        arabic = F.array(F.struct(F.lit("ar").alias("lang"), F.size(F.filter(F.split(run, WHITE), lambda w: w != "")).alias("n")))
-        other = F.when(run.rlike("^[\\p{P}\\p{S}\\p{Z}]+$"), F.array().cast("array<struct<lang:string,n:int>>")).otherwise(F.array(F.struct(F.lit("unknown").alias("lang"), F.lit(1).alias("n"))))
-        return F.when(_script(run) == "latin", latin).when(_script(run) == "arabic", arabic).otherwise(other)
-
-    found = F.flatten(F.transform(runs, of_run))
-    return F.aggregate(found, none, lambda a, x: F.struct(*[(a[k] + F.when(x["lang"] == k, x["n"]).otherwise(0)).alias(k) for k in LANGS]))
+_language_facts = F.arrow_udf(batch.language_facts, ArrayType(IntegerType()))
 
 
 def profile(text: Column) -> Column:
     """struct<ar, fr, arabizi, unknown>: shares of the words; all 0 without words."""
-    n = _word_counts(text)
+    n = {k: _language_facts(text)[i] for i, k in enumerate(LANGS)}
     total = n["ar"] + n["fr"] + n["arabizi"] + n["unknown"]
     return F.struct(*[F.when(total > 0, F.round(n[k] / total, 4)).otherwise(F.lit(0.0)).alias(k) for k in LANGS])
 

@@ -206,7 +206,7 @@ def marker_labels(spark, sf):
 
 def found(spark, sf) -> DataFrame:
     """(doc_id, found, words): generated as rows and gathered within the row's task, so that no expression repeats the scan."""
-    own = normal(arabic(spark, sf)).select("doc_id", F.explode(F.array(M.counts(F.col("n")))).alias("found"), N.count_words(F.col("n"), compose=False).alias("words"))
+    own = normal(arabic(spark, sf)).select("doc_id", F.explode(F.array(M.counts(F.col("n")))).alias("found"), N.words_of(F.col("n")).alias("words"))
     return own
 
 
