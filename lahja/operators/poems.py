@@ -67,7 +67,7 @@ def write_corpus(entries: DataFrame, out: str, source: str) -> None:
     """<out>/corpus.jsonl, <out>/corpus.csv and <out>/report.json (folders), entries sorted by genre, id and the text's beginning."""
     own = entries.withColumn("source", F.lit(source)).select(*COLUMNS).sort("genre", F.coalesce("uid", F.lit("")), F.substring("text", 1, 40))
     own.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/corpus.jsonl")
-    own.withColumn("modes", F.array_join("modes", "|")).write.mode("overwrite").option("escape", '"').csv(f"{out}/corpus.csv", header=True)
+    own.withColumn("modes", F.array_join("modes", "|")).write.mode("overwrite").options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{out}/corpus.csv", header=True)
     report_json(entries, source).coalesce(1).write.mode("overwrite").text(f"{out}/report.json")
 
 

@@ -92,7 +92,7 @@ def odd_files(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["staged_csv_text", "staged_text_lines", "staged_tsv_last"])
+@pytest.mark.parametrize("name", ["staged_csv_text", "staged_text_lines", "corpus_csv", "staged_tsv_last", "staged_json_text", "corpus_jsonl", "poem_dedup", "corpus_report"])
 def test_odd_lines_come_back_from_files(spark, odd_files, name):
     got = catalogue.queries()[name](spark, odd_files)
     con = duckdb.connect()
