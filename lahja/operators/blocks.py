@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import WHITE, count_words, squeeze
+from ..functions import batch
+from ..functions.normalize import count_words, squeeze
 from ..storage import materialize
 
 TARGET = 60
@@ -27,32 +28,15 @@ def lines_of(text: Column) -> Column:
     return F.split(text, LINE_ENDS)
 
 
-def pieces(text: Column, target: int = TARGET) -> Column:
-    """Lines; those of more than ``target`` words are cut every ``target`` words."""
-    rx = f"(?U)[^\\s\\x1C-\\x1F]++(?:[\\s\\x1C-\\x1F]++[^\\s\\x1C-\\x1F]++){{0,{target - 1}}}+"
-
-    def cut(line: Column) -> Column:
-        parts = F.regexp_extract_all(line, F.lit(rx), F.lit(0))
-        return F.when(F.size(parts) <= 1, F.array(line)).otherwise(F.transform(parts, lambda p: F.regexp_replace(p, WHITE, " ")))
-
-    return F.flatten(F.transform(lines_of(text), cut))
-
-
 def document_blocks(text: Column, target: int = TARGET) -> Column:
-    """array<string>: the blocks of one document, as written; words are counted without NFKC, which lambdas can't hold.
-
-    One fold over the pieces."""
-    sized = F.transform(pieces(F.coalesce(text, F.lit("")), target), lambda t: F.struct(t.alias("t"), count_words(t, compose=False).alias("n")))
-    zero = F.struct(F.lit(0).alias("held"), F.lit("").alias("buffer"), F.array().cast("array<string>").alias("out"))
+    """array<string>: the blocks of one document, as written; words are counted without NFKC. Lines of more than ``target`` words are cut every ``target`` words."""
 
-    def step(a: Column, x: Column) -> Column:
-        held = a["held"] + x["n"]
-        now = F.when(a["held"] == 0, x["t"]).otherwise(F.concat(a["buffer"], F.lit("\n"), x["t"]))
-        full = held >= target
-        some = F.struct(F.when(full, 0).otherwise(held).alias("held"), F.when(full, F.lit("")).otherwise(now).alias("buffer"), F.when(full, F.concat(a["out"], F.array(now))).otherwise(a["out"]).alias("out"))
-        return F.when(x["n"] > 0, some).otherwise(a)
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([["\n".join(lines) for lines, _ in batch.block_words(t or "", target)] for t in own], pa.list_(pa.string())) for own in batch.slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
-    return F.aggregate(sized, zero, step, lambda a: F.when(a["held"] >= target // 2, F.concat(a["out"], F.array(a["buffer"]))).otherwise(a["out"]))
+    return run(text)
 
 
 def _table(n: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +75,11 @@ def _edges(target: int):
 
     def run(source: Iterator[pa.RecordBatch]):
         held: dict[int, list[pa.RecordBatch]] = {}
-        for batch in source:
-            parts = batch.column(0).to_numpy()
+        for rows in source:
+            parts = rows.column(0).to_numpy()
             for p in np.unique(parts).tolist():
                 own = np.flatnonzero(parts == p)
-                held.setdefault(p, []).append(batch.slice(int(own[0]), len(own)))
+                held.setdefault(p, []).append(rows.slice(int(own[0]), len(own)))
         for p, batches in held.items():
             table = pa.Table.from_batches(batches).combine_chunks()
             group, n = table.column(2).chunk(0), table.column(3).to_numpy()

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normalize import count_words, normalize
+from ..functions.batch import slices
+from ..functions.normalize import normalize, words_of
 from ..storage import materialize
 
 NGRAM, ALPHA, MAX_FEATURES, MIN_WORDS = 4, 0.5, 60_000, 25
@@ -154,28 +155,16 @@ def raw_score(normal: Column, index: Index, spark: SparkSession) -> Column:
     """Mean weight over the n-grams of text in normal form, unknown ones count 0; null without n-grams."""
     shared = spark.sparkContext.broadcast(index)
 
-    @F.pandas_udf("struct<s:bigint,n:bigint>")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        own = texts.tolist()
-        parts = [shared.value.sums(own[a:b]) for a, b in _cut(own)]
-        return pd.DataFrame({"s": np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]), "n": np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])})
+    @F.arrow_udf("struct<s:bigint,n:bigint>")
+    def scan(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.sums(own) for own in slices(texts)]
+        both = [np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1)]
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in both], ["s", "n"])
 
     found = scan(normal)
     return F.when(found["n"] > 0, found["s"].cast("double") / found["n"] / float(SCALE))
 
 
-def _cut(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about so many characters; a longer text is alone."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > chars:
-            yield first, i
-            first, size = i, 0
-        size += len(t or "")
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def raw_scores(texts: DataFrame, keys: list[str], normal: str, weights: DataFrame | Index, n: int = NGRAM) -> DataFrame:
     """(keys, raw), a row for each row."""
     index = weights if isinstance(weights, Index) else Index.of(weights, n)
@@ -187,21 +176,21 @@ def gram_counts(texts: DataFrame, positive: str, normal: str, n: int = NGRAM) ->
 
     def run(source: Iterator[pa.RecordBatch]):
         for batch in source:
-            flags, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).to_pylist()
-            for a, b in _cut(texts):
-                cp, begins = _codes(texts[a:b])
+            flags, a, b = batch.column(0).to_numpy(zero_copy_only=False).astype(bool), 0, 0
+            for own in slices(batch.column(1)):
+                a, b = b, b + len(own)
+                cp, begins = _codes(own)
                 alphabet = np.unique(cp)
                 if not Windows.fits(n, len(alphabet)):  # a batch of very many characters or long n-grams
-                    own = Windows(cp, begins, 1, alphabet)
                     sizes = np.maximum(np.diff(begins) - n + 1, 0)
                     where = np.arange(int(sizes.sum())) + np.repeat(begins[:-1] - (np.cumsum(sizes) - sizes), sizes)
                     spelled = np.array([cp[i : i + n].tobytes().decode("utf-32-le", "surrogatepass") for i in where.tolist()], object)
                     code, names = pd.factorize(spelled)
                     names = names.tolist()
                 else:
-                    own = Windows(cp, begins, n, alphabet)
-                    sizes, where = own.sizes, own.where
-                    keys, first, code = np.unique(own.key[where], return_index=True, return_inverse=True)
+                    found = Windows(cp, begins, n, alphabet)
+                    sizes, where = found.sizes, found.where
+                    keys, first, code = np.unique(found.key[where], return_index=True, return_inverse=True)
                     at = where[first]
                     body = cp[at[:, None] + np.arange(n)].tobytes().decode("utf-32-le", "surrogatepass")
                     names = [body[i : i + n] for i in range(0, len(body), n)]
@@ -308,7 +297,7 @@ def auc(scores: DataFrame, score: str = "score", positive: str = "p") -> DataFra
 def evaluate(texts: DataFrame, positive: str, text: str, model: Model) -> DataFrame:
     """One row of figures on texts that were held out."""
     own = texts.select(F.monotonically_increasing_id().alias("id"), F.col(positive).alias("p"), normalize(F.col(text)).alias("normal"))
-    own = materialize(own.withColumn("words", count_words(F.col("normal"), compose=False)), "eval")
+    own = materialize(own.withColumn("words", words_of(F.col("normal"))), "eval")
     scores = materialize(raw_scores(own, ["id", "p", "words"], "normal", model.index(), model.n).select("p", "words", model.score(F.col("raw")).alias("score")), "scores")
     t = model.threshold
     short = F.sum((F.col("words") < model.min_words).cast("int"))

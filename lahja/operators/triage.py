@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markers
-from ..functions.normalize import count_words, fold_for_arabizi, normalize, script_ratio, split_words
+from ..functions import batch, markers
+from ..functions.normalize import FOLD_FROM, FOLD_TO, fold_for_arabizi, normalize, script_ratio, words_of
 from ..functions.parsing import position, zone
 from ..functions.translit import prepare
-from .blocks import TARGET, document_blocks
-from .classifier import Model, predict, raw_score
+from .blocks import TARGET
+from .classifier import SCALE, Model, predict, raw_score
 from .segments import profile
 
 MIN_MARKERS, LONG_TEXT = 1, 150
@@ -35,6 +37,55 @@ class Scorer:
         both = texts.withColumns({"__main": of(self.model, main), "__other": of(self.arabizi, other)})
         return both.withColumns({"score": F.when(flag, F.col("__other")).otherwise(F.col("__main")), "threshold": self.pick(flag, lambda m: m.threshold)}).drop("__main", "__other")
 
+    def blocks(self, spark: SparkSession, text: Column, transliterated: Column, target: int = TARGET) -> Column:
+        """struct<n_words, n_normal, n_blocks, n_markers, median, up, scores>: a document's words as written and in normal form, its blocks,
+        the markers that decide, and the blocks' scores with their median and the share that reaches the threshold; within the row."""
+        models = [m and (m.index(), m.lo, m.hi, m.threshold) for m in (self.model, self.arabizi)]
+        shared = spark.sparkContext.broadcast(models)
+        decides = np.array([n in markers.DISCRIMINANT for n in markers.MARKERS])
+        kinds = [pa.int32()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.float64())]
+        fold = str.maketrans(FOLD_FROM, FOLD_TO)
+
+        def scores(m: tuple, texts: list[str]) -> list[float]:
+            index, lo, hi, _ = m
+            if hi <= lo:
+                return [0.0] * len(texts)
+            s, n = index.sums(texts)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                raw = np.where(n > 0, s.astype(np.float64) / n / float(SCALE), lo)
+            return np.maximum(0.0, np.minimum(1.0, (raw - lo) / (hi - lo))).tolist()
+
+        def of(texts: list[str], flags: list[bool]) -> list[pa.Array]:
+            facts, held = [], ([], [])  # held: of either model, its blocks
+            for t, flag in zip(texts, flags):
+                normal = batch.standard_of(t)
+                other = bool(flag) and shared.value[1] is not None
+                own = [batch.standard_of("\n".join(x).translate(fold)) for x, _ in batch.block_words(t, target)] if other else batch.normal_blocks(t, target)
+                first = len(held[other])
+                held[other].extend(own)
+                hits = np.array(batch.marker_counts(normal)) > 0
+                facts.append((len(t.split()), len(normal.split()), len(own), int(hits[decides].sum()), other, first))
+            found = [m and scores(m, h) for m, h in zip(shared.value, held)]
+            columns = [[] for _ in kinds]
+            for *own, other, first in facts:
+                values, at_least = found[other][first : first + own[2]], shared.value[other][3]
+                k, order = len(values), sorted(values)
+                middle = 0.5 * order[(k - 1) // 2] + 0.5 * order[k // 2] if k else None
+                for c, v in zip(columns, (*own, middle, sum(v >= at_least for v in values) / k if k else None, values)):
+                    c.append(v)
+            return [pa.array(c, t) for c, t in zip(columns, kinds)]
+
+        @F.arrow_udf("struct<n_words:int,n_normal:int,n_blocks:int,n_markers:int,median:double,up:double,scores:array<double>>")
+        def run(texts: pa.Array, flags: pa.Array) -> pa.Array:
+            at, parts = 0, []
+            for own in batch.slices(texts):
+                parts.append(of([t or "" for t in own], flags.slice(at, len(own)).to_pylist()))
+                at += len(own)
+            columns = [pa.concat_arrays(c) for c in zip(*parts)] if parts else [pa.array([], t) for t in kinds]
+            return pa.StructArray.from_arrays(columns, ["n_words", "n_normal", "n_blocks", "n_markers", "median", "up", "scores"])
+
+        return run.asNondeterministic()(text, transliterated)  # else a filter on its numbers is pushed below it and runs it twice
+
     def pick(self, transliterated: Column, value) -> Column:
         own = F.lit(value(self.model))
         return own if self.arabizi is None else F.when(transliterated, F.lit(value(self.arabizi))).otherwise(own)
@@ -46,22 +97,19 @@ def triage(docs: DataFrame, id_col: str, text_col: str, scorer: Scorer | Model,
     A document without a block is undecidable, which isn't a rejection; it has null figures."""
     scorer = scorer if isinstance(scorer, Scorer) else Scorer(scorer)
     own = _prepared(docs, id_col, text_col)
-    facts = own.select("__k", "__id", "transliterated", F.size(split_words(F.col("__t"))).alias("n_words"), document_blocks(F.col("__t")).alias("__b"), markers.n_discriminant(normalize(F.col("__t"))).alias("n_markers"))
-    blocks = facts.select("__k", "__id", "transliterated", "n_words", "n_markers", F.size("__b").alias("n_blocks"), F.explode_outer("__b").alias("__block"))
-    scored = scorer.scored(blocks, "__block", "transliterated").withColumn("score", F.when(F.col("n_blocks") > 0, F.col("score")))
-    up = F.avg(F.when(F.col("n_blocks") > 0, (F.col("score") >= F.col("threshold")).cast("double")))
-    kept = ["__id", "transliterated", "n_words", "n_blocks", "n_markers", "threshold"]
-    out = scored.groupBy("__k").agg(*[F.first(c).alias(c) for c in kept], F.median("score").alias("__m"), up.alias("__up"))
-    yes = (F.col("__m") >= F.col("threshold")) & (F.lit(not strict) | (F.col("n_markers") >= MIN_MARKERS))
+    facts = own.select("__id", "transliterated", scorer.blocks(docs.sparkSession, F.col("__t"), F.col("transliterated")).alias("__f"))
+    names = {"n_words": "n_words", "n_blocks": "n_blocks", "n_markers": "n_markers", "median": "__m", "up": "__up"}
+    out = facts.select("__id", "transliterated", *[F.col(f"__f.{k}").alias(v) for k, v in names.items()])
+    yes = (F.col("__m") >= scorer.pick(F.col("transliterated"), lambda m: m.threshold)) & (F.lit(not strict) | (F.col("n_markers") >= MIN_MARKERS))
     verdict = F.when(F.col("n_blocks") == 0, "undecidable").when(yes, "positive").otherwise("other")
     return out.select(F.col("__id").alias(id_col), "n_words", "n_blocks", verdict.alias("verdict"), F.round("__m", 4).alias("median"), F.round(position(F.col("__m")), 4).alias("position"), F.round("__up", 3).alias("share_positive"), F.when(F.col("n_blocks") > 0, F.col("n_markers")).otherwise(0).alias("n_markers"), "transliterated")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__k, __id, __t, transliterated): rows with a number of their own, whatever their ids."""
+    """(__id, __t, transliterated), a row for each row."""
     p = prepare(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.select(F.monotonically_increasing_id().alias("__k"), F.col(id_col).alias("__id"), p.alias("__p"))
-    return own.select("__k", "__id", F.col("__p.text").alias("__t"), F.col("__p.transliterated").alias("transliterated"))
+    own = docs.select(F.col(id_col).alias("__id"), p.alias("__p"))
+    return own.select("__id", F.col("__p.text").alias("__t"), F.col("__p.transliterated").alias("transliterated"))
 
 
 def triage_summary(verdicts: DataFrame) -> DataFrame:
@@ -75,13 +123,11 @@ def block_dispersion(docs: DataFrame, id_col: str, text_col: str, scorer: Scorer
     """(id, n, min, median, max, below_threshold, positions) of texts of ``long_text`` words or more with two blocks at least."""
     scorer = scorer if isinstance(scorer, Scorer) else Scorer(scorer)
     own = _prepared(docs, id_col, text_col)
-    long = own.where(count_words(F.col("__t")) >= long_text)
-    blocks = long.select("__k", "__id", "transliterated", F.explode(document_blocks(F.col("__t"))).alias("__block"))
-    scored = scorer.scored(blocks, "__block", "transliterated")
-    below = F.sum((F.col("score") < F.col("threshold")).cast("int"))
-    spots = F.array_sort(F.collect_list(F.round(position(F.col("score")), 3)))
-    by = scored.groupBy("__k").agg(F.first("__id").alias(id_col), F.count(F.lit(1)).cast("int").alias("n"), F.round(F.min("score"), 4).alias("min"), F.round(F.median("score"), 4).alias("median"), F.round(F.max("score"), 4).alias("max"), below.cast("int").alias("below_threshold"), spots.alias("positions"))
-    return by.where("n >= 2").drop("__k")
+    facts = own.select("__id", "transliterated", scorer.blocks(docs.sparkSession, F.col("__t"), F.col("transliterated")).alias("__f")).select("__id", "transliterated", "__f.*")
+    threshold, scores = scorer.pick(F.col("transliterated"), lambda m: m.threshold), F.col("scores")
+    below = F.size(F.filter(scores, lambda s: s < threshold))
+    spots = F.array_sort(F.transform(scores, lambda s: F.round(position(s), 3)))
+    return facts.where((F.col("n_normal") >= long_text) & (F.col("n_blocks") >= 2)).select(F.col("__id").alias(id_col), F.col("n_blocks").alias("n"), F.round(F.array_min(scores), 4).alias("min"), F.round("median", 4).alias("median"), F.round(F.array_max(scores), 4).alias("max"), below.alias("below_threshold"), spots.alias("positions"))
 
 
 def reply_verdicts(replies: DataFrame, scorer: Scorer | Model, min_markers: int = MIN_MARKERS, order: str | None = None) -> DataFrame:
@@ -93,7 +139,7 @@ def reply_verdicts(replies: DataFrame, scorer: Scorer | Model, min_markers: int
     p = prepare(F.coalesce(F.col("reply"), F.lit("")))
     own = replies.where(F.coalesce("error", F.lit("")) == "").select("prompt_id", "model", "condition", "script", *[c for c in (order,) if c], p.alias("__p"))
     own = own.select("*", F.col("__p.text").alias("__t"), F.col("__p.transliterated").alias("transliterated"), normalize(F.col("__p.text")).alias("__n")).drop("__p")
-    own = own.withColumn("n_words", count_words(F.col("__n"), compose=False))
+    own = own.withColumn("n_words", words_of(F.col("__n")))
     least = scorer.pick(F.col("transliterated"), lambda m: m.min_words)
     ready = (F.col("__t") != "") & (F.col("n_words") >= least)
     out = scorer.scored(own.withColumn("__s", F.when(ready, F.col("__t"))), "__s", "transliterated").withColumn("score", F.when(ready, F.col("score")))
@@ -115,7 +161,7 @@ def measures(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataF
     """One wide row for each text: status (empty, too_short, measured) and what there is to say about it."""
     p = prepare(F.coalesce(F.col(text_col), F.lit("")))
     own = docs.select(F.col(id_col), F.col(text_col).alias("__raw"), p["text"].alias("__t"), p["transliterated"].alias("transliterated"))
-    own = own.withColumn("__n", normalize(F.col("__t"))).withColumn("n_words", count_words(F.col("__n"), compose=False))
+    own = own.withColumn("__n", normalize(F.col("__t"))).withColumn("n_words", words_of(F.col("__n")))
     status = F.when(~F.col("__t").rlike("(?U)[^\\s]"), "empty").when(F.col("n_words") < model.min_words, "too_short").otherwise("measured")
     raw = raw_score(F.when(status == "measured", F.col("__n")), model.index(), docs.sparkSession)
     out = own.withColumn("score", F.when(status == "measured", model.score(raw)))

@@ -90,7 +90,7 @@ def eval_report(spark, sf):
 @query(f"{M}, pw AS (SELECT doc_id, {S.n_words('t')} AS n_words FROM mn) SELECT doc_id, CASE WHEN n_words < 25 THEN NULL WHEN score >= threshold THEN 'fr' ELSE 'es' END AS label, round(CASE WHEN n_words < 25 THEN NULL WHEN score >= threshold THEN 0.5::DOUBLE + 0.5::DOUBLE * (score - threshold) / greatest(1e-9::DOUBLE, 1.0::DOUBLE - threshold) ELSE 0.5::DOUBLE + 0.5::DOUBLE * (threshold - score) / greatest(1e-9::DOUBLE, threshold) END, 6) AS confidence FROM ms JOIN pw USING (doc_id), mt")
 def predict_labels(spark, sf):
     m = model(spark, sf)
-    own = classes(spark, sf).select("doc_id", N.normalize(F.col("text")).alias("n")).withColumn("w", N.count_words(F.col("n"), compose=False))
+    own = classes(spark, sf).select("doc_id", N.normalize(F.col("text")).alias("n")).withColumn("w", N.words_of(F.col("n")))
     raw = K.raw_scores(own, ["doc_id", "w"], "n", m.weights)
     r = K.predict(m.score(F.col("raw")), F.col("w"), m)
     return raw.select("doc_id", r.alias("r")).select("doc_id", "r.label", F.round("r.confidence", 6).alias("confidence"))
