@@ -214,14 +214,15 @@ def read_documents(spark: SparkSession, path: str, field: str = "text") -> DataF
 
 
 def _indexed(table: DataFrame) -> DataFrame:
-    """The rows with their index in the file, counted by partition and then over partitions."""
+    """The rows of files with their index over the files by name, counted by split and then over splits."""
     from ..storage import materialize
 
-    rows = materialize(table.select("*", F.monotonically_increasing_id().alias("__m")), "indexed")
-    part = F.shiftright("__m", 33)
-    sizes = rows.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.select("__p", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    return rows.join(F.broadcast(first), part == F.col("__p")).withColumn("pos", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__first")).drop("__m", "__p", "__first")
+    split = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    rows = materialize(table.select("*", split.alias("__s"), F.monotonically_increasing_id().alias("__m")), "indexed")
+    # a split is read by one task, and the numbers of its rows follow each other
+    sizes = rows.groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("__least"))
+    first = sizes.select("__s", "__least", F.coalesce(F.sum("n").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    return rows.join(F.broadcast(first), "__s").withColumn("pos", F.col("__m") - F.col("__least") + F.col("__first")).drop("__m", "__s", "__least", "__first")
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

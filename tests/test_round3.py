@@ -120,7 +120,7 @@ def odd_files(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["staged_csv_text", "staged_text_lines", "corpus_csv", "staged_tsv_last", "staged_json_text", "corpus_jsonl", "poem_dedup", "corpus_report"])
+@pytest.mark.parametrize("name", ["staged_csv_text", "staged_text_lines", "corpus_csv", "staged_tsv_last", "staged_json_text", "corpus_jsonl", "training_examples", "poem_dedup", "corpus_report"])
 def test_odd_lines_come_back_from_files(spark, odd_files, name):
     got = catalogue.queries()[name](spark, odd_files)
     con = duckdb.connect()
@@ -129,3 +129,20 @@ def test_odd_lines_come_back_from_files(spark, odd_files, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["training_examples"])
+def test_staged_files_have_parts(spark, odd_files, name):
+    """No task writes or reads a whole table."""
+    from lahja.plans import staged
+
+    before, places = staged._place, []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # which would make small ones one
+        staged._place = lambda s, n: places.append(before(s, n)) or places[-1]
+        catalogue.queries()[name](spark, odd_files).collect()
+    finally:
+        staged._place = before
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places[0] + (".jsonl" if name == "read_documents" else ""))
+    assert listing.where("path like '%part-%' and length > 0").count() > 2
+
+
