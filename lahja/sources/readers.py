@@ -184,19 +184,22 @@ def load_cache(spark: SparkSession, cache: str, registry: DataFrame, role: str |
     return lines.join(F.broadcast(own if role is None else own.where(F.col("role") == role)), "source")
 
 
+KINDS = ("jsonl", "csv", "txt")
+
+
 def read_documents(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
-    """(pos, id, text) of a .jsonl, .csv or .txt file or a folder of .txt and .md files; empty texts go.
+    """(pos, id, text) of a .jsonl, .csv or .txt file or a folder of .txt and .md files; empty texts go. A file may be a folder of its parts, as Spark writes it.
 
     Ids: jsonl id, else uid, else the line's index; csv id, else index; txt the index of the line; folder the file's name."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     file_system = fs.getFileSystem(spark._jsc.hadoopConfiguration())
     if not file_system.exists(fs):
         raise FileNotFoundError(path)
-    if file_system.getFileStatus(fs).isDirectory():
+    kind = path.rstrip("/").rpartition(".")[2].lower()
+    if file_system.getFileStatus(fs).isDirectory() and not (kind in KINDS and file_system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(fs, "part-*"))):
         files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,TXT,MD}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value")
         return files.select(F.col("p").alias("pos"), F.regexp_extract("p", "([^/]+)$", 1).alias("id"), F.col("value").alias("text"))
-    kind = path.rpartition(".")[2].lower()
-    if kind not in ("jsonl", "csv", "txt"):
+    if kind not in KINDS:
         raise ValueError(f"unknown extension {kind!r}: jsonl, csv, txt or a folder")
     if kind == "csv":
         table = spark.read.option("multiLine", True).option("escape", '"').csv(path, header=True)

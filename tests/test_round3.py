@@ -120,7 +120,7 @@ def odd_files(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["staged_csv_text", "staged_text_lines", "corpus_csv", "staged_tsv_last", "staged_json_text", "corpus_jsonl", "training_examples", "poem_dedup", "corpus_report"])
+@pytest.mark.parametrize("name", ["staged_csv_text", "staged_text_lines", "corpus_csv", "staged_tsv_last", "staged_json_text", "corpus_jsonl", "training_examples", "read_documents", "poem_dedup", "corpus_report"])
 def test_odd_lines_come_back_from_files(spark, odd_files, name):
     got = catalogue.queries()[name](spark, odd_files)
     con = duckdb.connect()
@@ -129,7 +129,7 @@ def test_odd_lines_come_back_from_files(spark, odd_files, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["training_examples"])
+@pytest.mark.parametrize("name", ["training_examples", "read_documents"])
 def test_staged_files_have_parts(spark, odd_files, name):
     """No task writes or reads a whole table."""
     from lahja.plans import staged
@@ -146,3 +146,13 @@ def test_staged_files_have_parts(spark, odd_files, name):
     assert listing.where("path like '%part-%' and length > 0").count() > 2
 
 
+def test_files_in_parts_are_indexed_by_name(spark, tmp_path):
+    """The larger part comes first where Spark packs splits; the index follows the names."""
+    folder = tmp_path / "d.jsonl"
+    folder.mkdir()
+    for k, n in enumerate((2, 300, 1)):
+        (folder / f"part-{k:05}.json").write_text("".join('{"text": "%d %d %s"}\n' % (k, i, "x" * 50) for i in range(n)))
+    got = [(r["pos"], r["text"].split()[:2]) for r in readers.read_documents(spark, str(folder)).orderBy("pos").collect()]
+    assert got == list(enumerate([str(k), str(i)] for k, n in enumerate((2, 300, 1)) for i in range(n)))
+
+
