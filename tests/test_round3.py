@@ -92,7 +92,7 @@ def test_blocks_of_odd_texts(odd):
         assert batch.normal_blocks(r["t"] or "", 7) == [batch.standard_of(x) for x in r["b"]]
 
 
-@pytest.mark.parametrize("name", ["triage_verdicts", "triage_summary", "block_dispersion"])
+@pytest.mark.parametrize("name", ["triage_verdicts", "triage_summary", "block_dispersion", "block_positions"])
 def test_documents_are_judged_within_their_row(spark, name):
     """A document's blocks are neither rows nor shuffled, and its numbers are made once, though filtered."""
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
