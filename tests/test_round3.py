@@ -72,7 +72,7 @@ def test_entities_of_odd_texts(odd):
     assert not differ(odd, C.strip_entities(F.col("t")), C.strip_entities(N.nfkc(F.col("t")), compose=False))
 
 
-@pytest.mark.parametrize("name", ["detect_report", "lang_profile", "marker_counts", "marker_rates", "marker_score", "marker_score_modern"])
+@pytest.mark.parametrize("name", ["detect_report", "lang_profile", "marker_counts", "marker_rates", "marker_score", "marker_score_modern", "strip_entities"])
 def test_texts_are_read_by_words(spark, name):
     """No regular expression of the catalogue goes over whole texts, nor once for each marker."""
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
